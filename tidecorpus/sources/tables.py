@@ -14,17 +14,15 @@ from ..session import table
 
 
 def social_column(text: str = "text", doc_id: str = "doc_id") -> Column:
-    """``text @u<id> http://x.y/<id> #CamelTag<id> www.site<id>.org/p``"""
+    """``text @u<id> http://x.y/<id> #CamelTag<id> www.site<id>.org/p 🤣 ok 😺``"""
     i = F.col(doc_id).cast("string")
     return F.concat(
-        F.col(text), F.lit(" @u"), i, F.lit(" http://x.y/"), i, F.lit(" #CamelTag"), i, F.lit(" www.site"), i, F.lit(".org/p")
+        F.col(text), F.lit(" @u"), i, F.lit(" http://x.y/"), i, F.lit(" #CamelTag"), i, F.lit(" www.site"), i, F.lit(".org/p"),
+        F.lit(" \U0001F923 ok \U0001F63A"),
     )
 
 
-SOCIAL_SQL = (
-    "text || ' @u' || CAST(doc_id AS VARCHAR) || ' http://x.y/' || CAST(doc_id AS VARCHAR) || "
-    "' #CamelTag' || CAST(doc_id AS VARCHAR) || ' www.site' || CAST(doc_id AS VARCHAR) || '.org/p'"
-)
+from ..plans.sqltext import SOCIAL as SOCIAL_SQL  # noqa: E402
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
