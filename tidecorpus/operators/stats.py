@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,3 +34,147 @@ def histogram(df: DataFrame, col: str, lo: float = 0, hi: float = 40, bins: int
         keys = by + ["bin"]
         return grid.join(counts, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
     return grid.join(F.broadcast(counts), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+# ------------------------------------------------------------------ A15 bootstrap
+# Poisson(1) cumulative probabilities P(X <= k), k = 0..7 (fixed values)
+POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462,
+                0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898508833446]
+
+
+def poisson1_weight(u: "Column") -> "Column":
+    """Poisson(1) draw from a uniform u in [0, 1) by inverse CDF."""
+    w = F.lit(8)
+    for k in reversed(range(len(POISSON1_CDF))):
+        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
+    return w
+
+
+def bootstrap_mean_ci(df: DataFrame, by: list[str], value: str, id_col: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Group mean with a seeded Poisson-bootstrap interval.
+
+    Each row is replicated ``replicates`` times in place (``explode(sequence)``,
+    no join) with a portable-hash Poisson(1) weight; replicate means are
+    Σw·x / Σw per (group, replicate) – a plain partial/final aggregate, so a hot
+    group is split over ``replicates`` keys – and the interval is the exact
+    percentile over the B replicate means of each group.
+    """
+    from .indexing import portable_hash
+    from ..constants import HASH_MOD
+
+    rep = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
+    u = portable_hash("_id", seed, F.col("_b")) / F.lit(float(HASH_MOD))
+    rep = rep.withColumn("_w", poisson1_weight(u))
+    means = rep.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+    ci = means.groupBy(*by).agg(F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", hi).alias("ci_high"))
+    mean = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    return mean.join(ci, by, "inner")
+
+
+# ------------------------------------------------------------------ A16 Kruskal–Wallis
+def average_ranks(df: DataFrame, task: list[str], value: str, id_col: str) -> DataFrame:
+    """(task…, value, avg_rank, t): 1-based average rank of each distinct value
+    within its task, ties averaged; t = multiplicity.
+
+    Row positions come from ``group_index`` (range partitioned, no window over a
+    task); the tie average is min(position) + (t + 1) / 2, a plain aggregate.
+    """
+    from .indexing import group_index
+
+    pos = group_index(df.select(*task, value, id_col), [value, id_col], task, "_p")
+    return pos.groupBy(*task, value).agg(
+        (F.min("_p") + (F.count(F.lit(1)) + 1) / 2.0).alias("avg_rank"), F.count(F.lit(1)).alias("t")
+    )
+
+
+def kruskal_wallis(df: DataFrame, task: list[str], group: str, value: str, id_col: str) -> DataFrame:
+    """H statistic with tie correction, and its chi-square p-value (k − 1 dof)."""
+    ranks = average_ranks(df, task, value, id_col)
+    cells = df.groupBy(*task, value, group).agg(F.count(F.lit(1)).alias("c"))
+    rs = cells.join(ranks, task + [value], "inner").groupBy(*task, group).agg(
+        F.sum(F.col("c") * F.col("avg_rank")).alias("R"), F.sum("c").alias("n_g")
+    )
+    ties = ranks.groupBy(*task).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("T"), F.sum("t").alias("N"))
+    per = rs.groupBy(*task).agg(F.sum(F.pow("R", 2) / F.col("n_g")).alias("S"), F.count(F.lit(1)).alias("k"))
+    j = per.join(ties, task, "inner")
+    N = F.col("N").cast("double")
+    h0 = F.lit(12.0) / (N * (N + 1)) * F.col("S") - F.lit(3.0) * (N + 1)
+    corr = F.lit(1.0) - F.col("T") / (N * N * N - N)
+    out = j.select(*task, "k", F.col("N").alias("n"), (h0 / corr).alias("H"))
+    return out.withColumn("p_value", chi2_sf(F.col("H"), F.col("k") - 1))
+
+
+def chi2_sf(x: "Column", dof: "Column") -> "Column":
+    """Chi-square survival function. Even dof: exp(−x/2)·Σ_{j<dof/2} (x/2)^j / j!
+    as a native fold; odd dof via the erfc series in a scalar UDF (one row per task)."""
+    half = x / 2.0
+    m = (dof / 2).cast("int")
+    terms = F.aggregate(
+        F.sequence(F.lit(0), F.greatest(m - 1, F.lit(0))),
+        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("acc")),
+        lambda s, j: F.struct(
+            (s["term"] * F.when(j == 0, F.lit(1.0)).otherwise(half / j)).alias("term"),
+            (s["acc"] + s["term"] * F.when(j == 0, F.lit(1.0)).otherwise(half / j)).alias("acc"),
+        ),
+    )
+    even = F.exp(-half) * terms["acc"]
+    return F.when(dof % 2 == 0, even).otherwise(_chi2_sf_odd(x, dof))
+
+
+@F.udf(T.DoubleType())
+def _chi2_sf_odd(x, dof):
+    """Odd-dof chi-square tail (tiny result frames only)."""
+    if x is None or dof is None:
+        return None
+    if x <= 0:
+        return 1.0
+    s = math.erfc(math.sqrt(x / 2.0))
+    term = math.sqrt(2.0 * x / math.pi) * math.exp(-x / 2.0)
+    k = 1
+    while k < dof:
+        s += term
+        term *= x / (k + 2)
+        k += 2
+    return s
+
+
+# ------------------------------------------------------------------ A17 Dunn + Benjamini–Hochberg
+def dunn_test(df: DataFrame, task: list[str], group: str, value: str, id_col: str) -> DataFrame:
+    """Pairwise Dunn z of mean ranks between groups, two-sided p, and
+    Benjamini–Hochberg adjusted p. Pairs are of *groups* (k·(k−1)/2 rows per
+    task), never of rows."""
+    ranks = average_ranks(df, task, value, id_col)
+    cells = df.groupBy(*task, value, group).agg(F.count(F.lit(1)).alias("c"))
+    g = cells.join(ranks, task + [value], "inner").groupBy(*task, group).agg(
+        (F.sum(F.col("c") * F.col("avg_rank")) / F.sum("c")).alias("mr"), F.sum("c").alias("n_g")
+    )
+    ties = ranks.groupBy(*task).agg(F.sum(F.pow("t", 3) - F.col("t")).alias("T"), F.sum("t").alias("N"))
+    a = g.select(*task, F.col(group).alias("group_a"), F.col("mr").alias("mr_a"), F.col("n_g").alias("n_a"))
+    b = g.select(*task, F.col(group).alias("group_b"), F.col("mr").alias("mr_b"), F.col("n_g").alias("n_b"))
+    pairs = a.join(b, task, "inner").filter(F.col("group_a") < F.col("group_b")).join(ties, task, "inner")
+    N = F.col("N").cast("double")
+    var = (N * (N + 1) / 12.0 - F.col("T") / (12.0 * (N - 1))) * (F.lit(1.0) / F.col("n_a") + F.lit(1.0) / F.col("n_b"))
+    z = (F.col("mr_a") - F.col("mr_b")) / F.sqrt(var)
+    pairs = pairs.select(*task, "group_a", "group_b", z.alias("z"))
+    pairs = pairs.withColumn("p_value", _two_sided_p(F.col("z")))
+    return bh_adjust(pairs, task, "p_value")
+
+
+@F.pandas_udf(T.DoubleType())
+def _two_sided_p(z: pd.Series) -> pd.Series:
+    """Two-sided normal p = erfc(|z| / √2) (one row per pair of groups)."""
+    return pd.Series([None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2.0)) for v in z], dtype="float64")
+
+
+def bh_adjust(df: DataFrame, by: list[str], p: str, out: str = "p_adj") -> DataFrame:
+    """Benjamini–Hochberg: sort p ascending, q_i = min_{j≥i} p_j·m / j, capped at 1.
+    Windows are partitioned by test (task), over its k·(k−1)/2 comparisons."""
+    from pyspark.sql import Window as W
+
+    w_rank = W.partitionBy(*by).orderBy(F.col(p), F.col("group_a"), F.col("group_b")) if by else W.orderBy(F.col(p), "group_a", "group_b")
+    m = F.count(F.lit(1)).over(W.partitionBy(*by)) if by else F.count(F.lit(1)).over(W.partitionBy(F.lit(1)))
+    r = df.withColumn("_r", F.row_number().over(w_rank)).withColumn("_m", m)
+    r = r.withColumn("_q", F.col(p) * F.col("_m") / F.col("_r"))
+    w_tail = (W.partitionBy(*by) if by else W.partitionBy(F.lit(1))).orderBy(F.desc("_r")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return r.withColumn(out, F.least(F.min("_q").over(w_tail), F.lit(1.0))).drop("_r", "_m", "_q")

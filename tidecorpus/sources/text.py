@@ -84,9 +84,6 @@ def unnest_comments(articles: DataFrame) -> DataFrame:
     return c.select(*[F.col(f"c.{f}").alias(f) for f in fields], F.col("_article_title").alias("title"))
 
 
-LEDGER_SCHEMA = T.MapType(T.StringType(), T.ArrayType(T.MapType(T.StringType(), T.DoubleType())))
-
-
 def read_ledgers(spark: SparkSession, glob_path: str) -> DataFrame:
     """S7 + R2: benchmark ledgers → long rows ``model, task, run, metric, value``.
 
@@ -97,19 +94,6 @@ def read_ledgers(spark: SparkSession, glob_path: str) -> DataFrame:
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("fname")
     )
     raw = raw.filter(~F.col("path").contains("test"))
-    # a ledger maps task → list of runs; non-list values (model_name) parse to null
-    parsed = raw.select(
-        F.regexp_extract("fname", "^[^.]+", 0).alias("model"),
-        F.from_json("value", T.MapType(T.StringType(), T.StringType())).alias("m"),
-    )
-    tasks = parsed.select("model", F.explode("m").alias("task", "runs_json"))
-    runs = tasks.select(
-        "model", "task", F.from_json("runs_json", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))).alias("runs")
-    ).filter(F.col("runs").isNotNull())
-    return ledger_long(runs)
-
+    from ..operators.results import parse_ledger
 
-def ledger_long(runs: DataFrame) -> DataFrame:
-    """R2: (model, task, runs array<map>) → (model, task, run, metric, value)."""
-    r = runs.select("model", "task", F.posexplode("runs").alias("run", "metrics"))
-    return r.select("model", "task", F.col("run").cast("int").alias("run"), F.explode("metrics").alias("metric", "value"))
+    return parse_ledger(raw.select(F.regexp_extract("fname", "^[^.]+", 0).alias("model"), "value"), "value")
