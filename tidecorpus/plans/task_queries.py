@@ -239,3 +239,22 @@ def d7_pooled_tasks(spark, sf_dir):
     lab = labelled_documents(spark, sf_dir)
     pooled = tk.pool_tasks({"toxic": lab.select("text"), "quality": lab.select("text")})
     return pooled.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("n_distinct"))
+
+
+@query(
+    "j2_unnest_comments",
+    sql="SELECT conv_id, turn, role, md5(text) AS h, 'conv ' || CAST(conv_id AS VARCHAR) AS title FROM conversations",
+)
+def j2_unnest_comments(spark, sf_dir):
+    """``conversations`` folded into articles (title + array of comments, each with
+    its own ``title`` field) and unnested again: the article title wins."""
+    from ..sources.text import unnest_comments
+
+    c = table(spark, sf_dir, "conversations")
+    # one article per conversation: its turns are bounded by the conversation length
+    articles = c.groupBy("conv_id").agg(
+        F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("title"),
+        F.collect_list(F.struct("conv_id", "turn", "role", "text", F.col("role").alias("title"))).alias("comments"),
+    )
+    rows = unnest_comments(articles.select("title", "comments"))
+    return rows.select("conv_id", "turn", "role", F.md5("text").alias("h"), "title")

@@ -79,7 +79,7 @@ def read_articles(spark: SparkSession, path: str | Sequence[str], schema: T.Stru
 def unnest_comments(articles: DataFrame) -> DataFrame:
     """One row per comment, carrying the article title (which overrides the
     comment's own ``title``). Articles without comments give no row."""
-    c = articles.select(F.col("title").alias("_article_title"), F.explode("comments").alias("c"))
+    c = articles.select(F.col("title").alias("_article_title"), F.explode("comments").alias("c"))  # explode, not explode_outer
     fields = [f for f in c.schema["c"].dataType.fieldNames() if f != "title"]
     return c.select(*[F.col(f"c.{f}").alias(f) for f in fields], F.col("_article_title").alias("title"))
 
