@@ -131,7 +131,7 @@ def pair_lengths(la: Column, lb: Column, max_len: int) -> tuple[Column, Column]:
     """E11 closed form of ``longest_first`` for a pair (4 specials)."""
     budget = F.lit(max_len - 4)
     fits = (la + lb) <= budget
-    a_short = la < lb  # on a tie the second counts as the longer one
+    a_short = la <= lb  # on a tie the second counts as the longer one
     short = F.least(F.when(a_short, la).otherwise(lb), F.floor(budget / 2).cast("int"))
     keep_a = F.when(fits, la).when(a_short, short).otherwise(budget - short)
     keep_b = F.when(fits, lb).when(a_short, budget - short).otherwise(short)

@@ -148,10 +148,10 @@ pr AS (SELECT doc_id, {_tok_sql("string_split(text, chr(10))[1]")} AS ta,
               {_tok_sql("CASE WHEN position(chr(10) IN text) > 0 THEN substr(text, position(chr(10) IN text) + 1) ELSE '' END")} AS tb
        FROM documents),
 kl AS (SELECT doc_id, ta, tb, len(ta) AS la, len(tb) AS lb FROM pr),
-kk AS (SELECT *, least(CASE WHEN la < lb THEN la ELSE lb END, {(MAXLEN - 4) // 2}) AS sh FROM kl),
+kk AS (SELECT *, least(CASE WHEN la <= lb THEN la ELSE lb END, {(MAXLEN - 4) // 2}) AS sh FROM kl),
 k AS (SELECT doc_id, ta, tb,
-             CASE WHEN la + lb <= {MAXLEN - 4} THEN la WHEN la < lb THEN sh ELSE {MAXLEN - 4} - sh END AS ka,
-             CASE WHEN la + lb <= {MAXLEN - 4} THEN lb WHEN la < lb THEN {MAXLEN - 4} - sh ELSE sh END AS kb FROM kk),
+             CASE WHEN la + lb <= {MAXLEN - 4} THEN la WHEN la <= lb THEN sh ELSE {MAXLEN - 4} - sh END AS ka,
+             CASE WHEN la + lb <= {MAXLEN - 4} THEN lb WHEN la <= lb THEN {MAXLEN - 4} - sh ELSE sh END AS kb FROM kk),
 a AS (SELECT doc_id, ta[1:ka] AS tokens FROM k),
 b AS (SELECT doc_id, tb[1:kb] AS tokens FROM k),
 {_ids_cte('ea', 'a', 100000)},
