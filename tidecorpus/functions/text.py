@@ -192,9 +192,13 @@ def characters(c) -> Column:
 
 # ---------------------------------------------------------------- token counting
 def whitespace_token_count(c) -> Column:
-    """Number of space-separated tokens of a tidied string (0 for empty)."""
+    """Number of space-separated tokens of a tidied string (0 for empty).
+
+    A tidied string has single inner spaces and none at the ends, so the count
+    is spaces + 1 – no token array is materialised."""
     s = _c(c)
-    return F.when(F.length(s) == 0, F.lit(0)).otherwise(F.size(F.split(s, " ", -1)))
+    spaces = F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
+    return F.when(F.length(s) == 0, F.lit(0)).otherwise(spaces + 1)
 
 
 def basic_token_count(c) -> Column:

@@ -51,25 +51,27 @@ def build_word_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[s
     return specials_table(df.sparkSession, specials).unionByName(ranked)
 
 
+def _regroup(df: DataFrame, key: str, arr: str, vocab: DataFrame, src: str, dst: str, miss, out: str, elem: str) -> DataFrame:
+    ex = df.select(key, F.posexplode_outer(arr).alias("_pos", "_src"))
+    v = F.broadcast(vocab.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")))  # ≤ vocab_size rows
+    j = ex.join(v, "_src", "left").select(key, "_pos", F.coalesce("_dst", F.lit(miss)).alias("_dst"))
+    # rows with an empty sequence come through with a null position: collect_list skips them
+    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_dst"))
+    reg = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
+    return reg.select(key, F.transform("_s", lambda s: s["_dst"]).cast(f"array<{elem}>").alias(out))
+
+
 def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "ids", unk: int = K.UNK_ID) -> DataFrame:
-    """E5: tokens → ids (unknown → ``unk``), order kept. ``vocab`` is (token, id)."""
-    ex = df.select(key, F.posexplode(tokens).alias("_pos", "_tok"))
-    v = F.broadcast(vocab.select(F.col("token").alias("_tok"), F.col("id").alias("_id")))
-    j = ex.join(v, "_tok", "left").select(key, "_pos", F.coalesce("_id", F.lit(unk)).alias("_id"))
-    reg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_id"))).alias("_s"))
-    reg = reg.select(key, F.transform("_s", lambda s: s["_id"]).alias(out))
-    # rows whose token list is empty keep an empty array
-    return df.join(reg, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
+    """E5: (key, tokens) → (key, ids), unknown → ``unk``, order kept.
+
+    One shuffle: exploded (key, pos, id) rows regrouped by key; the vocabulary
+    side is a broadcast hash join (bounded by ``vocab_size``)."""
+    return _regroup(df, key, tokens, vocab, "token", "id", unk, out, "int")
 
 
 def lookup_tokens(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "tokens", unk: str = K.UNK) -> DataFrame:
-    """Ids → tokens (unknown id → ``<unk>``), order kept."""
-    ex = df.select(key, F.posexplode(ids).alias("_pos", "_id"))
-    v = F.broadcast(vocab.select(F.col("id").alias("_id"), F.col("token").alias("_tok")))
-    j = ex.join(v, "_id", "left").select(key, "_pos", F.coalesce("_tok", F.lit(unk)).alias("_tok"))
-    reg = j.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_tok"))).alias("_s"))
-    reg = reg.select(key, F.transform("_s", lambda s: s["_tok"]).alias(out))
-    return df.join(reg, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<string>")))
+    """(key, ids) → (key, tokens), unknown id → ``<unk>``, order kept."""
+    return _regroup(df, key, ids, vocab, "id", "token", unk, out, "string")
 
 
 def add_missing_tokens(vocab: DataFrame, required: Sequence[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def e4_bpe_encode(spark, sf_dir):
     model = _model(spark, sf_dir)
     enc = vb.bpe_encoder(spark, model)
     pieces = _names(spark, sf_dir).select("p_partkey", enc("p_name").alias("pieces"))
-    ids = en.lookup_ids(pieces, "p_partkey", "pieces", model.vocab, "ids")
+    ids = en.lookup_ids(pieces, "p_partkey", "pieces", model.vocab, "ids").join(pieces, "p_partkey")
     return ids.select("p_partkey", F.array_join("pieces", " ").alias("pieces"), F.array_join("ids", ",").alias("ids"))
 
 

@@ -30,6 +30,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Java root-locale case mapping: same full Unicode mapping for these
+        # corpora, ~8x faster than the ICU path for lower()
+        .config("spark.sql.icu.caseMappings.enabled", "false")
         .config("spark.driver.memory", os.environ.get("TIDE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
@@ -65,5 +68,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+_SPREAD_MEMO: dict = {}
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, cols: tuple[str, ...] = ()) -> DataFrame:
+    """``spread`` of a table scan, shared by all queries of the session: the
+    checkpointed copy is keyed by (application, file, size, mtime, columns), so a
+    changed file is read afresh."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    try:
+        st = os.stat(path)
+        stamp = (st.st_size, st.st_mtime_ns)
+    except OSError:  # remote file systems: no memo
+        stamp = None
+    df = table(spark, sf_dir, name)
+    df = df.select(*cols) if cols else df
+    if stamp is None:
+        return spread(df)
+    key = (spark.sparkContext.applicationId, path, stamp, tuple(cols))
+    if key not in _SPREAD_MEMO:
+        _SPREAD_MEMO[key] = spread(df)
+    return _SPREAD_MEMO[key]
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread the rows over at least ``min_partitions`` tasks, but only when the
+    scan yields fewer input partitions than that (e.g. one large parquet row
+    group, which parquet cannot split). At cluster scale the input splits exceed
+    the parallelism and the scan is returned untouched, so filters and
+    projections keep running inside the (wide) scan stage.
+
+    In the narrow case a plain ``repartition`` is not enough: Catalyst would push
+    the downstream text filters below the exchange, back into the single scan
+    task. The round-robin output is therefore written once as a reliable
+    checkpoint into the session's checkpoint folder, which also cuts lineage.
+    Counting the scan's partitions only plans it; no job runs.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return cut_lineage(df.repartition(target))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
