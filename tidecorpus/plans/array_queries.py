@@ -171,7 +171,7 @@ def _pair_encoded(spark, sf_dir):
 
 @query(
     "e7_e11_pair_inputs",
-    sql=_PAIR_SQL + f"SELECT doc_id, {_s('[0] || ea.body || [2, 2] || eb.body || [2]')} AS input_ids, len(ea.body) AS len_a, len(eb.body) AS len_b FROM ea JOIN eb USING (doc_id)",
+    sql=_PAIR_SQL + f"SELECT doc_id, {_s('[0] || ea.body || [2, 2] || eb.body || [2]')} AS input_ids, CAST(len(ea.body) AS INTEGER) AS len_a, CAST(len(eb.body) AS INTEGER) AS len_b FROM ea JOIN eb USING (doc_id)",
 )
 def e7_e11_pair_inputs(spark, sf_dir):
     """Pair assembly after ``longest_first`` truncation to 128."""
@@ -227,8 +227,8 @@ def e9_e12_padded_masks(spark, sf_dir):
 @query(
     "e10_e14_truncated_lengths",
     sql=_ENC
-    + f"""SELECT doc_id, len(input_ids) AS n_ids,
-       list_sum(list_transform({_PADDED}, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END)) - 2 AS token_len FROM inp""",
+    + f"""SELECT doc_id, CAST(len(input_ids) AS INTEGER) AS n_ids,
+       CAST(list_sum(list_transform({_PADDED}, lambda x: CASE WHEN x <> 1 THEN 1 ELSE 0 END)) - 2 AS INTEGER) AS token_len FROM inp""",
 )
 def e10_e14_truncated_lengths(spark, sf_dir):
     e = encoded(spark, sf_dir)
@@ -302,7 +302,7 @@ def e17_length_grouped_batches(spark, sf_dir):
 
 @query(
     "e19_epochs",
-    sql=f"SELECT doc_id, e.epoch, {portable_hash_sql('doc_id', 'e.epoch + 11')} AS shuffle_key FROM documents, range(3) e(epoch)",
+    sql=f"SELECT doc_id, CAST(e.epoch AS INTEGER) AS epoch, {portable_hash_sql('doc_id', 'e.epoch + 11')} AS shuffle_key FROM documents, range(3) e(epoch)",
 )
 def e19_epochs(spark, sf_dir):
     d = documents(spark, sf_dir, "doc_id")

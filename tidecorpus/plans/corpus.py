@@ -18,7 +18,7 @@ from .registry import query
 # the same token length in DuckDB SQL (whitespace tokenizer, capped at 126)
 _TIDY_SQL = "trim(regexp_replace(regexp_replace(text, '\\n+', '. ', 'g'), '[\\x09-\\x0D\\x1C-\\x1F\\x20\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ' ', 'g'))"
 _COLLAPSED_SQL = f"regexp_replace({_TIDY_SQL}, 'emoji.*?emoji', 'emoji', 'g')"
-TOKEN_LEN_SQL = f"least(CASE WHEN length({_COLLAPSED_SQL}) = 0 THEN 0 ELSE len(string_split({_COLLAPSED_SQL}, ' ')) END, 126)"
+TOKEN_LEN_SQL = f"CAST(least(CASE WHEN length({_COLLAPSED_SQL}) = 0 THEN 0 ELSE len(string_split({_COLLAPSED_SQL}, ' ')) END, 126) AS INTEGER)"
 
 
 def token_lengths(spark: SparkSession, sf_dir: str, basic: bool = False) -> DataFrame:
@@ -76,7 +76,7 @@ def p10_min_length_filter_basic(spark, sf_dir):
 
 @query(
     "p10_kept_documents",
-    sql=f"SELECT doc_id, lang, length(text) AS n_chars FROM documents WHERE {TOKEN_LEN_SQL} >= 6",
+    sql=f"SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS n_chars FROM documents WHERE {TOKEN_LEN_SQL} >= 6",
 )
 def p10_kept_documents(spark, sf_dir):
     """The kept rows themselves (original text kept; its length reported)."""

@@ -181,7 +181,7 @@ def a12_bce_with_logits(spark, sf_dir):
     sql="""
     WITH e AS (SELECT event_type AS model, user_id AS run, hour(ts) AS epoch, avg(value) AS v FROM events GROUP BY 1, 2, 3),
     r AS (SELECT *, row_number() OVER (PARTITION BY model, run ORDER BY v DESC, epoch ASC) AS k FROM e)
-    SELECT model, run, epoch AS best_epoch, round(v, 6) AS best_value FROM r WHERE k = 1
+    SELECT model, run, CAST(epoch AS INTEGER) AS best_epoch, round(v, 6) AS best_value FROM r WHERE k = 1
     """,
 )
 def a21_best_epoch(spark, sf_dir):

@@ -228,7 +228,7 @@ h AS (SELECT k, N, (12.0 / (N * (N + 1)) * S - 3.0 * (N + 1)) / (1 - T / (N * N
 
 @query(
     "a16_kruskal_wallis",
-    sql=_KW_SQL + "\nSELECT 'all' AS task, k, N AS n, round(H, 6) AS H, round(exp(-H / 2) * (1 + H / 2), 6) AS p_value FROM h",
+    sql=_KW_SQL + "\nSELECT 'all' AS task, k, CAST(N AS BIGINT) AS n, round(H, 6) AS H, round(exp(-H / 2) * (1 + H / 2), 6) AS p_value FROM h",
 )
 def a16_kruskal_wallis(spark, sf_dir):
     """H over ``events.value`` grouped by event type, with tie correction; p for k−1 = 4 dof."""

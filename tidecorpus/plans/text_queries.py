@@ -20,7 +20,7 @@ def _digest(df: DataFrame, expr: Column) -> DataFrame:
 
 
 def _sql_digest(expr: str, src: str = "documents") -> str:
-    return f"SELECT doc_id, md5({expr}) AS h, length({expr}) AS n_chars FROM {src}"
+    return f"SELECT doc_id, md5({expr}) AS h, CAST(length({expr}) AS INTEGER) AS n_chars FROM {src}"
 
 
 @query("t1a_replace_mentions", sql=_sql_digest(S.mentions(S.SOCIAL)))
@@ -161,7 +161,7 @@ def t15_normalise_full_unicode(spark, sf_dir):
 @query(
     "t16_detokenise",
     sql="""
-    SELECT doc_id, md5(h) AS h, length(h) AS n_chars FROM (
+    SELECT doc_id, md5(h) AS h, CAST(length(h) AS INTEGER) AS n_chars FROM (
       SELECT doc_id, trim(replace(array_to_string(
           list_transform(string_split(""" + S.tidy("text") + """, ' '),
                          lambda w, i: CASE WHEN i % 2 = 1 THEN w || '@@' ELSE w END), ' '), '@@ ', '')) AS h

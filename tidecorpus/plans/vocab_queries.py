@@ -48,7 +48,7 @@ def e1b_alphabet(spark, sf_dir):
     sql=f"""WITH {_ALPHA_SQL},
     kc AS (SELECT list_filter(string_split(word, ''), lambda c: list_contains(a.l, c)) AS c, n FROM wc, (SELECT list(ch) AS l FROM al) a),
     pr AS (SELECT unnest(list_transform(range(1, len(c)), lambda i: struct_pack(l := c[i], r := c[i + 1]))) AS p, n FROM kc WHERE len(c) > 1)
-    SELECT p.l AS left, p.r AS right, sum(n) AS n FROM pr GROUP BY 1, 2""",
+    SELECT p.l AS left, p.r AS right, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY 1, 2""",
 )
 def e1c_pair_counts(spark, sf_dir):
     words = vb.word_counts(_names(spark, sf_dir), "p_name")

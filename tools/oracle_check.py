@@ -38,6 +38,24 @@ def _norm(v):
     return str(v)
 
 
+def spark_type(t) -> str:
+    from pyspark.sql import types as T
+
+    simple = {
+        T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.ShortType: "SMALLINT", T.ByteType: "TINYINT",
+        T.DoubleType: "DOUBLE", T.FloatType: "FLOAT", T.StringType: "VARCHAR", T.BooleanType: "BOOLEAN",
+        T.DateType: "DATE", T.TimestampType: "TIMESTAMP WITH TIME ZONE", T.TimestampNTZType: "TIMESTAMP",
+    }
+    for k, v in simple.items():
+        if isinstance(t, k):
+            return v
+    if isinstance(t, T.DecimalType):
+        return f"DECIMAL({t.precision},{t.scale})"
+    if isinstance(t, T.ArrayType):
+        return spark_type(t.elementType) + "[]"
+    return t.simpleString()
+
+
 def digest(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     lines = sorted("|".join(_norm(r[i]) for i in order) for r in rows)
@@ -61,6 +79,7 @@ def main():
         try:
             sdf = q.fn(spark, sf_dir)
             scols = sdf.columns
+            stypes = {f.name: spark_type(f.dataType) for f in sdf.schema.fields}
             srows = [tuple(r) for r in sdf.collect()]
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: spark error {type(e).__name__}: {str(e)[:400]}")
@@ -74,6 +93,7 @@ def main():
         try:
             rel = con.sql(q.sql)
             dcols = rel.columns
+            dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
             drows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:400]}")
@@ -90,7 +110,8 @@ def main():
             print("   duck-only: ", [d[:200] for d in diff_d])
         else:
             ok += 1
-            print(f"OK   {name}: {len(srows)} rows {ts:.1f}s")
+            tdiff = {c: (stypes.get(c), dtypes.get(c)) for c in scols if stypes.get(c) != dtypes.get(c)}
+            print(f"OK   {name}: {len(srows)} rows {ts:.1f}s" + (f"  TYPES {tdiff}" if tdiff else ""))
     print(f"ok={ok} bad={bad} rows-only={skipped}")
     spark.stop()
 
