@@ -125,3 +125,34 @@ def test_chi2_odd_dof_and_bh(spark):
     p = spark.createDataFrame([("t", "a", "b", 0.01), ("t", "a", "c", 0.04), ("t", "b", "c", 0.03)], "task string, group_a string, group_b string, p_value double")
     adj = {(r["group_a"], r["group_b"]): round(r["p_adj"], 6) for r in st.bh_adjust(p, ["task"], "p_value").collect()}
     assert adj == {("a", "b"): 0.03, ("b", "c"): 0.04, ("a", "c"): 0.04}
+
+
+def test_first_n_guarded_and_strict(spark):
+    df = spark.createDataFrame([(i,) for i in range(5)], "id long")
+    assert sp.first_n(df, ["id"], 3).count() == 3
+    assert sp.first_n(df, ["id"], 10).count() == 5  # guarded: min(limit, len)
+    assert sp.first_n(df, ["id"], 0).count() == 5   # falsy limit = all
+    with pytest.raises(ValueError):
+        sp.first_n(df, ["id"], 10, strict=True)
+
+
+def test_ledger_append_and_export(spark):
+    d = tempfile.mkdtemp(prefix="tc-ledger-store-", dir="/tmp")
+    rows = [("m1", "hate", 0, "eval_macro_f1", 0.7), ("m1", "hate", 1, "eval_macro_f1", 0.8), ("m2", "irony", 0, "eval_macro_f1", 0.6)]
+    df = spark.createDataFrame(rows, "model string, task string, run int, metric string, value double")
+    rs.append_ledger(df, d)
+    rs.append_ledger(df.filter(F.col("model") == "m2"), d)
+    back = spark.read.parquet(d)
+    assert back.count() == 4 and back.filter(F.col("model") == "m2").count() == 2
+    js = {r["model"]: json.loads(r["ledger"]) for r in rs.ledger_json(df).collect()}
+    assert js["m1"] == {"hate": [{"eval_macro_f1": 0.7}, {"eval_macro_f1": 0.8}]}
+    parsed = rs.parse_ledger(rs.ledger_json(df), "ledger").collect()
+    assert sorted((r["model"], r["run"], r["value"]) for r in parsed) == [("m1", 0, 0.7), ("m1", 1, 0.8), ("m2", 0, 0.6)]
+
+
+def test_merge_special_token_lists(spark):
+    # Sequence specials followed by the social tokens, ordinal kept
+    a = spark.createDataFrame([(t, i) for i, t in enumerate(K.SEQUENCE_SPECIALS)], "token string, ord int")
+    b = spark.createDataFrame([(t, i + len(K.SEQUENCE_SPECIALS)) for i, t in enumerate(K.SOCIAL_TOKENS)], "token string, ord int")
+    merged = [r["token"] for r in a.unionByName(b).orderBy("ord").collect()]
+    assert merged == K.SEQUENCE_SPECIALS + K.SOCIAL_TOKENS

@@ -34,7 +34,9 @@ def ledger_json(long: DataFrame, keys: Sequence[str] = ("model",), run: str = "r
     """S10 export: long rows → one ledger JSON per key (task → runs in run order).
     Ledgers are per model and hold a handful of runs per task."""
     per_run = long.groupBy(*keys, "task", run).agg(F.map_from_entries(F.collect_list(F.struct("metric", "value"))).alias("m"))
-    per_task = per_run.groupBy(*keys, "task").agg(F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), "m"))).alias("runs"))
+    by_run = lambda x, y: F.when(x["r"] < y["r"], -1).when(x["r"] > y["r"], 1).otherwise(0)
+    runs = F.array_sort(F.collect_list(F.struct(F.col(run).alias("r"), "m")), by_run)
+    per_task = per_run.groupBy(*keys, "task").agg(runs.alias("runs"))
     per_task = per_task.select(*keys, "task", F.transform("runs", lambda x: x["m"]).alias("runs"))
     return per_task.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("task", "runs")))).alias("ledger"))
 

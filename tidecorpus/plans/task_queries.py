@@ -258,3 +258,28 @@ def j2_unnest_comments(spark, sf_dir):
     )
     rows = unnest_comments(articles.select("title", "comments"))
     return rows.select("conv_id", "turn", "role", F.md5("text").alias("h"), "title")
+
+
+@query(
+    "l5_first_files",
+    sql="""SELECT d.doc_id, d.source FROM documents d
+           WHERE d.source IN (SELECT DISTINCT source FROM documents ORDER BY source LIMIT 5)""",
+)
+def l5_first_files(spark, sf_dir):
+    """The first 5 files in sorted order (``source`` plays the file), then their rows."""
+    d = documents(spark, sf_dir, "doc_id", "source")
+    first = d.select("source").distinct().orderBy("source").limit(5)  # bounded top-k of file names
+    return d.join(F.broadcast(first), "source", "left_semi").select("doc_id", "source")
+
+
+@query(
+    "l6_seeded_file_order",
+    sql="SELECT source, row_number() OVER (ORDER BY md5('42:' || source), source) - 1 AS pos FROM (SELECT DISTINCT source FROM documents)",
+)
+def l6_seeded_file_order(spark, sf_dir):
+    """Seeded, repeatable shuffle of the file list (position of each file)."""
+    from ..operators.indexing import group_index
+
+    files = sp.seeded_file_order(documents(spark, sf_dir, "source"), "source", 42)
+    keyed = files.withColumn("_h", sp.text_hash("source", 42))
+    return group_index(keyed, ["_h", "source"], (), "pos").select("source", F.col("pos").cast("long").alias("pos"))
