@@ -42,7 +42,10 @@ def build_word_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[s
     """E2 (word level): specials first, then the ``size − len(specials)`` most
     frequent tokens (count desc, token asc). The result has at most ``size``
     rows – the bound that makes every later broadcast of it safe."""
-    counts = df.select(F.explode(tokens).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    # explode_outer + null filter: a plain explode makes Catalyst infer
+    # size(tokens) > 0 and evaluate the whole token expression twice
+    toks = df.select(F.explode_outer(tokens).alias("token")).filter(F.col("token").isNotNull())
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(F.broadcast(specials_table(df.sparkSession, specials).select("token")), "token", "left_anti")
     top = counts.orderBy(F.desc("n"), F.asc("token")).limit(size - len(specials))
     ranked = top.select(

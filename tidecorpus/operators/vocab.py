@@ -46,7 +46,7 @@ def metaspace_words(text) -> Column:
 
 def word_counts(df: DataFrame, text: str) -> DataFrame:
     """(word, n) over the corpus – partial aggregation absorbs hot words."""
-    words = df.filter(F.length(text) > 0).select(F.explode(metaspace_words(text)).alias("word"))
+    words = df.filter(F.length(text) > 0).select(F.explode_outer(metaspace_words(text)).alias("word"))
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
