@@ -13,10 +13,14 @@ file, or no group at all) that task holds a third of the data. Instead:
    count table only) give each (partition, group) its offset;
 5. index = offset + position − first position of that (partition, group).
 
-Both branches read the *same* range exchange (Spark reuses it), and an explicit
-partition count keeps AQE from coalescing it, so partition ids agree. The join
-back to the offsets is size-checked at runtime by AQE: broadcast when the
-offset table is small (the usual case), a shuffle join otherwise.
+The tagged rows (partition id, position) are written once as a reliable
+checkpoint into the session's checkpoint folder. Both the count branch and the
+row branch then read the same stored values: range bounds come from sampling,
+which depends on the row order inside upstream partitions, so two independent
+evaluations of the exchange could disagree. The checkpoint also makes the index
+survive executor loss. The join back to the offsets is size-checked at runtime
+by AQE: broadcast when the offset table is small (the usual case), a shuffle
+join otherwise.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import shuffle_partitions
+from ..session import cut_lineage, shuffle_partitions
 
 
 def group_index(
@@ -45,7 +49,7 @@ def group_index(
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(g) for g in groups] + order_cols
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*groups).orderBy("_pid") if groups else Window.orderBy("_pid")
     offsets = counts.select("_pid", *groups, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))

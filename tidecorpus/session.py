@@ -104,6 +104,8 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     checkpoint into the session's checkpoint folder, which also cuts lineage.
     Counting the scan's partitions only plans it; no job runs.
     """
+    if df.sparkSession.conf.get("tidecorpus.spread", "true") == "false":
+        return df
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
