@@ -106,8 +106,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """
     if df.sparkSession.conf.get("tidecorpus.spread", "true") == "false":
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # sessions without RDD access (Spark Connect): scan as is
         return df
     return cut_lineage(df.repartition(target))
 
