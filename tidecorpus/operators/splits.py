@@ -72,7 +72,7 @@ def file_holdout(df: DataFrame, file_col: str, k: int = 6, seed: int = 0) -> Dat
     chosen = ranked.filter(F.col("_r") < k).select(
         file_col, F.when(F.col("_r") == k - 1, F.lit("test")).otherwise(F.lit("train")).alias("split")
     )
-    return df.join(chosen, file_col, "inner")
+    return df.join(F.broadcast(chosen), file_col, "inner")  # k rows by construction
 
 
 def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
@@ -83,7 +83,9 @@ def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame
 def first_n(df: DataFrame, order: Sequence[str], limit: int | None, strict: bool = False) -> DataFrame:
     """First ``limit`` rows in ``order``; falsy limit = all rows.
 
-    ``strict`` (L4) raises when fewer than ``limit`` rows exist.
+    Rows are numbered with ``group_index`` and filtered, so a large limit never
+    funnels through a single top-n task. ``strict`` (L4) raises when fewer than
+    ``limit`` rows exist. ``order`` must be a total order (end with a unique key).
     """
     if not limit:
         return df
@@ -91,7 +93,7 @@ def first_n(df: DataFrame, order: Sequence[str], limit: int | None, strict: bool
         n = df.count()
         if n < limit:
             raise ValueError(f"asked for {limit} rows, only {n} exist")
-    return df.orderBy(*order).limit(limit)
+    return group_index(df, order, (), "_pos").filter(F.col("_pos") < limit).drop("_pos")
 
 
 def seeded_file_order(df: DataFrame, file_col: str, seed: int) -> DataFrame:
