@@ -177,7 +177,8 @@ def train_bpe(
     # both tables are bounded by vocab_size rows
     vocab = spark.createDataFrame(sorted(((t, i) for i, t in token_of.items()), key=lambda x: x[1]), "token string, id int")
     merge_table = spark.createDataFrame(merges, "left string, right string, rank int")
-    words.unpersist()
+    for frame in (words, alpha, sym):
+        frame.unpersist()
     return BpeModel(vocab, merge_table)
 
 
