@@ -110,7 +110,7 @@ def single_label_report(df: DataFrame, id2label: Sequence[str], label: str = "la
         )
     )
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    per = per.select("name", "tp", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    per = per.select("name", "tp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
     per_long = per.select(
         F.explode(
             F.array(
@@ -120,12 +120,14 @@ def single_label_report(df: DataFrame, id2label: Sequence[str], label: str = "la
             )
         ).alias("m")
     ).select("m.metric", "m.value")
-    total = pc.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("ok"))
-    acc = total.select(_safe_div(F.col("ok"), F.col("n")).alias("acc"))
-    macro = per.agg(F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"))
-    summary = macro.join(acc, how="inner").select(
-        "macro_f1", "macro_precision", "macro_recall", "acc", F.col("acc").alias("micro_f1")
+    # accuracy = Σ tp / Σ (tp + fn) over the classes: same aggregate as the macro means
+    macro = per.agg(
+        F.avg("f1").alias("macro_f1"),
+        F.avg("precision").alias("macro_precision"),
+        F.avg("recall").alias("macro_recall"),
+        _safe_div(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))).alias("acc"),
     )
+    summary = macro.select("macro_f1", "macro_precision", "macro_recall", "acc", F.col("acc").alias("micro_f1"))
     summary_long = summary.unpivot([], ["micro_f1", "macro_f1", "macro_precision", "macro_recall", "acc"], "metric", "value")
     return per_long.unionByName(summary_long)
 
