@@ -62,6 +62,13 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructTyp
     )
 
 
+def read_csv_columns(spark: SparkSession, path: str | Sequence[str], columns: Mapping[str, str]) -> DataFrame:
+    """S5 by header name: read every field as text, keep and cast the named
+    columns (files may carry extra or reordered columns)."""
+    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "FAILFAST").csv(path)
+    return raw.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
+
+
 CONTEXT_COMMENT = T.StructType(
     [T.StructField("id", T.DecimalType(20, 0)), T.StructField("text", T.StringType()), T.StructField("title", T.StringType())]
     + [T.StructField(c, T.IntegerType()) for c in ["HATEFUL", "CALLS", "WOMEN", "LGBTI", "RACISM", "CLASS", "POLITICS", "DISABLED", "APPEARANCE", "CRIMINAL"]]
