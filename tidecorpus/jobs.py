@@ -5,6 +5,10 @@
 * ``train_tokenizer``    – first k sorted files → tokenizer normaliser → BPE → saved vocabulary (L5, T15, E1, S13)
 * ``prepare_mlm``        – lines → encode → truncate / assemble / pad → batches → masking → parquet (§3.2)
 * ``summarise_benchmarks`` – ledgers → headline metrics → mean ± std table and scores (§3.3)
+* ``evaluate_run`` / ``class_weights`` – one run's metric set from a predictions table, appended
+  to the ledger store; the per-task class weighting rule (§3.3 stages 5, 7, 8)
+
+Task sets themselves come from ``operators.task_loaders`` (D6).
 
 Each job is a composition of the library's DataFrame operators; none collects
 rows to the driver (only bounded tables: vocabulary, merge list, one best pair
@@ -136,3 +140,52 @@ def summarise_benchmarks(spark: SparkSession, ledger_glob: str, task_metric: dic
     scores = rs.composite_score(ms, K.SCORE_TASKS_FOUR).join(rs.composite_score(ms, K.SCORE_TASKS_FIVE, name="score5"), "model")
     out = wide.join(scores, "model")
     return rs.order_by_list(out, "model", order) if order else out.orderBy(F.desc("score"))
+
+
+TASK_LABELS = {
+    "sentiment": K.SENTIMENT_LABELS,
+    "emotion": K.EMOTION_LABELS,
+    "hate": K.HATE_LABELS,
+    "irony": K.IRONY_LABELS,
+}
+
+
+def evaluate_run(
+    spark: SparkSession, task: str, predictions: DataFrame, model: str, run: int, ledger_path: str | None = None
+) -> DataFrame:
+    """§3.3 stages 7–8: the metric set of one run from a predictions table,
+    named like the ledger (``eval_<metric>``), optionally appended to the ledger
+    store (S10, partitioned by model).
+
+    ``predictions``: single-label tasks ``label, logits``; context hate
+    ``HATEFUL, labels, logits`` (9 wide, CALLS first).
+    """
+    from .operators import evaluate as ev
+
+    if task == "context_hate":
+        rep = ev.category_report(predictions)
+        per_cat = rep.select(F.concat(F.col("category"), F.lit("_f1")).alias("metric"), F.col("f1").alias("value"))
+        summary = ev.category_summary(rep).unpivot([], ["mean_f1", "mean_precision", "mean_recall"], "metric", "value")
+        ext = ev.extended_report(predictions).unpivot([], ["hate_precision", "hate_recall", "hate_f1"], "metric", "value")
+        metrics = per_cat.unionByName(summary).unionByName(ext)
+    else:
+        metrics = ev.single_label_report(predictions, TASK_LABELS[task])
+    out = metrics.select(
+        F.lit(model).alias("model"), F.lit(task).alias("task"), F.lit(run).cast("int").alias("run"),
+        F.concat(F.lit("eval_"), F.col("metric")).alias("metric"), F.col("value").cast("double").alias("value"),
+    )
+    if ledger_path:
+        rs.append_ledger(out, ledger_path)
+    return out
+
+
+def class_weights(spark: SparkSession, task: str, train: DataFrame, limited: bool = False) -> DataFrame | None:
+    """§3.3 stage 5: ``balanced`` for emotion (A4), ``1/(2·mean)`` per category
+    for context hate (A5), none for sentiment, hate and irony."""
+    from .operators.tasks import balanced_weights, label_dim, positive_weights
+
+    if task == "emotion":
+        return balanced_weights(train, "label", label_dim(spark, K.EMOTION_LABELS))
+    if task == "context_hate":
+        return positive_weights(train, K.EXTENDED_HATE_CATEGORIES, limited)
+    return None
