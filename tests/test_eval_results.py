@@ -83,12 +83,12 @@ def test_stratified_split_exact(spark):
 def test_ledger_scan_and_plan(spark):
     tmp = tempfile.mkdtemp(prefix="tc-ledger-", dir="/tmp")
     led = {"hate": [{"eval_macro_f1": 0.7, "eval_loss": 0.5}, {"eval_macro_f1": 0.8, "eval_loss": 0.4}], "model_name": "x"}
-    with open(os.path.join(tmp, "robertuito-uncased-200k.json"), "w") as f:
+    with open(os.path.join(tmp, "lm-uncased-200k.json"), "w") as f:
         json.dump(led, f)
     with open(os.path.join(tmp, "test.json"), "w") as f:
         json.dump(led, f)
     rows = read_ledgers(spark, os.path.join(tmp, "*.json")).collect()
-    assert {r["model"] for r in rows} == {"robertuito-uncased-200k"}
+    assert {r["model"] for r in rows} == {"lm-uncased-200k"}
     assert sorted((r["run"], r["metric"], r["value"]) for r in rows) == [(0, "eval_loss", 0.5), (0, "eval_macro_f1", 0.7), (1, "eval_loss", 0.4), (1, "eval_macro_f1", 0.8)]
     plan = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10)], "model string, times int")
     found = spark.createDataFrame([("b", 4), ("c", 12)], "model string, n_runs long")

@@ -88,11 +88,11 @@ def test_evaluate_run_and_weights(spark):
     d = tempfile.mkdtemp(prefix="tc-run-", dir="/tmp")
     rows = [(0, [1.0, 0.0])] * 258 + [(0, [0.0, 1.0])] * 83 + [(1, [0.0, 1.0])] * 104 + [(1, [1.0, 0.0])] * 55
     preds = spark.createDataFrame(rows, "label int, logits array<double>")
-    out = {r["metric"]: r["value"] for r in jobs.evaluate_run(spark, "hate", preds, "beto", 0, d).collect()}
+    out = {r["metric"]: r["value"] for r in jobs.evaluate_run(spark, "hate", preds, "lm-a", 0, d).collect()}
     assert abs(out["eval_macro_f1"] - 0.695073) < 1e-6 and round(out["eval_acc"], 3) == 0.724
-    assert spark.read.parquet(d).filter(F.col("model") == "beto").count() == len(out)
+    assert spark.read.parquet(d).filter(F.col("model") == "lm-a").count() == len(out)
     ctx = spark.createDataFrame([(1, [1] + [0] * 8, [-1.0, 2.0] + [-1.0] * 7), (0, [0] * 9, [-1.0] * 9)], "HATEFUL int, labels array<int>, logits array<double>")
-    m = {r["metric"]: r["value"] for r in jobs.evaluate_run(spark, "context_hate", ctx, "beto", 0).collect()}
+    m = {r["metric"]: r["value"] for r in jobs.evaluate_run(spark, "context_hate", ctx, "lm-a", 0).collect()}
     assert m["eval_hate_f1"] == 1.0 and m["eval_calls_f1"] == 0.0 and "eval_mean_f1" in m
     train = spark.createDataFrame([(0,), (0,), (1,), (2,), (3,), (4,), (5,), (6,)], "label int")
     assert jobs.class_weights(spark, "emotion", train).count() == 7

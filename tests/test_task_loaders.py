@@ -27,12 +27,12 @@ def _counts(df):
 def test_sentiment_presplit_and_unknown(spark):
     d = tempfile.mkdtemp(prefix="tc-sent-", dir="/tmp")
     rows = [(f"texto {i} @alguien\nlinea", "es", K.SENTIMENT_POLARITY[i % 3], ["train", "dev", "test"][i % 3]) for i in range(30)]
-    _csv(os.path.join(d, "tass.csv"), ["text", "lang", "polarity", "split"], rows)
-    df = tl.load_sentiment(spark, os.path.join(d, "tass.csv"))
+    _csv(os.path.join(d, "sentiment.csv"), ["text", "lang", "polarity", "split"], rows)
+    df = tl.load_sentiment(spark, os.path.join(d, "sentiment.csv"))
     assert _counts(df) == {"train": 10, "dev": 10, "test": 10}
     r = df.filter(F.col("split") == "dev").first()
     assert r["label"] == 1 and "@usuario" in r["text"] and "\n" not in r["text"]
-    assert _counts(tl.load_sentiment(spark, os.path.join(d, "tass.csv"), limit=4)) == {"train": 4, "dev": 4, "test": 4}
+    assert _counts(tl.load_sentiment(spark, os.path.join(d, "sentiment.csv"), limit=4)) == {"train": 4, "dev": 4, "test": 4}
     _csv(os.path.join(d, "bad.csv"), ["text", "lang", "polarity", "split"], [("x", "es", "MAYBE", "train")])
     with pytest.raises(Exception):
         tl.load_sentiment(spark, os.path.join(d, "bad.csv")).collect()

@@ -43,15 +43,15 @@ def test_emoji_collapse(spark):
 
 
 def test_social_steps(spark):
-    s = "Hola @pysentimiento mira #VivaPeron http://t.co/a@b fin"
+    s = "Hola @alguien mira #VivaPeron http://t.co/a@b fin"
     c = tx.replace_hashtags(tx.replace_mentions(tx.replace_urls(F.col("x"))))
     assert one(spark, c, s) == "Hola @usuario mira  hashtag VivaPeron  url fin"
 
 
-def test_social_normalise_readme_example(spark):
-    s = "Esto es un tweet estoy usando #Robertuito @pysentimiento \U0001F923"
+def test_social_normalise_worked_example(spark):
+    s = "Esto es un tweet estoy usando #Modelito @alguien \U0001F923"
     got = one(spark, tx.social_normalise(F.col("x")), s)
-    assert got == "Esto es un tweet estoy usando hashtag Robertuito @usuario emoji cara revolviéndose de la risa emoji"
+    assert got == "Esto es un tweet estoy usando hashtag Modelito @usuario emoji cara revolviéndose de la risa emoji"
 
 
 def test_camel_split_only_inside_tags(spark):

@@ -18,14 +18,14 @@ from .registry import query
 
 # stand-in model name of each event type (a 5-row dimension)
 MODELS = {
-    "view": "beto-cased",
-    "click": "beto-uncased",
-    "purchase": "robertuito-cased",
-    "signup": "robertuito-uncased",
-    "error": "robertuito-deacc",
+    "view": "lm-a-cased",
+    "click": "lm-a-uncased",
+    "purchase": "lm-b-cased",
+    "signup": "lm-b-uncased",
+    "error": "lm-b-deacc",
 }
 TASK_BANDS = ["context_hate", "hate", "sentiment", "emotion", "irony"]
-ORDER = ["robertuito-uncased", "robertuito-deacc", "robertuito-cased", "beto-cased", "beto-uncased"]
+ORDER = ["lm-b-uncased", "lm-b-deacc", "lm-b-cased", "lm-a-cased", "lm-a-uncased"]
 
 _MODELS_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in MODELS.items()) + ") m(event_type, model))"
 _TASK_SQL = "CASE " + " ".join(f"WHEN k < {20 * (i + 1)} THEN '{t}'" for i, t in enumerate(TASK_BANDS[:-1])) + f" ELSE '{TASK_BANDS[-1]}' END"
@@ -168,7 +168,7 @@ def l2_order_by_list(spark, sf_dir):
     return _r6(rs.order_by_list(_headline_means(spark, sf_dir), "model", ORDER), "mean")
 
 
-PLAN = [(m, 200) for m in ORDER] + [("bertin", 200)]
+PLAN = [(m, 200) for m in ORDER] + [("lm-c", 200)]
 _PLAN_SQL = "(SELECT * FROM (VALUES " + ", ".join(f"('{m}', {t})" for m, t in PLAN) + ") p(model, times))"
 _J4 = f"""{_LED},
 found AS (SELECT model, count(DISTINCT run) AS n_runs FROM long GROUP BY model),
