@@ -148,3 +148,14 @@ def test_bpe_parallel_merges_option(spark):
     assert got <= 40 and got == len({r["token"] for r in fast.vocab.collect()})
     # the first merge of each round is the exact best pair: the first merge agrees
     assert fast.merges.orderBy("rank").first()["left"] == exact.merges.orderBy("rank").first()["left"]
+
+
+def test_hot_group_is_spread(spark):
+    # one label holds a third of all rows: its rows must land in many tasks
+    from tidecorpus.operators.indexing import range_tagged
+
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 50}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, g string")
+    tagged = range_tagged(df, ["id"], ["g"], partitions=16)
+    per_task = {r["_pid"]: r["n"] for r in tagged.filter(F.col("g") == "hot").groupBy("_pid").agg(F.count("*").alias("n")).collect()}
+    assert len(per_task) >= 4 and max(per_task.values()) <= 2000 / 3

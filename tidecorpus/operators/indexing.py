@@ -45,11 +45,7 @@ def group_index(
     ``order`` must be a total order inside each group (append a unique key).
     """
     groups = list(groups)
-    n = partitions or shuffle_partitions(df.sparkSession)
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    keys = [F.col(g) for g in groups] + order_cols
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    tagged = cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = range_tagged(df, order, groups, partitions)
     counts = tagged.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     w = Window.partitionBy(*groups).orderBy("_pid") if groups else Window.orderBy("_pid")
     offsets = counts.select("_pid", *groups, "_first", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
@@ -57,6 +53,16 @@ def group_index(
     return joined.withColumn(name, F.col("_off") + F.col("_mid") - F.col("_first")).drop("_pid", "_mid", "_first", "_off")
 
 
+def range_tagged(df: DataFrame, order: Sequence[str | Column], groups: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Steps 1–2: rows range-partitioned on (groups, order), sorted, tagged with
+    ``_pid`` / ``_mid`` and stored once (reliable checkpoint)."""
+    n = partitions or shuffle_partitions(df.sparkSession)
+    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
+    keys = [F.col(g) for g in groups] + order_cols
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    return cut_lineage(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()))
+
+
 def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_index") -> DataFrame:
     """Global 0-based row index in ``order``."""
     return group_index(df, order, (), name)
