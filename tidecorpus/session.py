@@ -86,7 +86,11 @@ def spread_table(spark: SparkSession, sf_dir: str, name: str, cols: tuple[str, .
     df = df.select(*cols) if cols else df
     if stamp is None:
         return spread(df)
-    key = (spark.sparkContext.applicationId, path, stamp, tuple(cols))
+    ck = spark.sparkContext.getCheckpointDir() or ""
+    key = (spark.sparkContext.applicationId, ck, path, stamp, tuple(cols))
+    local_ck = ck.replace("file:", "", 1) if ck.startswith(("file:", "/")) else None
+    if key in _SPREAD_MEMO and local_ck is not None and not os.path.isdir(local_ck):
+        del _SPREAD_MEMO[key]  # the checkpoint folder was removed: read afresh
     if key not in _SPREAD_MEMO:
         _SPREAD_MEMO[key] = spread(df)
     return _SPREAD_MEMO[key]
