@@ -3,7 +3,6 @@
 import json
 import os
 import tempfile
-import time
 
 import pytest
 from pyspark.sql import functions as F

@@ -8,7 +8,6 @@ per-file counts reach the driver-side planning, never rows.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .splits import first_n, stratified_split
+from .splits import stratified_split
 
 
 def label_dim(spark: SparkSession, names: Sequence[str], name_col: str = "name", id_col: str = "label") -> DataFrame:

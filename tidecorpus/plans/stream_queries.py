@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..session import ensure_checkpoint_dir, table
 from ..streaming import stream as stm
 from .corpus import TOKEN_LEN_SQL

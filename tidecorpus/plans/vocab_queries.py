@@ -12,7 +12,7 @@ from ..session import table
 from ..sources.tables import social_documents
 from ..functions import text as tx
 from . import sqltext as S
-from .array_queries import _SPECIALS_SQL, _TOK_CTE, _VOC_CTE, VOCAB, word_vocab
+from .array_queries import _TOK_CTE, _VOC_CTE, VOCAB, word_vocab
 from .registry import query
 
 ALPHA_LIMIT = 20

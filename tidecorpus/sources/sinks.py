@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def save_dataset(df: DataFrame, path: str, partition_by: Sequence[str] = ("split",)) -> None:

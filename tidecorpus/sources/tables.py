@@ -22,8 +22,6 @@ def social_column(text: str = "text", doc_id: str = "doc_id") -> Column:
     )
 
 
-from ..plans.sqltext import SOCIAL as SOCIAL_SQL  # noqa: E402
-
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     """documents, pruned to ``cols`` at the scan, spread over the cores when the
