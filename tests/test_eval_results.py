@@ -156,3 +156,13 @@ def test_merge_special_token_lists(spark):
     b = spark.createDataFrame([(t, i + len(K.SEQUENCE_SPECIALS)) for i, t in enumerate(K.SOCIAL_TOKENS)], "token string, ord int")
     merged = [r["token"] for r in a.unionByName(b).orderBy("ord").collect()]
     assert merged == K.SEQUENCE_SPECIALS + K.SOCIAL_TOKENS
+
+
+def test_label_domain_strict_and_split(spark):
+    df = spark.createDataFrame([(0,), (1,), (2,), (None,)], "label int")
+    valid, rejected = tk.validate_labels(df, "label", 2)
+    assert sorted(r["label"] for r in valid.collect()) == [0, 1]
+    assert rejected.count() == 2
+    assert tk.assert_labels(spark.createDataFrame([(0,), (1,)], "label int"), "label", 2).count() == 2
+    with pytest.raises(Exception):
+        tk.assert_labels(df.filter(F.col("label").isNotNull()), "label", 2).collect()
