@@ -97,3 +97,19 @@ def test_evaluate_run_and_weights(spark):
     train = spark.createDataFrame([(0,), (0,), (1,), (2,), (3,), (4,), (5,), (6,)], "label int")
     assert jobs.class_weights(spark, "emotion", train).count() == 7
     assert jobs.class_weights(spark, "hate", train) is None
+
+
+def test_command_line(corpus_dir):
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    base = tempfile.mkdtemp(prefix="tc-cli-", dir="/tmp")
+    env = dict(os.environ, PYTHONPATH=repo)
+    run = lambda *a: subprocess.run([sys.executable, "-m", "tidecorpus", "--master", "local[2]", *a], cwd=base, env=env, capture_output=True, text=True, timeout=600)
+    r = run("filter-tweets", corpus_dir, os.path.join(base, "kept"), "2")
+    assert r.returncode == 0 and "kept" in r.stdout, r.stderr[-2000:]
+    r = run("train-tokenizer", os.path.join(base, "kept"), os.path.join(base, "tok"), "--lowercase", "--vocab-size", "40", "--min-frequency", "2", "--num-files", "2")
+    assert r.returncode == 0 and "vocabulary of" in r.stdout, r.stderr[-2000:]
+    r = run("prepare-mlm", os.path.join(base, "kept"), os.path.join(base, "tok"), os.path.join(base, "mlm"), "--max-length", "16", "--batch-size", "8")
+    assert r.returncode == 0 and "encoded rows" in r.stdout, r.stderr[-2000:]

@@ -17,6 +17,7 @@ per merge round).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +89,8 @@ def train_tokenizer(
     model = vb.train_bpe(
         lines.select(text.alias("text")), "text", vocab_size, min_frequency, limit_alphabet, merges_per_round=merges_per_round
     )
+    if "://" not in output_path:
+        os.makedirs(output_path, exist_ok=True)  # the job creates its folder; save_vocabulary (S13) requires one
     vb.save_vocabulary(model, output_path, prefix)
     return model
 

@@ -281,3 +281,11 @@ def first_ids(vocab: DataFrame, k: int = 20) -> DataFrame:
 def vocab_alphabet(vocab: DataFrame) -> DataFrame:
     """Sorted distinct characters over all tokens."""
     return vocab.select(F.explode(F.split("token", "", -1)).alias("ch")).filter(F.length("ch") > 0).distinct().orderBy("ch")
+
+
+def load_model(spark: SparkSession, directory: str, prefix: str | None = None) -> BpeModel:
+    """Read a vocabulary saved by ``save_vocabulary`` (S13) back as a model."""
+    stem = f"{prefix}-" if prefix else ""
+    vocab = spark.read.parquet(os.path.join(directory, stem + "vocab"))
+    merges = spark.read.parquet(os.path.join(directory, stem + "merges"))
+    return BpeModel(vocab.select("token", F.col("id").cast("int")), merges.select("left", "right", F.col("rank").cast("int")))
