@@ -97,3 +97,10 @@ def test_equality_and_labels_vector(spark):
     assert en.encodings_equal(a, b, "k", ["ids"]).collect()[0][0] is False
     df = spark.createDataFrame([(1, 0, 1)], "a int, b int, c int")
     assert df.select(en.labels_vector(["a", "b", "c"]).alias("v")).collect()[0]["v"] == [1, 0, 1]
+
+
+def test_effective_max_length():
+    assert en.effective_max_length(128, 512) == 128
+    assert en.effective_max_length(256, 128) == 128
+    assert en.effective_max_length(None, 4096) == 1024
+    assert en.effective_max_length(None, None) == 1024

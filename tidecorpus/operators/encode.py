@@ -127,6 +127,13 @@ def token_length(mask) -> Column:
     return F.aggregate(_c(mask), F.lit(0), lambda acc, x: acc + x) - 2
 
 
+def effective_max_length(requested: int | None, model_max: int | None = None, cap: int = 1024) -> int:
+    """The length sequences are cut to – min(requested, model maximum);
+    without a request the model maximum, itself capped at ``cap``."""
+    limit = min(model_max, cap) if model_max else cap
+    return min(requested, limit) if requested else limit
+
+
 def truncate(body, max_len: int = K.MAX_LENGTH, n_special: int = 2) -> Column:
     """Keep the first ``max_len − n_special`` ids of the body."""
     return F.slice(_c(body), 1, max_len - n_special)
