@@ -159,3 +159,15 @@ def test_hot_group_is_spread(spark):
     tagged = range_tagged(df, ["id"], ["g"], partitions=16)
     per_task = {r["_pid"]: r["n"] for r in tagged.filter(F.col("g") == "hot").groupBy("_pid").agg(F.count("*").alias("n")).collect()}
     assert len(per_task) >= 4 and max(per_task.values()) <= 2000 / 3
+
+
+def test_id_encoder_equals_lookup_join(spark):
+    from tidecorpus.operators import encode as en
+
+    lines = ["ab abc cab", "bca zz ab", ""]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "k long, text string")
+    m = vb.train_bpe(df.filter(F.length("text") > 0), "text", vocab_size=20, min_frequency=1, limit_alphabet=400)
+    direct = {r["k"]: r["ids"] for r in df.select("k", vb.bpe_id_encoder(spark, m)("text").alias("ids")).collect()}
+    pieces = df.select("k", vb.bpe_encoder(spark, m)("text").alias("p"))
+    joined = {r["k"]: r["ids"] for r in en.lookup_ids(pieces, "k", "p", m.vocab).collect()}
+    assert direct == joined and direct[2] == []

@@ -114,10 +114,8 @@ def prepare_mlm(
     """
     lines = non_blank(_ordered_lines(spark, files, "*"))
     text = tx.tokenizer_normalise("value", lowercase=lowercase, strip_accents=strip_accents)
-    enc = vb.bpe_encoder(spark, model)
-    pieces = lines.select("line_id", "file_path", "block_start", en.truncate(enc(text), max_length).alias("pieces"))
-    ids = en.lookup_ids(pieces.select("line_id", "pieces"), "line_id", "pieces", model.vocab, "body")
-    seq = ids.join(pieces.select("line_id", "file_path", "block_start"), "line_id")
+    enc = vb.bpe_id_encoder(spark, model)  # pieces → ids inside the task: no shuffle before batching
+    seq = lines.select("line_id", "file_path", "block_start", en.truncate(enc(text), max_length).alias("body"))
     seq = seq.select(
         "line_id", "file_path", "block_start",
         en.pad(en.build_inputs("body"), max_length).alias("input_ids"),

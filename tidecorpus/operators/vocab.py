@@ -240,6 +240,38 @@ def bpe_encoder(spark: SparkSession, model: BpeModel):
     return encode
 
 
+def bpe_id_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID):
+    """E4 + E5 in one pass: a pandas UDF ``text → array<int>`` of subword ids.
+
+    Merge list and vocabulary are both bounded by ``vocab_size`` and shipped
+    once as a broadcast variable, so the corpus is encoded row by row without
+    the explode / join / regroup shuffle of ``encode.lookup_ids`` – the path
+    for the large MLM job and for streams.
+    """
+    merges = model.merges.orderBy("rank").collect()  # ≤ vocab_size rows
+    ranks = {(r["left"], r["right"]): r["rank"] for r in merges}
+    vocab = {r["token"]: r["id"] for r in model.vocab.collect()}  # ≤ vocab_size rows
+    alpha = {t for t in vocab if len(t) == 1}
+    bc = spark.sparkContext.broadcast((ranks, alpha, vocab))
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def encode_ids(texts: pd.Series) -> pd.Series:
+        ranks_, alpha_, vocab_ = bc.value
+        memo: dict = {}
+        out = []
+        for t in texts:
+            if t is None or t == "":
+                out.append([])
+                continue
+            ids: list[int] = []
+            for w in t.split(" "):
+                ids.extend(vocab_.get(p, unk_id) for p in _bpe_word(MARK + w, ranks_, alpha_, memo))
+            out.append(ids)
+        return pd.Series(out)
+
+    return encode_ids
+
+
 # ------------------------------------------------------------------ dumps, filters
 def vocab_lines(vocab: DataFrame) -> DataFrame:
     """``f"{id:<6} --- {token}"`` lines ordered by id."""
