@@ -66,7 +66,7 @@ def main():
     args = sys.argv[1:]
     sf_dir = args[0] if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     pats = [a for a in args if not os.path.isdir(a)]
-    spark = local_session(8)
+    spark = local_session(8, shuffle_partitions=int(os.environ.get("TIDE_SHUFFLE_PARTITIONS", "8")))
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
