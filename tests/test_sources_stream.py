@@ -101,3 +101,20 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 100
     # the flagship also runs on the smallest scale through the registry
     assert qs["p10_min_length_filter"](spark, SF001).count() == df.count()
+
+
+def test_bpe_stream_equals_batch(spark):
+    d = _tmp("tc-st1-")
+    inp = os.path.join(d, "in")
+    os.makedirs(inp)
+    lines = ["hola hola mundo", "mundo hola", "   ", "adios mundo cruel"]
+    for i, t in enumerate(lines):
+        with open(os.path.join(inp, f"p{i}.txt"), "w") as f:
+            f.write(t + "\n")
+    model = vb.train_bpe(spark.createDataFrame([(x,) for x in lines], "text string"), "text", vocab_size=30, min_frequency=1)
+    q = stm.start_sink(stm.encode_stream(stm.line_stream(spark, inp, 2), model=model, max_len=16).select("value", "input_ids"),
+                       os.path.join(d, "out"), "parquet", os.path.join(d, "ck"))
+    q.awaitTermination(120)
+    streamed = sorted((r["value"], tuple(r["input_ids"])) for r in spark.read.parquet(os.path.join(d, "out")).collect())
+    batch = sorted((r["value"], tuple(r["input_ids"])) for r in stm.encode_stream(spark.read.text(inp), model=model, max_len=16).collect())
+    assert streamed == batch and len(streamed) == 3 and all(len(ids) == 16 for _, ids in streamed)

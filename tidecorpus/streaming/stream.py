@@ -64,11 +64,21 @@ def ids_encoder(spark: SparkSession, vocab: DataFrame, unk: int = K.UNK_ID):
     return to_ids
 
 
-def encode_stream(df: DataFrame, vocab: DataFrame, text_col: str = "value", max_len: int = K.MAX_LENGTH) -> DataFrame:
-    """ST1: clean → skip blank lines → tokens → truncate → ids → specials → pad → masks."""
-    to_ids = ids_encoder(df.sparkSession, vocab)
-    clean = tx.social_normalise(text_col)
-    body = to_ids(en.truncate(en.word_tokens(clean), max_len))
+def encode_stream(df: DataFrame, vocab: DataFrame | None = None, text_col: str = "value", max_len: int = K.MAX_LENGTH, model=None) -> DataFrame:
+    """ST1: clean → skip blank lines → ids → truncate → specials → pad → masks.
+
+    With ``model`` (a trained BPE model) the text goes through the tokenizer
+    normaliser and subword ids; otherwise through word tokens and ``vocab``.
+    Both are stateless per row, so the stream needs no state store.
+    """
+    if model is not None:
+        from ..operators.vocab import bpe_id_encoder
+
+        enc = bpe_id_encoder(df.sparkSession, model)
+        body = en.truncate(enc(tx.tokenizer_normalise(text_col, lowercase=True)), max_len)
+    else:
+        to_ids = ids_encoder(df.sparkSession, vocab)
+        body = to_ids(en.truncate(en.word_tokens(tx.social_normalise(text_col)), max_len))
     ids = en.build_inputs(body)
     padded = en.pad(ids, max_len)
     return df.filter(F.regexp_replace(text_col, tx.PY_WS, "") != "").select(
