@@ -17,6 +17,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from tidecorpus.plans.registry import load_all  # noqa: E402
 from tidecorpus.session import local_session  # noqa: E402
 
+# main input table of each headline query (for input rows per second)
+INPUT = {
+    "p10_min_length_filter": "documents", "t1_social_normalise": "documents", "e2_word_vocabulary": "documents",
+    "e9_e12_padded_masks": "documents", "e13_dynamic_padding": "documents", "e18_mlm_masking": "documents",
+    "d1_stratified_split": "labels", "a7_category_report": "embeddings", "a9_single_label_report": "embeddings",
+    "a16_kruskal_wallis": "events", "a15_bootstrap_ci": "events",
+}
+
 HEADLINE = [
     "p10_min_length_filter",      # corpus filter slice
     "t1_social_normalise",        # full tweet normaliser over whole texts
@@ -48,7 +56,8 @@ def main():
         for name in HEADLINE:
             run(spark, reg, name, warm)
     times = {name: round(run(spark, reg, name, sf_dir), 3) for name in HEADLINE}
-    docs = spark.read.parquet(os.path.join(sf_dir, "documents.parquet")).count()
+    rows = {t: spark.read.parquet(os.path.join(sf_dir, f"{t}.parquet")).count() for t in set(INPUT.values())}
+    docs = rows["documents"]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     total = round(sum(times.values()), 3)
     print(json.dumps({
@@ -59,6 +68,7 @@ def main():
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cores": int(cpus) if str(cpus).isdigit() else cpus,
         "filter_rows_per_sec": round(docs / times["p10_min_length_filter"], 1),
+        "input_rows_per_sec": {q: round(rows[INPUT[q]] / s, 1) for q, s in times.items()},
     }))
     spark.stop()
 
