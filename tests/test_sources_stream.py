@@ -118,3 +118,12 @@ def test_bpe_stream_equals_batch(spark):
     streamed = sorted((r["value"], tuple(r["input_ids"])) for r in spark.read.parquet(os.path.join(d, "out")).collect())
     batch = sorted((r["value"], tuple(r["input_ids"])) for r in stm.encode_stream(spark.read.text(inp), model=model, max_len=16).collect())
     assert streamed == batch and len(streamed) == 3 and all(len(ids) == 16 for _, ids in streamed)
+
+
+def test_saved_vocabulary_loads_back(spark):
+    d = _tmp("tc-load-")
+    m = vb.train_bpe(spark.createDataFrame([("ab ab cd",)], "text string"), "text", vocab_size=14, min_frequency=1)
+    vb.save_vocabulary(m, d, "x")
+    back = vb.load_model(spark, d, "x")
+    assert sorted(back.vocab.collect()) == sorted(m.vocab.collect())
+    assert sorted(back.merges.collect()) == sorted(m.merges.collect())
