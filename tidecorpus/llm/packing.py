@@ -78,7 +78,7 @@ def encoder(path: str, pattern: str):
         def __missing__(self, word):
             if len(self) >= MEMO:
                 self.clear()
-            out = self[word] = whole(word) if len(word) < 10_000 else whole(word)
+            out = self[word] = whole(word)
             return out
 
     memo = Memo()

@@ -6,12 +6,34 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing
-from .common import table
+from . import mixing, neardup, packing, quality, toxicity
+from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is drawn under the production weights."""
+    docs = table(spark, sf_dir, "documents").withColumn("domain", mixing.domain_of())
+    return mixing.draw(docs, **mixing.PRODUCTION).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+def _classified(scored: DataFrame, at: float) -> DataFrame:
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return _classified(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return _classified(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -26,8 +48,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_quality_classifier": op5_quality_classifier,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql()}
