@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, neardup, packing, quality, toxicity
+from . import fingerprint, mixing, neardup, packing, quality, toxicity
 from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -41,6 +41,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document, of its edited text, and the documents within 3 bits."""
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -52,6 +57,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_document_fingerprints": op6_document_fingerprints,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
