@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, mixing, neardup, packing, quality, toxicity
+from . import fingerprint, license_scan, mixing, neardup, packing, quality, toxicity
 from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -46,6 +46,12 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and covered licence templates of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (4-word shingles, 4 bits)."""
     found = neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
@@ -58,6 +64,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
