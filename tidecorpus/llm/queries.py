@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, license_scan, mixing, neardup, packing, quality, toxicity
+from . import ann, fingerprint, license_scan, mixing, neardup, packing, quality, token_count, toolcalls, toxicity
 from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
+PIECE_FILE = "piece_bpe_32k.model"
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +42,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram pieces of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return token_count.with_counts(docs, public_tokenizers.path(PIECE_FILE)).select("doc_id", "n_tokens")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of every conversation, linked, ordered, validated and serialised."""
+    return toolcalls.link(*toolcalls.from_turns(table(spark, sf_dir, "conversations")), toolcalls.TOOLS)
+
+
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every row whose vec_id is divisible by 20."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document, of its edited text, and the documents within 3 bits."""
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
@@ -62,10 +79,13 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_chat_formatting": op7_chat_formatting,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op7_chat_formatting": toolcalls.oracle_sql()}
