@@ -270,8 +270,8 @@ def deduplicated(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFr
     ids keeps one row); of repeated rows, one stays."""
     found = near_duplicates(docs, shingle, max_bits)
     best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("content"))).alias("c"))
-    keep = best.select(F.col("component_id").alias("_keep_id"), F.col("c.content").alias("_keep_content"))
+    keep = best.select(F.col("component_id").alias("_tide_keep_id"), F.col("c.content").alias("_tide_keep_content"))
     content = F.xxhash64(null_safe_text("text"), F.lit(7))
-    rows = docs.withColumn("_content", content)
-    kept = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_content") == F.col("_keep_content")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_content"]).drop("_content")
+    rows = docs.withColumn("_tide_content", content)
+    kept = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_tide_keep_id")) & (F.col("_tide_content") == F.col("_tide_keep_content")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_tide_content"]).drop("_tide_content")

@@ -203,12 +203,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
     return fit_arrays(np.array(got["x"].tolist(), dtype=float).reshape(-1, len(FEATURES)), got["y"].to_numpy(dtype=float), **params)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of every whole text."""
+def scorer(model: Model):
+    """Column function: the score (0 to 1) of a text column."""
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(model.predict(_matrix(texts)), dtype=float)
 
-    return docs.withColumn("score", scored(null_safe_text("text")))
+    return lambda text: scored(null_safe_text(text))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) of every whole text."""
+    return docs.withColumn("score", scorer(model)("text"))

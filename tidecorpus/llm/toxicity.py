@@ -33,7 +33,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, null_safe_text, worker_cached
@@ -180,10 +180,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive:
     return fit_texts(got.loc[got["y"] == 1, "text"].tolist(), got.loc[got["y"] == 0, "text"].tolist(), prior, seed=seed, **params)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) of every whole text."""
+def scorer(spark: SparkSession, model: Model):
+    """Column function: the score (0 to 1) of a text column."""
     name = ("toxicity", crc32(repr(sorted(model.weights.items())).encode()), model.bias)
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most max_features weights
+    sent = spark.sparkContext.broadcast(model)  # at most max_features weights
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -206,4 +206,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             f = np.array([one(t) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
 
-    return docs.withColumn("score", scored(null_safe_text("text")))
+    return lambda text: scored(null_safe_text(text))
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) of every whole text."""
+    return docs.withColumn("score", scorer(docs.sparkSession, model)("text"))
