@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidecorpus.llm import mixing, neardup, packing, quality, toxicity
 from tidecorpus.llm.common import stored, table
@@ -22,13 +21,13 @@ TOXIC_AT = 0.5
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least ``QUALITY_AT``, learnt from ``labels``."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= QUALITY_AT).select(*docs.columns)
+    return docs.where(quality.scorer(model)("text") >= QUALITY_AT)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under ``TOXIC_AT``, learnt from ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where(F.col("score") < TOXIC_AT).select(*docs.columns)
+    return docs.where(toxicity.scorer(spark, model)("text") < TOXIC_AT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
