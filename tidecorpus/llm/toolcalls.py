@@ -9,11 +9,12 @@ content) and gives one row per call or unanswered-for result:
    multiply; the number comes from a range-split row index, not from a window
    over one id. ``status`` is linked, unanswered (no result) or orphan (no call);
 2. a topological order by depth in the dependency forest. Depths come from
-   pointer doubling, in rounds that grow with the logarithm of the depth. A
-   whose ``after`` is unknown counts as a root and is marked; calls on a cycle,
-   or behind one, come last and are marked. ``position`` numbers a conversation
-   by depth, turn, id and occurrence (range-split: a conversation may hold a
-   third of all rows);
+   pointer doubling, in rounds that grow with the logarithm of the depth. All
+   calls of an id share the smallest ``after`` given for it. A call whose
+   ``after`` is unknown counts as a root and is marked; calls on a cycle, or
+   behind one, come last and are marked. ``position`` numbers a conversation by
+   depth, turn, id and occurrence (range-split: a conversation may hold a third
+   of all rows);
 3. arguments are checked against the tool's schema: JSON object, required
    fields, types, bounds, allowed values, no unknown fields;
 4. canonical JSON: keys sorted at every level, no white space, one spelling of
