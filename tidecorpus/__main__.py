@@ -35,7 +35,7 @@ def main(argv=None) -> int:
     sub = p.add_subparsers(dest="job", required=True)
 
     f = sub.add_parser("filter-tweets")
-    f.add_argument("in_dir"), f.add_argument("out_dir"), f.add_argument("num_workers", type=int, nargs="?", default=8)
+    f.add_argument("in_dir"), f.add_argument("out_dir"), f.add_argument("num_workers", type=int, nargs="?", default=None)
 
     g = sub.add_parser("generate-dataset")
     g.add_argument("input_path"), g.add_argument("output_path")

@@ -20,7 +20,6 @@ CLS_ID, PAD_ID, SEP_ID, UNK_ID, MASK_ID = 0, 1, 2, 3, 4
 # --- fixed values: lengths and thresholds ---
 MIN_TOKENS = 6               # corpus filter keeps token_len >= 6
 MAX_LENGTH = 128             # truncation while counting / encoding
-FILTER_BATCH = 4096          # filter-job batch size
 ENCODE_BATCH = 1024          # best encode batch
 MLM_PROBABILITY = 0.15       # share of positions chosen for masking
 IGNORE_INDEX = -100          # label of positions not chosen
@@ -82,6 +81,3 @@ EMOJI_RANGES = "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}]"
 
 # --- fixed values: CJK ranges spaced apart by the clean-text normaliser ---
 CJK_RANGES = "[\\x{4E00}-\\x{9FFF}\\x{3400}-\\x{4DBF}\\x{20000}-\\x{2A6DF}\\x{2A700}-\\x{2B73F}\\x{2B740}-\\x{2B81F}\\x{2B820}-\\x{2CEAF}\\x{F900}-\\x{FAFF}\\x{2F800}-\\x{2FA1F}]"
-
-# --- fixed values: portable pseudo-random formula (same integers in Spark and DuckDB) ---
-HASH_A, HASH_B, HASH_MOD = 7919, 104729, 1000003

@@ -60,14 +60,19 @@ def collapse_emoji_spans(c) -> Column:
 
 
 # ---------------------------------------------------------------- T1 social normaliser
+def literal(token: str) -> str:
+    """A token as a regex replacement that stands for itself."""
+    return token.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def replace_urls(c, token: str = K.URL_TOKEN) -> Column:
     """``http(s)://…`` or ``www.…`` up to the next whitespace → url token."""
-    return F.regexp_replace(_c(c), "https?://" + NOT_WS + "+|www\\." + NOT_WS + "+", token)
+    return F.regexp_replace(_c(c), "https?://" + NOT_WS + "+|www\\." + NOT_WS + "+", literal(token))
 
 
 def replace_mentions(c, token: str = K.USER_TOKEN) -> Column:
     """``@handle`` → user token (run after T1b so ``@`` inside URLs survives)."""
-    return F.regexp_replace(_c(c), "@" + WORD + "+", token.replace("$", "\\$"))
+    return F.regexp_replace(_c(c), "@" + WORD + "+", literal(token))
 
 
 def split_hashtag_camel(c) -> Column:
@@ -81,7 +86,7 @@ def split_hashtag_camel(c) -> Column:
 
 def replace_hashtags(c, token: str = K.HASHTAG_TOKEN) -> Column:
     """``#Tag`` → `` hashtag Tag ``."""
-    return F.regexp_replace(_c(c), "#(" + WORD + "+)", f" {token} $1 ")
+    return F.regexp_replace(_c(c), "#(" + WORD + "+)", f" {literal(token)} $1 ")
 
 
 def replace_emoji(c, wrapper: str = K.EMOJI_WRAPPER, names: dict | None = None) -> Column:
@@ -89,7 +94,7 @@ def replace_emoji(c, wrapper: str = K.EMOJI_WRAPPER, names: dict | None = None)
     out = _c(c)
     for sym, name in (names or K.EMOJI_NAMES).items():
         out = F.replace(out, F.lit(sym), F.lit(f" {wrapper} {name} {wrapper} "))
-    return F.regexp_replace(out, K.EMOJI_RANGES, f" {wrapper}  {wrapper} ")
+    return F.regexp_replace(out, K.EMOJI_RANGES, f" {literal(wrapper)}  {literal(wrapper)} ")
 
 
 def cap_char_runs(c, n: int = 3) -> Column:
@@ -157,16 +162,11 @@ def fix_http_url(c) -> Column:
     return F.replace(_c(c), F.lit("http://url"), F.lit(" url "))
 
 
-def tokenizer_normalise(c, lowercase: bool = False, strip_accents: bool = False, unicode: bool = True) -> Column:
-    """NFKC → clean text → CJK → accents → lower → T11–T14.
-
-    ``unicode=False`` skips the two Arrow UDF steps (NFKC, accents) – exact for
-    text that is already NFKC and accent-free.
-    """
+def tokenizer_normalise(c, lowercase: bool = False, strip_accents: bool = False) -> Column:
+    """NFKC → clean text → CJK → accents → lower → T11–T14."""
     from .udfs import nfkc, strip_accents as _strip
 
-    out = nfkc(_c(c)) if unicode else _c(c)
-    out = space_cjk(clean_text(out))
+    out = space_cjk(clean_text(nfkc(_c(c))))
     if strip_accents:
         out = _strip(out)
     if lowercase:

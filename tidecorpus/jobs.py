@@ -30,10 +30,10 @@ from .operators import encode as en
 from .operators import results as rs
 from .operators import vocab as vb
 from .operators.indexing import group_index
-from .operators.splits import file_holdout
+from .operators.splits import file_holdout, text_hash
 from .plans.corpus import filter_corpus
 from .sources import sinks
-from .sources.text import non_blank, read_ledgers, read_lines
+from .sources.text import list_files, non_blank, read_ledgers, read_lines
 
 
 def _ordered_lines(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
@@ -41,8 +41,8 @@ def _ordered_lines(spark: SparkSession, path: str | Sequence[str], glob: str) ->
     return read_lines(spark, path, glob).withColumn("line_id", F.monotonically_increasing_id())
 
 
-def filter_tweets(spark: SparkSession, in_dir: str, out_dir: str, num_workers: int = 8, min_tokens: int = K.MIN_TOKENS) -> DataFrame:
-    """§3.1: one pass, no shuffle until the sharded write; the original text is kept."""
+def filter_tweets(spark: SparkSession, in_dir: str, out_dir: str, num_workers: int | None = None, min_tokens: int = K.MIN_TOKENS) -> DataFrame:
+    """§3.1: one pass without a shuffle (``num_workers`` files only if asked for); the original text is kept."""
     kept = filter_corpus(read_lines(spark, in_dir, "*.txt"), "value", min_tokens)
     sinks.write_shards(kept, out_dir, num_workers)
     return spark.read.text(out_dir)
@@ -54,7 +54,9 @@ def generate_dataset(
     """D3: ``num_files`` files sampled by a seeded hash (repeatable), the last one
     is test; with ``limit`` each split keeps its first ``limit`` lines and fewer
     lines is an error (L4); saved with ``split`` as partition column (S8)."""
-    lines = _ordered_lines(spark, input_path, "*.txt")
+    files = list_files(spark, input_path, "*.txt")
+    chosen = [r["file_path"] for r in files.orderBy(text_hash("file_path", seed), "file_path").limit(num_files).collect()]  # num_files names
+    lines = _ordered_lines(spark, chosen, "*.txt")  # only the chosen files are read
     held = file_holdout(lines, "file_path", num_files, seed)
     if limit:
         held = group_index(held, ["file_path", "block_start", "line_id"], ["split"], "_pos")
@@ -82,9 +84,8 @@ def train_tokenizer(
 ) -> vb.BpeModel:
     """L5 + T15 + E1 + S13: the first ``num_files`` files in sorted order,
     normalised like the tokenizer does, trained, and saved."""
-    lines = read_lines(spark, train_path, "*.txt")
-    first = lines.select("file_path").distinct().orderBy("file_path").limit(num_files)  # ≤ num_files rows
-    lines = lines.join(F.broadcast(first), "file_path", "left_semi")
+    first = [r["file_path"] for r in list_files(spark, train_path, "*.txt").orderBy("file_path").limit(num_files).collect()]  # num_files names
+    lines = read_lines(spark, first, "*.txt")  # only these files are read
     text = tx.tokenizer_normalise("value", lowercase=lowercase, strip_accents=strip_accents)
     model = vb.train_bpe(
         lines.select(text.alias("text")), "text", vocab_size, min_frequency, limit_alphabet, merges_per_round=merges_per_round
@@ -109,8 +110,9 @@ def prepare_mlm(
 ) -> DataFrame:
     """§3.2: S1 → S3 → T15 → E4 → E5 → E10 → E7/E8/E12/E9 → E15 → E18 → parquet.
 
-    Batches run across files in (file, offset, position) order; masking uses
-    the portable per-position formula, so a rerun gives the same masks.
+    Batches run across files in (file, offset, position) order; masks are keyed by
+    a line's index in that order, so a rerun gives the same masks however the
+    files are split over tasks.
     """
     lines = non_blank(_ordered_lines(spark, files, "*"))
     text = tx.tokenizer_normalise("value", lowercase=lowercase, strip_accents=strip_accents)
@@ -124,7 +126,7 @@ def prepare_mlm(
     seq = seq.withColumn("attention_mask", en.attention_mask("input_ids")).withColumn("token_type_ids", en.token_type_ids("input_ids"))
     seq = bt.batches_across_files(seq, ["file_path", "block_start", "line_id"], batch_size)
     vocab_n = model.vocab.count()
-    masked, labels = en.mlm_mask("input_ids", "special_tokens_mask", "line_id", seed, vocab_n, mlm_probability)
+    masked, labels = en.mlm_mask("input_ids", "special_tokens_mask", "row_index", seed, vocab_n, mlm_probability)
     out = seq.select(
         "batch_id", "pos_in_batch", masked.alias("input_ids"), "attention_mask", "token_type_ids", labels.alias("labels")
     )

@@ -4,23 +4,22 @@ Sequences are ``array<int>`` columns; every step is a native higher-order
 function (``transform`` / ``slice`` / ``concat`` / ``array_repeat``) so it runs
 inside whole-stage codegen without leaving the JVM.
 
-Token → id lookups go through the vocabulary *table*: tokens are
-``posexplode``d, joined to the vocabulary (bounded by ``vocab_size``, hence a
-broadcast hash join with a proven size) and regrouped per sequence; truncation
-happens before the explode so a regrouped sequence holds at most ``max_len``
-ids.
+Token → id lookups go through the vocabulary, which is bounded by its size and
+broadcast once; an Arrow UDF maps whole arrays inside the task, so no token row
+is ever shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from .indexing import portable_hash
+from .indexing import hash_below, hash_int, portable_hash
 
 
 def _c(c) -> Column:
@@ -54,27 +53,29 @@ def build_word_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[s
     return specials_table(df.sparkSession, specials).unionByName(ranked)
 
 
-def _regroup(df: DataFrame, key: str, arr: str, vocab: DataFrame, src: str, dst: str, miss, out: str, elem: str) -> DataFrame:
-    ex = df.select(key, F.posexplode_outer(arr).alias("_pos", "_src"))
-    v = F.broadcast(vocab.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")))  # ≤ vocab_size rows
-    j = ex.join(v, "_src", "left").select(key, "_pos", F.coalesce("_dst", F.lit(miss)).alias("_dst"))
-    # rows with an empty sequence come through with a null position: collect_list skips them
-    item = F.when(F.col("_pos").isNotNull(), F.struct("_pos", "_dst"))
-    reg = j.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("_s"))
-    return reg.select(key, F.transform("_s", lambda s: s["_dst"]).cast(f"array<{elem}>").alias(out))
+def array_lookup(vocab: DataFrame, src: str, dst: str, miss, elem: str):
+    """A UDF over arrays: every element goes through the vocabulary, in the task, with no shuffle.
 
+    The vocabulary (at most ``vocab_size`` rows) is collected and broadcast once."""
+    bc = vocab.sparkSession.sparkContext.broadcast({r[src]: r[dst] for r in vocab.select(src, dst).collect()})
 
-def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "ids", unk: int = K.UNK_ID) -> DataFrame:
-    """E5: (key, tokens) → (key, ids), unknown → ``unk``, order kept.
+    @F.pandas_udf(f"array<{elem}>")
+    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        table = bc.value
+        for arrays in batches:
+            yield pd.Series([None if a is None else [table.get(x, miss) for x in a] for a in arrays])
+
+    return look_up
 
-    One shuffle: exploded (key, pos, id) rows regrouped by key; the vocabulary
-    side is a broadcast hash join (bounded by ``vocab_size``)."""
-    return _regroup(df, key, tokens, vocab, "token", "id", unk, out, "int")
+
+def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "ids", unk: int = K.UNK_ID) -> DataFrame:
+    """E5: (key, tokens) → (key, ids), unknown → ``unk``, order kept, whole sequences."""
+    return df.select(key, array_lookup(vocab, "token", "id", unk, "int")(tokens).alias(out))
 
 
 def lookup_tokens(df: DataFrame, key: str, ids: str, vocab: DataFrame, out: str = "tokens", unk: str = K.UNK) -> DataFrame:
-    """(key, ids) → (key, tokens), unknown id → ``<unk>``, order kept."""
-    return _regroup(df, key, ids, vocab, "id", "token", unk, out, "string")
+    """(key, ids) → (key, tokens), unknown id → ``<unk>``, order kept, whole sequences."""
+    return df.select(key, array_lookup(vocab, "id", "token", unk, "string")(ids).alias(out))
 
 
 def add_missing_tokens(vocab: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -174,29 +175,22 @@ def mlm_mask(ids, special_mask, row_id, seed: int, vocab_size: int, probability:
     become ``<mask>``, 10 % a random id, 10 % stay. Labels are the original id
     on chosen positions and −100 elsewhere.
 
-    Randomness is the portable integer formula, so it is reproducible and can
-    be recomputed in SQL: r1 = h(row, pos, seed); r2, r3 chained from r1.
+    Randomness is the portable hash of (seed, row, position), so it is
+    reproducible and can be recomputed in SQL: eight hex digits choose, the next
+    eight pick what happens, the next eight pick the random id.
     """
-    M = K.HASH_MOD
-    thr = int(probability * M)
-
-    def r1(i):
-        return portable_hash(row_id, seed, i)
-
-    def nxt(r):
-        return F.pmod(r * K.HASH_A + K.HASH_B + seed, F.lit(M))
-
     pairs = F.arrays_zip(_c(ids).alias("x"), _c(special_mask).alias("s"))
 
-    def one(z, i):
-        r = r1(i)
-        chosen = (z["s"] == 0) & (r < thr)
-        r2 = nxt(r)
-        r3 = nxt(r2)
+    # one md5 per position, in a step of its own so that it is not written out at each use
+    pairs = F.transform(pairs, lambda z, i: F.struct(z["x"].alias("x"), z["s"].alias("s"), portable_hash(row_id, seed, i).alias("h")))
+
+    def one(z):
+        h = z["h"]
+        chosen = (z["s"] == 0) & hash_below(h, probability)
         new = (
             F.when(~chosen, z["x"])
-            .when(r2 < int(0.8 * M), F.lit(mask_id))
-            .when(r2 < int(0.9 * M), F.pmod(r3, F.lit(vocab_size)).cast("int"))
+            .when(hash_below(h, 0.8, 8), F.lit(mask_id))
+            .when(hash_below(h, 0.9, 8), F.pmod(hash_int(h, 16), F.lit(vocab_size)).cast("int"))
             .otherwise(z["x"])
         )
         lab = F.when(chosen, z["x"]).otherwise(F.lit(K.IGNORE_INDEX))
@@ -229,4 +223,5 @@ def assert_single_length(df: DataFrame, ids: str, first: int = 20000, order: str
     """The first ``first`` examples all have one length (fails the job otherwise)."""
     head = df.orderBy(order).limit(first) if order else df.limit(first)
     n = head.agg(F.count_distinct(F.size(ids)).alias("n_lengths"))
-    return n.select("n_lengths", F.assert_true(F.col("n_lengths") <= 1, F.lit("encoded lengths differ")).alias("_ok")).drop("_ok")
+    # a filter keeps the check in the plan (a dropped column would be pruned)
+    return n.filter(F.assert_true(F.col("n_lengths") <= 1, F.lit("encoded lengths differ")).isNull())

@@ -143,8 +143,11 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, label: str = "labe
     lse = F.log(F.aggregate(F.col(logits), F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
     nll = lse - F.col(logits)[F.col(label)]
     t = df.select(F.col(label).alias("_y"), nll.alias("_nll"))
-    j = t.join(F.broadcast(weights.select(F.col(label).alias("_y"), F.col("weight").alias("_w"))), "_y", "inner")
-    return j.agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"))
+    j = t.join(F.broadcast(weights.select(F.col(label).alias("_y"), F.col("weight").alias("_w"))), "_y", "left")
+    # a label without a weight must fail, not fall out of the sum
+    lost = F.count_if(F.col("_w").isNull())
+    out = j.agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"), lost.alias("_lost"))
+    return out.filter(F.assert_true(F.col("_lost") == 0, F.lit("a label has no weight")).isNull()).select("loss")
 
 
 def softplus(z: Column) -> Column:

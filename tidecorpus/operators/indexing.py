@@ -69,17 +69,30 @@ def row_index(df: DataFrame, order: Sequence[str | Column], name: str = "row_ind
 
 
 def portable_hash(id_col: str | Column, seed: int | Column, pos: str | Column | int = 0) -> Column:
-    """Seeded pseudo-random key both Spark and DuckDB compute to the same integer:
-    ``pmod(id*7919 + pos*104729 + seed, 1000003)``."""
-    from ..constants import HASH_A, HASH_B, HASH_MOD
-
+    """Seeded pseudo-random key both Spark and DuckDB compute alike: 32 hex digits of
+    ``md5('<seed>:<id>:<pos>')``. Any id is valid (no arithmetic, so no overflow);
+    a null id counts as the empty text. Sorting by it shuffles; runs of its digits
+    are independent uniform numbers (``hash_below``, ``hash_int``)."""
     i = F.col(id_col) if isinstance(id_col, str) else id_col
     p = F.col(pos) if isinstance(pos, str) else F.lit(pos) if isinstance(pos, int) else pos
     s = F.lit(seed) if isinstance(seed, int) else seed
-    return F.pmod(i.cast("long") * HASH_A + p.cast("long") * HASH_B + s.cast("long"), F.lit(HASH_MOD))
+    return F.md5(F.concat_ws(":", s.cast("string"), F.coalesce(i.cast("string"), F.lit("")), p.cast("string")))
 
 
 def portable_hash_sql(id_sql: str, seed: int | str, pos: int | str = 0) -> str:
-    from ..constants import HASH_A, HASH_B, HASH_MOD
+    return f"md5(({seed})::VARCHAR || ':' || coalesce(({id_sql})::VARCHAR, '') || ':' || ({pos})::VARCHAR)"
+
+
+def hash_bound(p: float, digits: int = 8) -> str:
+    """Hex digits under which a share ``p`` of all hashes lies."""
+    return f"{min(int(p * 16**digits), 16**digits - 1):0{digits}x}"
+
+
+def hash_below(h: Column, p: float, at: int = 0, digits: int = 8) -> Column:
+    """True with probability ``p``: compares ``digits`` hex digits from place ``at``."""
+    return F.substring(h, at + 1, digits) < F.lit(hash_bound(p, digits))
+
 
-    return f"(({id_sql})::BIGINT * {HASH_A} + ({pos})::BIGINT * {HASH_B} + ({seed})::BIGINT) % {HASH_MOD}"
+def hash_int(h: Column, at: int = 0, digits: int = 8) -> Column:
+    """The number written by ``digits`` (at most 15) hex digits from place ``at``."""
+    return F.conv(F.substring(h, at + 1, digits), 16, 10).cast("long")

@@ -43,30 +43,40 @@ POISSON1_CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9
                 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999898508833446]
 
 
-def poisson1_weight(u: "Column") -> "Column":
-    """Poisson(1) draw from a uniform u in [0, 1) by inverse CDF."""
+# four hex digits of a hash are one uniform draw; a 32-digit hash holds eight
+DRAWS, DIGITS = 8, 4
+
+
+def poisson1_weight(h: "Column", draw: int) -> "Column":
+    """Poisson(1) draw from the ``draw``-th four hex digits of a hash by inverse CDF."""
+    from .indexing import hash_below
+
     w = F.lit(8)
     for k in reversed(range(len(POISSON1_CDF))):
-        w = F.when(u < F.lit(POISSON1_CDF[k]), F.lit(k)).otherwise(w)
+        w = F.when(hash_below(h, POISSON1_CDF[k], DIGITS * draw, DIGITS), F.lit(k)).otherwise(w)
     return w
 
 
 def bootstrap_mean_ci(df: DataFrame, by: list[str], value: str, id_col: str, replicates: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
     """Group mean with a seeded Poisson-bootstrap interval.
 
-    Each row is replicated ``replicates`` times in place (``explode(sequence)``,
-    no join) with a portable-hash Poisson(1) weight; replicate means are
-    Σw·x / Σw per (group, replicate) – a plain partial/final aggregate, so a hot
-    group is split over ``replicates`` keys – and the interval is the exact
-    percentile over the B replicate means of each group.
+    A row meets ``replicates / 8`` hashes; each gives the Poisson(1) weights of
+    eight replicates, summed side by side, so rows grow by replicates / 8 inside
+    the task and leave it as partial sums per (group, hash). Replicate means are
+    Σw·x / Σw; the interval is the exact percentile over the means of a group.
     """
     from .indexing import portable_hash
-    from ..constants import HASH_MOD
 
-    rep = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("_b"))
-    u = portable_hash("_id", seed, F.col("_b")) / F.lit(float(HASH_MOD))
-    rep = rep.withColumn("_w", poisson1_weight(u))
-    means = rep.groupBy(*by, "_b").agg((F.sum(F.col("_w") * F.col("_x")) / F.sum("_w")).alias("_m"))
+    chunks = -(-replicates // DRAWS)
+    rep = df.select(*by, F.col(value).cast("double").alias("_x"), F.col(id_col).alias("_id"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_c"))
+    rep = rep.withColumn("_h", portable_hash("_id", seed, F.col("_c")))
+    sums = []
+    for k in range(DRAWS):
+        w = poisson1_weight(F.col("_h"), k)
+        sums += [F.sum(w * F.col("_x")).alias(f"_s{k}"), F.sum(w).alias(f"_w{k}")]
+    part = rep.groupBy(*by, "_c").agg(*sums)
+    each = F.array(*[F.struct((F.col("_c") * DRAWS + k).alias("b"), (F.col(f"_s{k}") / F.col(f"_w{k}")).alias("m")) for k in range(DRAWS)])
+    means = part.select(*by, F.explode(each).alias("_z")).select(*by, F.col("_z.b").alias("_b"), F.col("_z.m").alias("_m")).filter(F.col("_b") < replicates)
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     ci = means.groupBy(*by).agg(F.percentile("_m", lo).alias("ci_low"), F.percentile("_m", hi).alias("ci_high"))
     mean = df.groupBy(*by).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))

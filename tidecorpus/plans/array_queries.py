@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import batching as bt
 from ..operators import encode as en
-from ..operators.indexing import portable_hash_sql
+from ..operators.indexing import hash_bound, portable_hash_sql
 from ..sources.tables import documents
 from . import sqltext as S
 from .registry import query
@@ -35,10 +35,18 @@ def word_vocab(spark, sf_dir) -> DataFrame:
     return en.build_word_vocab(tokens(spark, sf_dir), "tokens", VOCAB)
 
 
-def encoded(spark, sf_dir, max_len: int = MAXLEN) -> DataFrame:
-    """doc_id, body ids (truncated before lookup), input_ids (with specials)."""
-    t = tokens(spark, sf_dir).select("doc_id", en.truncate("tokens", max_len).alias("body_tokens"))
-    ids = en.lookup_ids(t, "doc_id", "body_tokens", word_vocab(spark, sf_dir), "body")
+def small_vocab(spark, sf_dir) -> DataFrame:
+    """The vocabulary as a local table (``VOCAB`` rows), so that it is trained once a query."""
+    v = word_vocab(spark, sf_dir)
+    return spark.createDataFrame(v.collect(), v.schema)
+
+
+def encoded(spark, sf_dir, max_len: int | None = MAXLEN, vocab: DataFrame | None = None) -> DataFrame:
+    """doc_id, body ids, input_ids (with specials). ``max_len`` truncates as the model input does;
+    None encodes whole texts."""
+    body = en.truncate("tokens", max_len) if max_len else F.col("tokens")
+    t = tokens(spark, sf_dir).select("doc_id", body.alias("body_tokens"))
+    ids = en.lookup_ids(t, "doc_id", "body_tokens", small_vocab(spark, sf_dir) if vocab is None else vocab, "body")
     return ids.select("doc_id", "body", en.build_inputs("body").alias("input_ids"))
 
 
@@ -52,8 +60,8 @@ voc AS (SELECT token, id FROM {_SPECIALS_SQL} UNION ALL
         SELECT token, (row_number() OVER (ORDER BY n DESC, token ASC) - 1 + 5)::INTEGER AS id FROM top)"""
 
 
-def _ids_cte(name: str, src: str, max_body: int = MAXLEN - 2) -> str:
-    """``name``(doc_id, body) from ``src``(doc_id, tokens) through ``voc``."""
+def _ids_cte(name: str, src: str, max_body: int | str = MAXLEN - 2) -> str:
+    """``name``(doc_id, body) from ``src``(doc_id, tokens) through ``voc``; '' keeps whole texts."""
     return f"""{name}_ex AS (SELECT doc_id, unnest(generate_series(1, len(tokens[1:{max_body}]))) AS pos, unnest(tokens[1:{max_body}]) AS tok FROM {src}),
 {name}_g AS (SELECT e.doc_id, list(coalesce(v.id, 3) ORDER BY e.pos) AS body FROM {name}_ex e LEFT JOIN voc v ON e.tok = v.token GROUP BY e.doc_id),
 {name} AS (SELECT s.doc_id, coalesce(g.body, []::INTEGER[]) AS body FROM {src} s LEFT JOIN {name}_g g USING (doc_id))"""
@@ -62,6 +70,9 @@ def _ids_cte(name: str, src: str, max_body: int = MAXLEN - 2) -> str:
 _ENC = f"WITH {_TOK_CTE},\n{_VOC_CTE},\n{_ids_cte('enc', 'tok')},\ninp AS (SELECT doc_id, body, [0] || body || [2] AS input_ids FROM enc)\n"
 
 
+_WHOLE = f"WITH {_TOK_CTE},\n{_VOC_CTE},\n{_ids_cte('enc', 'tok', '')},\ninp AS (SELECT doc_id, body, [0] || body || [2] AS input_ids FROM enc)\n"
+
+
 def _s(x: str) -> str:
     return f"array_to_string({x}, ',')"
 
@@ -96,13 +107,13 @@ def j3_required_not_in_vocab(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- lookups
-@query("e5_token_to_id", sql=_ENC + f"SELECT doc_id, {_s('body')} AS ids FROM enc")
+@query("e5_token_to_id", sql=_WHOLE + f"SELECT doc_id, {_s('body')} AS ids FROM enc")
 def e5_token_to_id(spark, sf_dir):
-    return encoded(spark, sf_dir).select("doc_id", _j("body").alias("ids"))
+    return encoded(spark, sf_dir, None).select("doc_id", _j("body").alias("ids"))
 
 
 _DEC = (
-    _ENC
+    _WHOLE
     + """, dx AS (SELECT doc_id, unnest(generate_series(1, len(input_ids))) AS pos, unnest(input_ids) AS id FROM inp),
 dg AS (SELECT x.doc_id, list(coalesce(v.token, '<unk>') ORDER BY x.pos) AS toks,
               list(v.token ORDER BY x.pos) FILTER (WHERE x.id > 4) AS plain FROM dx x LEFT JOIN voc v ON x.id = v.id GROUP BY x.doc_id)
@@ -112,15 +123,17 @@ dg AS (SELECT x.doc_id, list(coalesce(v.token, '<unk>') ORDER BY x.pos) AS toks,
 
 @query("e6_id_to_token", sql=_DEC + "SELECT doc_id, array_to_string(toks, ' ') AS tokens FROM dg")
 def e6_id_to_token(spark, sf_dir):
-    dec = en.lookup_tokens(encoded(spark, sf_dir), "doc_id", "input_ids", word_vocab(spark, sf_dir))
+    v = small_vocab(spark, sf_dir)
+    dec = en.lookup_tokens(encoded(spark, sf_dir, None, v), "doc_id", "input_ids", v)
     return dec.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query("t17_decode_skip_special", sql=_DEC + "SELECT doc_id, coalesce(array_to_string(plain, ' '), '') AS text FROM dg")
 def t17_decode_skip_special(spark, sf_dir):
     """Decode ids to text without the special tokens (ids 0–4)."""
-    e = encoded(spark, sf_dir).select("doc_id", F.filter("input_ids", lambda x: x > 4).alias("plain_ids"))
-    dec = en.lookup_tokens(e, "doc_id", "plain_ids", word_vocab(spark, sf_dir), "plain")
+    v = small_vocab(spark, sf_dir)
+    e = encoded(spark, sf_dir, None, v).select("doc_id", F.filter("input_ids", lambda x: x > 4).alias("plain_ids"))
+    dec = en.lookup_tokens(e, "doc_id", "plain_ids", v, "plain")
     return dec.select("doc_id", F.array_join("plain", " ").alias("text"))
 
 
@@ -163,7 +176,7 @@ def _pair_encoded(spark, sf_dir):
     p = _pair_frame(spark, sf_dir)
     a, b = en.truncate_pair("ta", "tb", MAXLEN)
     p = p.select("doc_id", a.alias("ta"), b.alias("tb"))
-    v = word_vocab(spark, sf_dir)
+    v = small_vocab(spark, sf_dir)
     ea = en.lookup_ids(p.select("doc_id", "ta"), "doc_id", "ta", v, "a")
     eb = en.lookup_ids(p.select("doc_id", "tb"), "doc_id", "tb", v, "b")
     return ea.join(eb, "doc_id")
@@ -332,13 +345,11 @@ def e20_limit_zero_means_all(spark, sf_dir):
 _MASK_SQL = _ENC + f"""
 , sm AS (SELECT doc_id, input_ids, list_transform(input_ids, lambda x, i:
         struct_pack(x := x, s := CASE WHEN i = 1 OR i = len(input_ids) THEN 1 ELSE 0 END,
-                    r := {portable_hash_sql('doc_id', 5, 'i - 1')})) AS z FROM inp),
-ch AS (SELECT doc_id, list_transform(z, lambda e: struct_pack(x := e.x, c := e.s = 0 AND e.r < {int(K.MLM_PROBABILITY * K.HASH_MOD)},
-        r2 := (e.r * {K.HASH_A} + {K.HASH_B} + 5) % {K.HASH_MOD})) AS z FROM sm),
-fin AS (SELECT doc_id, list_transform(z, lambda e: struct_pack(x := e.x, c := e.c, r2 := e.r2,
-        r3 := (e.r2 * {K.HASH_A} + {K.HASH_B} + 5) % {K.HASH_MOD})) AS z FROM ch)
+                    h := {portable_hash_sql('doc_id', 5, 'i - 1')})) AS z FROM inp),
+fin AS (SELECT doc_id, list_transform(z, lambda e: struct_pack(x := e.x, c := e.s = 0 AND substr(e.h, 1, 8) < '{hash_bound(K.MLM_PROBABILITY)}',
+        r := substr(e.h, 9, 8), n := ('0x' || substr(e.h, 17, 8))::BIGINT)) AS z FROM sm)
 SELECT doc_id,
-  {_s(f'list_transform(z, lambda e: CASE WHEN NOT e.c THEN e.x WHEN e.r2 < {int(0.8 * K.HASH_MOD)} THEN {K.MASK_ID} WHEN e.r2 < {int(0.9 * K.HASH_MOD)} THEN (e.r3 % {VOCAB})::INTEGER ELSE e.x END)')} AS input_ids,
+  {_s(f"list_transform(z, lambda e: CASE WHEN NOT e.c THEN e.x WHEN e.r < '{hash_bound(0.8)}' THEN {K.MASK_ID} WHEN e.r < '{hash_bound(0.9)}' THEN (e.n % {VOCAB})::INTEGER ELSE e.x END)")} AS input_ids,
   {_s(f'list_transform(z, lambda e: CASE WHEN e.c THEN e.x ELSE {K.IGNORE_INDEX} END)')} AS labels
 FROM fin"""
 
@@ -365,11 +376,18 @@ def e22_labels_vector(spark, sf_dir):
     return c.select("vec_id", _j(en.labels_vector([f"c{i}" for i in range(9)])).alias("labels"))
 
 
-@query("e24_encoding_equality", sql="SELECT true AS input_ids_equal, true AS body_equal")
+@query(
+    "e24_encoding_equality",
+    sql=_WHOLE
+    + """, dx AS (SELECT doc_id, unnest(generate_series(1, len(body))) AS pos, unnest(body) AS id FROM enc),
+back AS (SELECT x.doc_id, list(coalesce(w.id, 3) ORDER BY x.pos) AS body FROM dx x LEFT JOIN voc v ON x.id = v.id LEFT JOIN voc w ON coalesce(v.token, '<unk>') = w.token GROUP BY x.doc_id),
+eq AS (SELECT e.body = coalesce(b.body, []::INTEGER[]) AS body_equal, [0] || e.body || [2] = [0] || coalesce(b.body, []::INTEGER[]) || [2] AS input_ids_equal FROM enc e LEFT JOIN back b USING (doc_id))
+SELECT bool_and(input_ids_equal) AS input_ids_equal, bool_and(body_equal) AS body_equal FROM eq""",
+)
 def e24_encoding_equality(spark, sf_dir):
-    """Round trip ids → tokens → ids gives the same encoding, field by field."""
-    e = encoded(spark, sf_dir)
-    v = word_vocab(spark, sf_dir)
+    """Round trip ids → tokens → ids gives the same encoding, field by field, over whole texts."""
+    v = small_vocab(spark, sf_dir)
+    e = encoded(spark, sf_dir, None, v)
     back = en.lookup_tokens(e.select("doc_id", "body"), "doc_id", "body", v, "toks")
     again = en.lookup_ids(back.select("doc_id", "toks"), "doc_id", "toks", v, "body")
     again = again.select("doc_id", "body", en.build_inputs("body").alias("input_ids"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import results as rs
 from ..operators import stats as st
+from ..operators.indexing import hash_bound, portable_hash_sql
 from ..session import table
 from .corpus import TOKEN_LEN_SQL, token_lengths
 from .registry import query
@@ -205,9 +206,9 @@ def r5_run_plan(spark, sf_dir):
 @query(
     "a15_bootstrap_ci",
     sql=f"""WITH b AS (SELECT e.event_type, e.value,
-                    (e.event_id * {K.HASH_A} + r.b * {K.HASH_B} + 0) % {K.HASH_MOD} / {float(K.HASH_MOD)} AS u, r.b
+                    substr({portable_hash_sql('e.event_id', 0, 'r.b // 8')}, 4 * (r.b % 8) + 1, 4) AS u, r.b
                     FROM events e, range(200) r(b)),
-    w AS (SELECT event_type, b, value, CASE {" ".join(f"WHEN u < {p!r} THEN {k}" for k, p in enumerate(st.POISSON1_CDF))} ELSE 8 END AS w FROM b),
+    w AS (SELECT event_type, b, value, CASE {" ".join(f"WHEN u < '{hash_bound(p, 4)}' THEN {k}" for k, p in enumerate(st.POISSON1_CDF))} ELSE 8 END AS w FROM b),
     m AS (SELECT event_type, b, sum(w * value) / sum(w) AS m FROM w GROUP BY event_type, b),
     ci AS (SELECT event_type, quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM m GROUP BY event_type),
     mean AS (SELECT event_type, avg(value) AS mean, count(*) AS n FROM events GROUP BY event_type)

@@ -137,7 +137,7 @@ def t11_t14_rewrap_social_tokens(spark, sf_dir):
 def _t15(lower: bool, deacc: bool):
     def run(spark, sf_dir):
         c = tx.social_normalise("social", shorten=None, camel_split=False)
-        c = tx.tokenizer_normalise(c, lowercase=lower, strip_accents=deacc, unicode=False)
+        c = tx.tokenizer_normalise(c, lowercase=lower, strip_accents=deacc)
         return _digest(social_documents(spark, sf_dir), c)
 
     return run
@@ -154,7 +154,7 @@ query(
 @query("t15_normalise_full_unicode")
 def t15_normalise_full_unicode(spark, sf_dir):
     """Full tokenizer normaliser incl. NFKC (Arrow UDF): rows-only."""
-    c = tx.tokenizer_normalise(tx.social_normalise("social"), lowercase=True, strip_accents=True, unicode=True)
+    c = tx.tokenizer_normalise(tx.social_normalise("social"), lowercase=True, strip_accents=True)
     return _digest(social_documents(spark, sf_dir), c)
 
 

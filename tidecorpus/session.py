@@ -45,7 +45,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as is;
+    where it is unset there, this raises: executors do not share local folders.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -53,7 +54,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    path = tempfile.mkdtemp(prefix="tidecorpus-ckpt-", dir="/tmp")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    path = tempfile.mkdtemp(prefix="tidecorpus-ckpt-")
     sc.setCheckpointDir(path)
     return path
 
@@ -69,56 +72,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-_SPREAD_MEMO: dict = {}
-
-
-def spread_table(spark: SparkSession, sf_dir: str, name: str, cols: tuple[str, ...] = ()) -> DataFrame:
-    """``spread`` of a table scan, shared by all queries of the session: the
-    checkpointed copy is keyed by (application, file, size, mtime, columns), so a
-    changed file is read afresh."""
-    path = os.path.join(sf_dir, f"{name}.parquet")
-    try:
-        st = os.stat(path)
-        stamp = (st.st_size, st.st_mtime_ns)
-    except OSError:  # remote file systems: no memo
-        stamp = None
-    df = table(spark, sf_dir, name)
-    df = df.select(*cols) if cols else df
-    if stamp is None:
-        return spread(df)
-    ck = spark.sparkContext.getCheckpointDir() or ""
-    key = (spark.sparkContext.applicationId, ck, path, stamp, tuple(cols))
-    local_ck = ck.replace("file:", "", 1) if ck.startswith(("file:", "/")) else None
-    if key in _SPREAD_MEMO and local_ck is not None and not os.path.isdir(local_ck):
-        del _SPREAD_MEMO[key]  # the checkpoint folder was removed: read afresh
-    if key not in _SPREAD_MEMO:
-        _SPREAD_MEMO[key] = spread(df)
-    return _SPREAD_MEMO[key]
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread the rows over at least ``min_partitions`` tasks, but only when the
-    scan yields fewer input partitions than that (e.g. one large parquet row
-    group, which parquet cannot split). At cluster scale the input splits exceed
-    the parallelism and the scan is returned untouched, so filters and
-    projections keep running inside the (wide) scan stage.
-
-    In the narrow case a plain ``repartition`` is not enough: Catalyst would push
-    the downstream text filters below the exchange, back into the single scan
-    task. The round-robin output is therefore written once as a reliable
-    checkpoint into the session's checkpoint folder, which also cuts lineage.
-    Counting the scan's partitions only plans it; no job runs.
-    """
-    if df.sparkSession.conf.get("tidecorpus.spread", "true") == "false":
-        return df
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # sessions without RDD access (Spark Connect): scan as is
-        return df
-    return cut_lineage(df.repartition(target))
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

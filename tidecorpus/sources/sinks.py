@@ -19,10 +19,13 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_shards(df: DataFrame, out_dir: str, n_shards: int, text_col: str = "value") -> None:
-    """One text file per shard, overwrite. Rows are spread by a round-robin
-    repartition; no blank line is written for an empty batch."""
-    df.select(text_col).repartition(n_shards).write.mode("overwrite").text(out_dir)
+def write_shards(df: DataFrame, out_dir: str, n_shards: int | None = None, text_col: str = "value", max_rows: int = 1_000_000) -> None:
+    """Text files, overwrite. Every scan partition writes its own files of at
+    most ``max_rows`` lines, with no shuffle; only a given ``n_shards`` deals rows
+    to that many files. No blank line is written for an empty batch."""
+    out = df.select(text_col)
+    out = out.repartition(n_shards) if n_shards else out
+    out.write.mode("overwrite").option("maxRecordsPerFile", max_rows).text(out_dir)
 
 
 def write_csv(df: DataFrame, out_dir: str) -> None:

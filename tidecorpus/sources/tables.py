@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread_table, table
+from ..session import table
 
 
 def social_column(text: str = "text", doc_id: str = "doc_id") -> Column:
@@ -24,9 +24,8 @@ def social_column(text: str = "text", doc_id: str = "doc_id") -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
-    """documents, pruned to ``cols`` at the scan, spread over the cores when the
-    file has fewer splits than the parallelism (per-row text work is CPU bound)."""
-    df = spread_table(spark, sf_dir, "documents")
+    """documents, pruned to ``cols`` at the scan."""
+    df = table(spark, sf_dir, "documents")
     return df.select(*cols) if cols else df
 
 

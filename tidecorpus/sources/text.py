@@ -17,6 +17,12 @@ from pyspark.sql import types as T
 from ..functions.text import PY_WS
 
 
+def list_files(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt*") -> DataFrame:
+    """``file_path`` of each matching file; lists the folder and reads no contents."""
+    paths = [path] if isinstance(path, str) else list(path)
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select(F.col("_metadata.file_path").alias("file_path"))
+
+
 def read_lines(spark: SparkSession, path: str | Sequence[str], glob: str = "*.txt*") -> DataFrame:
     """Text lines with ``file_path`` and ``block_start`` (split offset) columns."""
     paths = [path] if isinstance(path, str) else list(path)
@@ -94,13 +100,13 @@ def unnest_comments(articles: DataFrame) -> DataFrame:
 def read_ledgers(spark: SparkSession, glob_path: str) -> DataFrame:
     """S7 + R2: benchmark ledgers → long rows ``model, task, run, metric, value``.
 
-    model = file name up to the first ``.``; paths containing ``test`` skipped;
+    model = file name up to the first ``.``; files whose name holds ``test`` are skipped;
     the ``model_name`` entry (a string) is not a task and is dropped.
     """
     raw = spark.read.option("wholetext", True).text(glob_path).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("fname")
     )
-    raw = raw.filter(~F.col("path").contains("test"))
+    raw = raw.filter(~F.col("fname").contains("test"))
     from ..operators.results import parse_ledger
 
     return parse_ledger(raw.select(F.regexp_extract("fname", "^[^.]+", 0).alias("model"), "value"), "value")

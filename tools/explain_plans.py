@@ -1,6 +1,6 @@
 """Summarise the physical plans of the headline queries (cluster shape).
 
-Runs with ``tidecorpus.spread=false`` so scans appear as they do on many-split
+Scans appear as they do on many-split
 inputs, then records per query: exchanges, broadcast joins, sort-merge joins,
 Python (Arrow) evaluations, whole-stage-codegen spans, and each parquet scan's
 ReadSchema / PushedFilters. Writes docs/PLANS.md.
@@ -50,10 +50,9 @@ def summarise(name: str, plan: str) -> list[str]:
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = local_session(8, 16)
-    spark.conf.set("tidecorpus.spread", "false")
     reg = load_all()
     out = ["# Physical plans of the headline queries", "",
-           f"Generated by `tools/explain_plans.py` on `{sf_dir}` with input spreading off (the plan shape of a many-split input); counts are taken from the final adaptive plan after the query ran.", ""]
+           f"Generated by `tools/explain_plans.py` on `{sf_dir}`; counts are taken from the final adaptive plan after the query ran.", ""]
     for name in HEADLINE + EXTRA:
         df = reg[name].fn(spark, sf_dir)
         df.collect()  # run it, so the adaptive plan shown is the final one
