@@ -41,7 +41,7 @@ def test_ledgers_under_a_folder_named_latest(spark):
     os.makedirs(d)
     for name in ("lm-a.json", "lm-a.test.json"):
         with open(os.path.join(d, name), "w") as f:
-            json.dump({"model_name": "lm-a", "hate": [{"eval_macro_f1": 0.5}]}, f)
+            json.dump({"model_name": "lm-a", "hate": [{"eval_macro_f1": 0.5}]}, f, indent=2)  # several lines: read whole
     assert read_ledgers(spark, d + "/*.json").count() == 1
 
 

@@ -22,8 +22,10 @@ per executor and the corpus is never shuffled for it.
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -184,31 +186,34 @@ def train_bpe(
 
 # ------------------------------------------------------------------ encoding
 def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> list[str]:
+    """Pieces of one word: the lowest-ranked pair first, leftmost first. A heap of pairs over a linked
+    list of parts, so a word of n characters costs n log n. Characters outside the alphabet are ``<unk>``."""
     got = memo.get(word)
     if got is not None:
         return got
-    parts = [c for c in word if c in alphabet]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get((parts[i], parts[i + 1]))
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        merged, i = [], 0
-        a, b = parts[at], parts[at + 1]
-        while i < len(parts):
-            if i < len(parts) - 1 and parts[i] == a and parts[i + 1] == b:
-                merged.append(a + b)
-                i += 2
-            else:
-                merged.append(parts[i])
-                i += 1
-        parts = merged
+    parts = [c if c in alphabet else K.UNK for c in word]
+    n = len(parts)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[pair], i, *pair) for i, pair in enumerate(zip(parts, parts[1:])) if pair in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i] if parts[i] == a else n
+        if j >= n or parts[j] != b:
+            continue  # a neighbour was merged away meanwhile
+        parts[i], parts[j] = a + b, None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (parts[i], parts[k]) in ranks:
+                heapq.heappush(heap, (ranks[parts[i], parts[k]], i, parts[i], parts[k]))
+        h = before[i]
+        if h >= 0 and (parts[h], parts[i]) in ranks:
+            heapq.heappush(heap, (ranks[parts[h], parts[i]], h, parts[h], parts[i]))
+    out = [p for p in parts if p is not None]
     if len(memo) < 200_000:
-        memo[word] = parts
-    return parts
+        memo[word] = out
+    return out
 
 
 def bpe_encoder(spark: SparkSession, model: BpeModel):
@@ -223,19 +228,17 @@ def bpe_encoder(spark: SparkSession, model: BpeModel):
     bc = spark.sparkContext.broadcast((ranks, alpha))
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def encode(texts: pd.Series) -> pd.Series:
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks_, alpha_ = bc.value
-        memo: dict = {}
-        out = []
-        for t in texts:
-            if t is None or t == "":
-                out.append([])
-                continue
-            pieces: list[str] = []
-            for w in t.split(" "):
-                pieces.extend(_bpe_word(MARK + w, ranks_, alpha_, memo))
-            out.append(pieces)
-        return pd.Series(out)
+        memo: dict = {}  # lives as long as the task
+        for texts in batches:
+            out = []
+            for t in texts:
+                pieces: list[str] = []
+                for w in t.split(" ") if t else ():
+                    pieces.extend(_bpe_word(MARK + w, ranks_, alpha_, memo))
+                out.append(pieces)
+            yield pd.Series(out)
 
     return encode
 
@@ -255,19 +258,17 @@ def bpe_id_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID)
     bc = spark.sparkContext.broadcast((ranks, alpha, vocab))
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_ids(texts: pd.Series) -> pd.Series:
+    def encode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks_, alpha_, vocab_ = bc.value
-        memo: dict = {}
-        out = []
-        for t in texts:
-            if t is None or t == "":
-                out.append([])
-                continue
-            ids: list[int] = []
-            for w in t.split(" "):
-                ids.extend(vocab_.get(p, unk_id) for p in _bpe_word(MARK + w, ranks_, alpha_, memo))
-            out.append(ids)
-        return pd.Series(out)
+        memo: dict = {}  # lives as long as the task
+        for texts in batches:
+            out = []
+            for t in texts:
+                ids: list[int] = []
+                for w in t.split(" ") if t else ():
+                    ids.extend(vocab_.get(p, unk_id) for p in _bpe_word(MARK + w, ranks_, alpha_, memo))
+                out.append(ids)
+            yield pd.Series(out)
 
     return encode_ids
 
@@ -291,6 +292,37 @@ def save_vocabulary(model: BpeModel, directory: str, prefix: str | None = None)
     return vpath, mpath
 
 
+def _write_file(spark: SparkSession, path: str, text: str) -> None:
+    """One small file at an exact name, on whatever file system the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def save_vocabulary_files(model: BpeModel, directory: str, prefix: str | None = None) -> tuple[str, str]:
+    """``vocab.json`` (token → id, by id) and ``merges.txt`` (one ``left right`` a line, by rank),
+    the files other tokenizers read. Both are bounded by ``vocab_size``."""
+    spark = model.vocab.sparkSession
+    stem = f"{directory.rstrip('/')}/{prefix + '-' if prefix else ''}"
+    vocab = {r["token"]: r["id"] for r in model.vocab.orderBy("id").collect()}
+    _write_file(spark, stem + "vocab.json", json.dumps(vocab, ensure_ascii=False))
+    lines = [f"{r['left']} {r['right']}\n" for r in model.merges.orderBy("rank").collect()]
+    _write_file(spark, stem + "merges.txt", "#version: 0.2\n" + "".join(lines))
+    return stem + "vocab.json", stem + "merges.txt"
+
+
+def load_vocabulary_files(spark: SparkSession, directory: str, prefix: str | None = None) -> BpeModel:
+    """A model from ``vocab.json`` and ``merges.txt``."""
+    stem = f"{directory.rstrip('/')}/{prefix + '-' if prefix else ''}"
+    read = lambda name: spark.read.text(stem + name, wholetext=True).first()[0]
+    vocab = sorted(json.loads(read("vocab.json")).items(), key=lambda x: x[1])
+    pairs = [line.split(" ") for line in read("merges.txt").split("\n") if line and not line.startswith("#version")]
+    return BpeModel(spark.createDataFrame(vocab, "token string, id int"), spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "rank int, left string, right string"))
+
+
 def with_social_tokens(vocab: DataFrame, tokens: Sequence[str] = K.SOCIAL_TOKENS) -> DataFrame:
     """Vocabulary entries that contain any social special token."""
     cond = None

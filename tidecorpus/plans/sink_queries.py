@@ -9,16 +9,22 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from ..operators import results as rs
 from ..operators import tasks as tk
+from ..operators import vocab as vb
 from ..plans.corpus import TOKEN_LEN_SQL, filter_corpus
 from ..session import ensure_checkpoint_dir
 from ..sources import sinks
 from ..sources import text as src
 from ..sources.tables import documents, labelled_documents
+from .array_queries import _TOK_CTE, _VOC_CTE, word_vocab
 from .registry import query
+from .result_queries import _LED, ledger
 from .task_queries import _d1_sql
 
 
@@ -73,3 +79,60 @@ def s5_s11_csv_roundtrip(spark, sf_dir):
     return back.groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("n_distinct"), F.sum(F.length("text")).cast("long").alias("n_chars")
     )
+
+
+@query(
+    "s1_line_scan",
+    sql="""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents)
+    SELECT count(*) AS n_lines, count(DISTINCT md5(v)) AS n_distinct, CAST(sum(length(v)) AS BIGINT) AS n_chars FROM l""",
+)
+def s1_line_scan(spark, sf_dir):
+    """documents written as text, scanned back line by line (blank lines included)."""
+    path = _out(spark, "lines")
+    sinks.write_shards(documents(spark, sf_dir, "text"), path, text_col="text")
+    lines = src.read_lines(spark, path, "*")
+    return lines.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct(F.md5("value")).alias("n_distinct"), F.sum(F.length("value")).cast("long").alias("n_chars"))
+
+
+@query(
+    "s6_nested_json_scan",
+    sql="""SELECT title, i AS id, md5(l[i]) AS md5_text FROM (SELECT doc_id::VARCHAR AS title, string_split(text, chr(10)) AS l FROM documents), range(1, 100000) r(i) WHERE i <= len(l)""",
+)
+def s6_nested_json_scan(spark, sf_dir):
+    """Each document as an article whose comments are its lines; JSON array files written, scanned, unnested."""
+    article = F.struct(F.col("doc_id").cast("string").alias("title"), F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("id"), x.alias("text"))).alias("comments"))
+
+    def array_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead = "["
+        for b in batches:
+            if len(b):
+                yield pd.DataFrame({"value": [(lead if k == 0 else ",") + v for k, v in enumerate(b["value"])]})
+                lead = ","
+        yield pd.DataFrame({"value": ["]" if lead == "," else "[]"]})
+
+    path = _out(spark, "articles")
+    documents(spark, sf_dir, "doc_id", "text").select(F.to_json(article).alias("value")).mapInPandas(array_lines, "value string").write.text(path)
+    rows = src.unnest_comments(src.read_articles(spark, path))
+    return rows.select("title", F.col("id").cast("long").alias("id"), F.md5("text").alias("md5_text"))
+
+
+@query(
+    "s10_r4_ledger_append",
+    sql=f"WITH {_LED} SELECT model, task, metric, count(*) AS n, round(sum(value), 6) AS total FROM long GROUP BY model, task, metric",
+)
+def s10_r4_ledger_append(spark, sf_dir):
+    """The ledger store filled by two appends and read back as one."""
+    long, path = ledger(spark, sf_dir), _out(spark, "ledger")
+    for part in (0, 1):
+        rs.append_ledger(long.where(F.col("event_id") % 2 == part), path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("model").cast("string").alias("model"), "task", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
+@query("s13_vocabulary_files", sql=f"WITH {_TOK_CTE},\n{_VOC_CTE}\nSELECT token, id FROM voc")
+def s13_vocabulary_files(spark, sf_dir):
+    """The vocabulary saved as the published JSON and merge files and loaded back."""
+    path = _out(spark, "vocabulary")
+    merges = spark.createDataFrame([], "rank int, left string, right string")
+    vb.save_vocabulary_files(vb.BpeModel(word_vocab(spark, sf_dir), merges), path)
+    return vb.load_vocabulary_files(spark, path).vocab

@@ -103,7 +103,7 @@ def read_ledgers(spark: SparkSession, glob_path: str) -> DataFrame:
     model = file name up to the first ``.``; files whose name holds ``test`` are skipped;
     the ``model_name`` entry (a string) is not a task and is dropped.
     """
-    raw = spark.read.option("wholetext", True).text(glob_path).select(
+    raw = spark.read.text(glob_path, wholetext=True).select(
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("fname")
     )
     raw = raw.filter(~F.col("fname").contains("test"))
