@@ -117,14 +117,15 @@ def prepare_mlm(
     lines = non_blank(_ordered_lines(spark, files, "*"))
     text = tx.tokenizer_normalise("value", lowercase=lowercase, strip_accents=strip_accents)
     enc = vb.bpe_id_encoder(spark, model)  # pieces → ids inside the task: no shuffle before batching
-    seq = lines.select("line_id", "file_path", "block_start", en.truncate(enc(text), max_length).alias("body"))
+    # lines are numbered before they are encoded: the sort and its checkpoint carry a line, not four padded arrays
+    seq = bt.batches_across_files(lines, ["file_path", "block_start", "line_id"], batch_size)
+    seq = seq.select("row_index", "batch_id", "pos_in_batch", en.truncate(enc(text), max_length).alias("body"))
     seq = seq.select(
-        "line_id", "file_path", "block_start",
+        "row_index", "batch_id", "pos_in_batch",
         en.pad(en.build_inputs("body"), max_length).alias("input_ids"),
         en.pad(en.special_tokens_mask("body"), max_length, 1).alias("special_tokens_mask"),
     )
     seq = seq.withColumn("attention_mask", en.attention_mask("input_ids")).withColumn("token_type_ids", en.token_type_ids("input_ids"))
-    seq = bt.batches_across_files(seq, ["file_path", "block_start", "line_id"], batch_size)
     vocab_n = model.vocab.count()
     masked, labels = en.mlm_mask("input_ids", "special_tokens_mask", "row_index", seed, vocab_n, mlm_probability)
     out = seq.select(
