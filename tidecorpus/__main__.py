@@ -46,7 +46,7 @@ def main(argv=None) -> int:
     t.add_argument("--lowercase", action="store_true"), t.add_argument("--strip-accents", action="store_true")
     t.add_argument("--vocab-size", type=int, default=30_000), t.add_argument("--min-frequency", type=int, default=10)
     t.add_argument("--limit-alphabet", type=int, default=400), t.add_argument("--num-files", type=int, default=40)
-    t.add_argument("--merges-per-round", type=int, default=1)
+    t.add_argument("--merges-per-round", type=int, default=32)
 
     m = sub.add_parser("prepare-mlm")
     m.add_argument("files"), m.add_argument("tokenizer_dir"), m.add_argument("output_path")

@@ -79,7 +79,7 @@ def train_tokenizer(
     min_frequency: int = K.MIN_FREQUENCY,
     limit_alphabet: int = K.LIMIT_ALPHABET,
     num_files: int = K.NUM_FILES,
-    merges_per_round: int = 1,
+    merges_per_round: int = 32,
     prefix: str | None = None,
 ) -> vb.BpeModel:
     """L5 + T15 + E1 + S13: the first ``num_files`` files in sorted order,

@@ -106,6 +106,17 @@ class BpeModel:
     merges: DataFrame  # left STRING, right STRING, rank INT
 
 
+def neighbour_counts(sym: DataFrame, pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """For each pair, how often it stands with its most frequent left or right neighbour (one row a pair)."""
+    t = sym.filter(F.size("sym") > 2).select("n", F.explode(F.arrays_zip(F.col("sym").alias("a"), F.slice("sym", 2, F.size("sym")).alias("b"), F.slice("sym", 3, F.size("sym")).alias("c"))).alias("t"))
+    t = t.select("n", "t.a", "t.b", "t.c").filter(F.col("c").isNotNull())
+    wanted = F.broadcast(sym.sparkSession.createDataFrame(list(pairs), "l int, r int"))  # one round's pairs
+    right = t.join(wanted, (F.col("a") == F.col("l")) & (F.col("b") == F.col("r"))).select("l", "r", F.lit(1).alias("side"), F.col("c").alias("x"), "n")
+    left = t.join(wanted, (F.col("b") == F.col("l")) & (F.col("c") == F.col("r"))).select("l", "r", F.lit(0).alias("side"), F.col("a").alias("x"), "n")
+    each = right.unionByName(left).groupBy("l", "r", "side", "x").agg(F.sum("n").alias("n"))
+    return {(row["l"], row["r"]): row["n"] for row in each.groupBy("l", "r").agg(F.max("n").alias("n")).collect()}
+
+
 def train_bpe(
     df: DataFrame,
     text: str,
@@ -114,15 +125,15 @@ def train_bpe(
     limit_alphabet: int = K.LIMIT_ALPHABET,
     specials: Sequence[str] = K.SEQUENCE_SPECIALS,
     checkpoint_every: int = 20,
-    merges_per_round: int = 1,
+    merges_per_round: int = 32,
 ) -> BpeModel:
     """E1 end to end; returns the vocabulary and the ranked merge list.
 
-    ``merges_per_round = 1`` (default) is the exact algorithm. A larger value
-    takes, per Spark job, up to that many of the best pairs that share no
-    symbol (greedy, in rank order) and applies them together: far fewer jobs
-    for a 30,000-entry vocabulary, but *approximate* – a pair created by one of
-    the merges can no longer outrank the other pairs taken in the same round.
+    A round takes the ranked pairs up to ``merges_per_round`` or to the first that
+    shares a symbol with one before it, and commits those that a new pair cannot
+    outrank: a pair made by a merge is at most as frequent as the merged pair with
+    that neighbour, which one more aggregate counts. The result equals one merge
+    at a time, for every ``merges_per_round``.
     """
     spark = df.sparkSession
     words = word_counts(df, text).persist()
@@ -144,14 +155,7 @@ def train_bpe(
     prev = None
     while next_id < vocab_size:
         room = min(merges_per_round, vocab_size - next_id)
-        # a few spare candidates so pairs sharing a symbol can be skipped
-        best = (
-            pair_counts(sym)
-            .filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), F.asc("left"), F.asc("right"))
-            .limit(1 if room == 1 else 4 * room)
-            .collect()
-        )
+        best = pair_counts(sym).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(room).collect()
         if prev is not None:  # the current table is materialised now
             prev.unpersist()
         if not best:
@@ -160,11 +164,17 @@ def train_bpe(
         for row in best:
             l, r = int(row["left"]), int(row["right"])
             if l in used or r in used:
-                continue
+                break
             chosen.append((l, r))
             used.update((l, r))
-            if len(chosen) == room:
-                break
+        if len(chosen) > 1:
+            near = neighbour_counts(sym, chosen)
+            bound = 0
+            for k in range(1, len(chosen)):
+                bound = max(bound, near.get(chosen[k - 1], 0))
+                if bound >= best[k]["n"]:  # a new pair might come first
+                    del chosen[k:]
+                    break
         col = F.col("sym")
         for l, r in chosen:
             token_of[next_id] = token_of[l] + token_of[r]
