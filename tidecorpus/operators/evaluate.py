@@ -94,42 +94,23 @@ def single_label_report(df: DataFrame, id2label: Sequence[str], label: str = "la
     pairs = df.select(F.col(label).cast("int").alias("y"), argmax(logits).alias("p"))
     pc = pairs.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))  # ≤ k² rows
     classes = spark.createDataFrame([(i, n) for i, n in enumerate(id2label)], "c int, name string")
-    actual = pc.groupBy(F.col("y").alias("c")).agg(F.sum("n").alias("n_true"))
-    predicted = pc.groupBy(F.col("p").alias("c")).agg(F.sum("n").alias("n_pred"))
-    hits = pc.filter(F.col("y") == F.col("p")).select(F.col("y").alias("c"), F.col("n").alias("tp"))
-    per = (
-        classes.join(F.broadcast(actual), "c", "left")
-        .join(F.broadcast(predicted), "c", "left")
-        .join(F.broadcast(hits), "c", "left")
-        .select(
-            "c",
-            "name",
-            F.coalesce("tp", F.lit(0)).alias("tp"),
-            (F.coalesce("n_pred", F.lit(0)) - F.coalesce("tp", F.lit(0))).alias("fp"),
-            (F.coalesce("n_true", F.lit(0)) - F.coalesce("tp", F.lit(0))).alias("fn"),
-        )
-    )
+    # each pair count adds to its true class and to its predicted class: one aggregate by class
+    sides = F.array(F.struct(F.col("y").alias("c"), F.col("n").alias("t"), F.lit(0).cast("long").alias("p"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("h")),
+                    F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("t"), F.col("n").alias("p"), F.lit(0).cast("long").alias("h")))
+    tally = pc.select(F.explode(sides).alias("z")).groupBy("z.c").agg(F.sum("z.t").alias("n_true"), F.sum("z.p").alias("n_pred"), F.sum("z.h").alias("hits"))
+    per = classes.join(tally, "c", "left").select("c", "name", *[F.coalesce(x, F.lit(0)).alias(n) for x, n in ((F.col("hits"), "tp"), (F.col("n_pred") - F.col("hits"), "fp"), (F.col("n_true") - F.col("hits"), "fn"))])
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     per = per.select("name", "tp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
-    per_long = per.select(
-        F.explode(
-            F.array(
-                F.struct(F.concat(F.col("name"), F.lit("_f1")).alias("metric"), F.col("f1").alias("value")),
-                F.struct(F.concat(F.col("name"), F.lit("_precision")).alias("metric"), F.col("precision").alias("value")),
-                F.struct(F.concat(F.col("name"), F.lit("_recall")).alias("metric"), F.col("recall").alias("value")),
-            )
-        ).alias("m")
-    ).select("m.metric", "m.value")
-    # accuracy = Σ tp / Σ (tp + fn) over the classes: same aggregate as the macro means
-    macro = per.agg(
-        F.avg("f1").alias("macro_f1"),
-        F.avg("precision").alias("macro_precision"),
-        F.avg("recall").alias("macro_recall"),
-        _safe_div(F.sum("tp"), F.sum(F.col("tp") + F.col("fn"))).alias("acc"),
+    # one row: the k classes, the means over them, and accuracy = Σ tp / Σ (tp + fn)
+    acc = _safe_div(F.sum("tp"), F.sum(F.col("tp") + F.col("fn")))
+    row = per.agg(
+        F.collect_list(F.struct("name", "f1", "precision", "recall")).alias("each"), acc.alias("acc"), acc.alias("micro_f1"),
+        F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
     )
-    summary = macro.select("macro_f1", "macro_precision", "macro_recall", "acc", F.col("acc").alias("micro_f1"))
-    summary_long = summary.unpivot([], ["micro_f1", "macro_f1", "macro_precision", "macro_recall", "acc"], "metric", "value")
-    return per_long.unionByName(summary_long)
+    entry = lambda name, value: F.struct(name.alias("metric"), value.cast("double").alias("value"))
+    each = F.flatten(F.transform("each", lambda z: F.array(*[entry(F.concat(z["name"], F.lit(f"_{m}")), z[m]) for m in ("f1", "precision", "recall")])))
+    summary = F.array(*[entry(F.lit(m), F.col(m)) for m in ("micro_f1", "macro_f1", "macro_precision", "macro_recall", "acc")])
+    return row.select(F.explode(F.concat(each, summary)).alias("m")).select("m.metric", "m.value")
 
 
 def perplexity(loss: str | Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,10 +30,15 @@ def select_schema(df: DataFrame, schema: T.StructType | Sequence[str]) -> DataFr
     return df.select(*schema)
 
 
+def label_ok(label: str, k: int) -> Column:
+    """True where the label lies in 0..k-1, false elsewhere and for null."""
+    return F.coalesce(F.col(label).between(0, k - 1), F.lit(False))
+
+
 def validate_labels(df: DataFrame, label: str, k: int) -> tuple[DataFrame, DataFrame]:
     """Split into (valid, rejected) by the label domain 0..k-1 (null rejected)."""
-    ok = F.col(label).isNotNull() & F.col(label).between(0, k - 1)
-    return df.filter(ok), df.filter(~ok | F.col(label).isNull())
+    ok = label_ok(label, k)
+    return df.filter(ok), df.filter(~ok)
 
 
 def assert_labels(df: DataFrame, label: str, k: int) -> DataFrame:

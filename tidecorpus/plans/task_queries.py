@@ -39,11 +39,10 @@ def p1_typed_select(spark, sf_dir):
             FROM (SELECT quality AS q, toxic AS t FROM {_LABELLED_SQL})""",
 )
 def p2_label_domain(spark, sf_dir):
-    """Label = quality + toxic checked against the domain {0, 1}; offenders go to a reject table."""
+    """Label = quality + toxic checked against the domain {0, 1}; both counts come from one pass."""
     t = labelled_documents(spark, sf_dir).withColumn("label", F.col("quality") + F.col("toxic"))
-    valid, rejected = tk.validate_labels(t, "label", 2)
-    n_rejected = rejected.agg(F.count(F.lit(1))).scalar()
-    return valid.agg(F.count(F.lit(1)).alias("n_valid")).withColumn("n_rejected", n_rejected)
+    ok = tk.label_ok("label", 2)
+    return t.agg(F.count_if(ok).alias("n_valid"), F.count_if(~ok).alias("n_rejected"))
 
 
 @query("p3_rename", sql="SELECT doc_id AS id, toxic AS is_toxic, quality AS is_quality FROM labels")
