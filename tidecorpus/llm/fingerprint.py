@@ -10,12 +10,10 @@ the weights of terms that set it exceed half of all. Votes are added four bits
 at a time in 16-bit lanes; a chunk of terms is small enough for its lanes.
 
 ``within`` finds all pairs of distinct fingerprints at most ``RADIUS`` bits
-apart. Four blocks of 32 bits leave at least one block without a difference;
-the rest of the bits, cut into four strips across the other blocks, leave at
-least one strip without one. So each fingerprint stands in 16 tables, permuted
-to begin with a block and a strip; equal beginnings (56 bits) meet in a join
-that tests the exact distance. Equal fingerprints are one row with a count, and
-no group of copies forms pairs.
+apart. Of four blocks of 32 bits at least one is then without a difference, so
+each fingerprint stands in four tables, permuted to begin with another block;
+equal beginnings meet in a join that tests the exact distance. Equal
+fingerprints are one row with a count, and no group of copies forms pairs.
 
 ``neighbour_texts`` pairs each document with the one that follows it by
 descending id (the last one with the first). Texts are dealt once, by id range:
@@ -70,14 +68,7 @@ def within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         raise ValueError("four blocks find pairs up to 3 bits apart")
     nodes = prints.select("hi", "lo").distinct()
     block = [F.shiftrightunsigned("hi", 32), F.col("hi").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("lo", 32), F.col("lo").bitwiseAND(F.lit(0xFFFFFFFF))]
-
-    def table(b: int, s: int) -> Column:
-        strip = F.lit(0).cast("long")
-        for k, other in enumerate(x for x in range(4) if x != b):
-            strip = strip.bitwiseOR(F.shiftleft(F.shiftrightunsigned(block[other], 8 * s).bitwiseAND(F.lit(0xFF)), 8 * k))
-        return F.shiftleft(block[b], 24).bitwiseOR(strip)
-
-    tables = nodes.select("hi", "lo", F.posexplode(F.array(*[table(b, s) for b in range(4) for s in range(4)])).alias("t", "front"))
+    tables = nodes.select("hi", "lo", F.posexplode(F.array(*block)).alias("t", "front"))
     other = tables.select(F.col("hi").alias("hi2"), F.col("lo").alias("lo2"), "t", "front")
     bits = distance(F.col("hi"), F.col("lo"), F.col("hi2"), F.col("lo2"))
     found = tables.join(other, (tables["t"] == other["t"]) & (tables["front"] == other["front"]) & (bits <= radius) & (bits > 0))
@@ -133,7 +124,7 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     rows = near.select("doc_id", "content", "next_id", "next_content", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select("doc_id", "content", "next_id", "next_content", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.array("text", "edited").alias("both")).withColumn("uid", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "content", "next_id", "next_content", "n_chars", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.array("text", "edited").alias("both")).withColumn("uid", F.monotonically_increasing_id())
     keys = ["uid", "doc_id", "content", "next_id", "next_content", "n_chars", "sha"]
     sides = rows.select(*keys, F.posexplode("both").alias("side", "t"))
     prints = votes(sides, [*keys, "side"], "t")
@@ -148,5 +139,5 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     counted = nodes.join(around, ["hi", "lo"], "left").select(F.col("hi").alias("hi0"), F.col("lo").alias("lo0"), (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_near"))
     like = lambda a, b: (1 - distance(F.col("hi0"), F.col("lo0"), F.col(a), F.col(b)) / F.lit(128.0))
     return out.join(counted, ["hi0", "lo0"]).select(
-        "doc_id", "n_chars", F.col("sha").alias("edited_sha256"), text_of(F.col("hi0"), F.col("lo0")).alias("fingerprint"), text_of(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), text_of(F.col("hi0"), F.col("lo0")).alias("fingerprint"), text_of(F.col("hi1"), F.col("lo1")).alias("edited_fingerprint"),
         like("hi1", "lo1").alias("near_edited"), like("_hi", "_lo").alias("near_next"), "n_near")
