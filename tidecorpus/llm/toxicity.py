@@ -17,7 +17,8 @@ prior mark a toxic text more often than not, get a weight.
 
 Learning uses at most ``max_positive`` confirmed and ``max_unlabelled`` other
 texts (smallest hash of the id) of the folds that are not held out: both bounds
-are parameters, and so is what the driver holds. Scoring covers whole texts of
+are parameters, and so is what the driver holds (the kept features of those
+texts). Scoring covers whole texts of
 all rows. Labels, lang, source and doc_id are never features. Null text is the
 empty text; it scores by the bias alone. Ties and repeated rows get equal
 scores. Without a confirmed text every score is 0. Extra columns pass through;
@@ -33,10 +34,10 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, null_safe_text, worker_cached
+from .common import held_out, null_safe_text, stored, worker_cached
 from .quality import training_ids
 
 WORD = re.compile(r"\w+")
@@ -61,24 +62,6 @@ class Model:
         return sum(self.weights.get(i, 0.0) for i in _features(word))
 
 
-def _csr(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hashed feature) pairs, one for each distinct word of a text and each feature of that word."""
-    seen: dict[str, int] = {}
-    rows, size = [], []
-    for t in texts:
-        words = set(WORD.findall(t.lower()))
-        size.append(len(words))
-        rows += [seen.setdefault(w, len(seen)) for w in words]
-    width = 1 + len(PREFIX)
-    of = np.full((len(seen), width), -1, dtype=np.int64)
-    for w, i in seen.items():
-        ids = _features(w)
-        of[i, : len(ids)] = ids
-    cols = of[np.array(rows, dtype=np.int64)].reshape(-1)
-    row = np.repeat(np.arange(len(texts)), np.array(size, dtype=np.int64) * width)
-    return row[cols >= 0], cols[cols >= 0]
-
-
 def _rescale(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, step: float = 0.02) -> tuple[float, float]:
     """Scale and bias of a one-dimensional score under the non-negative risk."""
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -98,30 +81,23 @@ def _rescale(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 1500, step
     return float(x[0]), float(x[1])
 
 
-def fit_texts(positive: list[str], unlabelled: list[str], prior: float, max_features: int = 1024, min_positive: int = 4, min_z: float = 4.0, epochs: int = 60, batch: int = 512, step: float = 0.1, decay: float = 1e-2, back: float = 1.0, seed: int = 2) -> Model:
-    """Minibatch Adam on the non-negative risk."""
-    positive, unlabelled = list(dict.fromkeys(positive)), list(dict.fromkeys(unlabelled))  # copies teach once
-    if not positive or not unlabelled:
+def _boundary(p: np.ndarray, u: np.ndarray, prior: float, missed: float = 0.01) -> float:
+    """Where the share of unlabelled texts above is the prior, but no lower than all but ``missed`` of
+    the confirmed texts lie; half way to the next unlabelled text below. A text without a kept feature is below."""
+    at = max(np.quantile(u, 1 - prior), np.quantile(p, missed))
+    above = np.r_[p, u]
+    at = max(at, above[above > 0].min()) if (above > 0).any() else at + 1.0
+    return float((at + u[u < at].max()) / 2) if (u < at).any() else float(at)
+
+
+def fit_rows(rows: np.ndarray, cols: np.ndarray, n_p: int, n_u: int, kept: np.ndarray, prior: float, epochs: int = 60, batch: int = 512, step: float = 0.1, decay: float = 1e-2, back: float = 1.0, seed: int = 2) -> Model:
+    """Minibatch Adam on the non-negative risk. ``rows`` (ascending; the first ``n_p`` texts are
+    confirmed) and ``cols`` list the kept features of each text, once for each of its distinct words."""
+    if not n_p or not n_u:
         return Model({}, -30.0)
-    texts = positive + unlabelled
-    n_p, n_u = len(positive), len(unlabelled)
-    rows, cols = _csr(texts)
-    pairs = np.unique(rows * (1 << BITS) + cols)  # a feature counts once a text here
-    in_p = np.bincount(pairs[pairs >> BITS < n_p] & ((1 << BITS) - 1), minlength=1 << BITS)
-    in_u = np.bincount(pairs[pairs >> BITS >= n_p] & ((1 << BITS) - 1), minlength=1 << BITS)
-    p, u = in_p / n_p, in_u / n_u
-    spread = np.sqrt((p * (1 - p) + 1e-3) / n_p + (u * (1 - u) + 1e-3) / n_u)
-    signal = (p - u) / spread
-    # Bayes: of unlabelled texts with the feature, prior * p / u are toxic; weaker features only follow length or language
-    signal[(in_p < min_positive) | (prior * p < 0.5 * u) | (signal < min_z)] = 0
-    kept = np.sort(np.argsort(-signal, kind="stable")[:max_features])
-    kept = kept[signal[kept] > 0]
     if not len(kept):
         return Model({}, float(np.log(prior / (1 - prior))))
-    place = np.full(1 << BITS, -1)
-    place[kept] = np.arange(len(kept))
-    rows, cols = rows[place[cols] >= 0], place[cols[place[cols] >= 0]]
-    first = np.searchsorted(rows, np.arange(len(texts) + 1))
+    first = np.searchsorted(rows, np.arange(n_p + n_u + 1))
 
     def take(ids):
         size = first[ids + 1] - first[ids]
@@ -158,15 +134,24 @@ def fit_texts(positive: list[str], unlabelled: list[str], prior: float, max_feat
             w[:-1] = np.maximum(w[:-1], 0)  # every kept feature speaks for toxicity
             if t > half:
                 mean += (w - mean) / (t - half)
-    # the same risk once more over all texts for the scale and the bias alone, without decay
-    w = mean
-    total = np.bincount(rows, w[cols], len(texts))
-    scale = _rescale(total[:n_p], total[n_p:], prior)
-    return Model({int(k): float(scale[0] * x) for k, x in zip(kept, w) if x}, scale[1])
+    # the same risk once more over all texts, without decay, for the scale; the bias follows from the prior
+    total = np.bincount(rows, mean[cols], n_p + n_u)
+    scale, _ = _rescale(total[:n_p], total[n_p:], prior)
+    return Model({int(k): float(scale * x) for k, x in zip(kept, mean) if x}, -scale * _boundary(total[:n_p], total[n_p:], prior))
+
 
+def _texts_features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Hashed features of each text, once for each distinct word that has them."""
+    for b in batches:
+        seen = [[i for w in set(WORD.findall(t.lower())) for i in _features(w)] for t in b["text"]]
+        yield pd.DataFrame({"y": b["y"], "content": b["content"], "features": [np.array(x, dtype=np.int32) for x in seen]})
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 4_000, max_unlabelled: int = 8_000, seed: int = 2, **params) -> Model:
-    """Learn from confirmed texts and from others whose labels, if any, are not looked at."""
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive: int = 4_000, max_unlabelled: int = 8_000, max_features: int = 1024, min_positive: int = 4, min_z: float = 4.0, seed: int = 2, **params) -> Model:
+    """Learn from confirmed texts and from others whose labels, if any, are not looked at.
+
+    Features are made and counted on the executors; the driver gets only the kept ones of each sampled text.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     n, toxic = known.agg(F.count(F.lit(1)), F.sum("y")).first()
     prior = float(np.clip((toxic or 0) / n if n else 0.0, 0.01, 0.9))
@@ -176,18 +161,36 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_positive:
     # both sides are bounded by the parameters
     want = F.broadcast(positive.unionByName(others))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text("text").alias("text")).join(want, "doc_id")
-    got = rows.orderBy("doc_id", "y").limit(2 * (max_positive + max_unlabelled)).toPandas()
-    return fit_texts(got.loc[got["y"] == 1, "text"].tolist(), got.loc[got["y"] == 0, "text"].tolist(), prior, seed=seed, **params)
+    rows = rows.withColumn("content", F.xxhash64("text")).mapInPandas(_texts_features, "y int, content long, features array<int>")
+    rows = stored(rows.dropDuplicates(["y", "content"]))  # copies teach once
+    sizes = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
+    n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
+    df = rows.select("y", F.explode(F.array_distinct("features")).alias("feature")).groupBy("feature").agg(F.count_if(F.col("y") == 1).alias("in_p"), F.count_if(F.col("y") == 0).alias("in_u"))
+    p, u = F.col("in_p") / F.lit(float(max(n_p, 1))), F.col("in_u") / F.lit(float(max(n_u, 1)))
+    spread = F.sqrt((p * (1 - p) + 1e-3) / max(n_p, 1) + (u * (1 - u) + 1e-3) / max(n_u, 1))
+    # Bayes: of unlabelled texts with the feature, prior * p / u are toxic; weaker features only follow length or language
+    good = df.select("feature", "in_p", ((p - u) / spread).alias("z"), (F.lit(prior) * p >= F.lit(0.5) * u).alias("marks"))
+    good = good.where(F.col("marks") & (F.col("in_p") >= min_positive) & (F.col("z") >= min_z)).orderBy(F.desc("z"), "feature").limit(max_features)
+    kept = np.sort(np.array([r["feature"] for r in good.collect()], dtype=np.int64))
+    place = {int(k): i for i, k in enumerate(kept)}
+
+    def only_kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"y": b["y"], "content": b["content"], "at": [[place[i] for i in x if i in place] for x in b["features"]]})
+
+    got = rows.mapInPandas(only_kept, "y int, content long, at array<int>").orderBy(F.desc("y"), "content").limit(2 * (max_positive + max_unlabelled)).toPandas()
+    size = got["at"].map(len).to_numpy(dtype=np.int64) if len(got) else np.zeros(0, dtype=np.int64)
+    cols = np.concatenate([np.sort(np.asarray(x, dtype=np.int64)) for x in got["at"]]) if size.sum() else np.zeros(0, dtype=np.int64)
+    return fit_rows(np.repeat(np.arange(len(got)), size), cols, n_p, n_u, kept, prior, seed=seed, **params)
 
 
-def scorer(spark: SparkSession, model: Model):
+def scorer(model: Model):
     """Column function: the score (0 to 1) of a text column."""
     name = ("toxicity", crc32(repr(sorted(model.weights.items())).encode()), model.bias)
-    sent = spark.sparkContext.broadcast(model)  # at most max_features weights
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m = sent.value
+        m = model  # at most max_features weights, shipped with the task
         memo: dict[str, float] = worker_cached(name, dict)
         weight = m.word_weight
 
@@ -211,4 +214,4 @@ def scorer(spark: SparkSession, model: Model):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) of every whole text."""
-    return docs.withColumn("score", scorer(docs.sparkSession, model)("text"))
+    return docs.withColumn("score", scorer(model)("text"))
