@@ -27,7 +27,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under ``TOXIC_AT``, learnt from ``labels``."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return docs.where(toxicity.scorer(spark, model)("text") < TOXIC_AT)
+    return docs.where(toxicity.scorer(model)("text") < TOXIC_AT)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
