@@ -5,8 +5,9 @@ of words. A document's words stream through it once; at each word the matching
 statistic is the length of the longest run of words, ending there, that occurs
 in any template. Maximal runs of at least ``min_run`` words are laid on the
 templates that contain them and chained in order (later in the text and later in the
-template); a template is found where its chain covers at least ``coverage`` of
-its words. Base phrases are short templates that must match whole; their ends
+template, at most two template lengths on) by dynamic programming, so that a stray
+run never hides a chain that covers more; a template is found where a chain covers
+at least ``coverage`` of its words, and its spans don't overlap. Base phrases are short templates that must match whole; their ends
 are marked on the automaton's states, so all places are found in the same pass.
 
 ``score`` is the largest share of a template's words that one chain covers (1
@@ -21,6 +22,7 @@ Extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pandas as pd
@@ -189,40 +191,60 @@ class Scanner:
         return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), 1.0 if places else best, spans)
 
     def _chains(self, runs: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
-        """Per template, chains of runs in order in text and template; those that cover enough are spans."""
-        a, n = self.auto, len(self.base)
-        open_: dict[int, list] = {}  # template -> [first word, last word, template end, covered]
-        spans, best = [], 0.0
-
-        def close(t):
-            nonlocal best
-            first, last, _, covered = open_.pop(t)
-            share = covered / len(a.sequences[t])
-            best = max(best, share)
-            if share >= self.coverage:
-                spans.append((self.names[t - n], first, last, round(share, 6)))
-
+        """Per template, the chains of runs that cover most; those that cover enough are spans."""
+        n = len(self.base)
+        laid: dict[int, list[tuple[int, int, int]]] = {}  # template -> [(last word, last template word, words)]
         for start, stop, s in runs:
-            size = stop - start
             # the state's strings of this length end at these places of the templates
-            for t, end in a.ends[s]:
-                if t < n:
-                    continue
-                at = end - size + 1
-                chain = open_.get(t)
-                if chain and (start - chain[1] > 2 * len(a.sequences[t]) or at + size <= chain[2]):
-                    close(t)
-                    chain = None
-                if not chain:
-                    open_[t] = [start, stop - 1, end + 1, size]
-                else:
-                    fresh = min(end + 1 - chain[2], size, stop - 1 - chain[1])
-                    if fresh > 0:
-                        chain[1], chain[2], chain[3] = stop - 1, end + 1, chain[3] + fresh
-        for t in list(open_):
-            close(t)
+            for t, end in self.auto.ends[s]:
+                if t >= n:
+                    laid.setdefault(t, []).append((stop - 1, end, stop - start))
+        spans, best = [], 0.0
+        for t, matches in laid.items():
+            total = len(self.auto.sequences[t])
+            todo = [matches]
+            while todo:
+                chains = self._best(matches := todo.pop(), 2 * total)
+                best = max(best, chains[0][0] / total)
+                taken, lost = [], False
+                for covered, first, last in chains:
+                    if covered / total < self.coverage:
+                        break
+                    k = bisect(taken, (first, last))
+                    if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
+                        lost = True
+                        continue
+                    taken.insert(k, (first, last))
+                    spans.append((self.names[t - n], first, last, round(covered / total, 6)))
+                if lost:  # what lies between the chains taken may hold chains of its own
+                    rest: dict[int, list] = {}
+                    for m in matches:
+                        k = bisect(taken, (m[0], m[0]))
+                        if not (k and taken[k - 1][1] > m[0] - m[2]) and not (k < len(taken) and taken[k][0] <= m[0]):
+                            rest.setdefault(k, []).append(m)
+                    todo += rest.values()
         return sorted(spans, key=lambda x: (x[1], x[2], x[0])), best
 
+    @staticmethod
+    def _best(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
+        """(covered words, first word, last word) of the best chain that ends at each match, best and then
+        shortest first. A chain goes on to a match that ends later in text and template and starts at most
+        ``gap`` words on; words that both hold count once."""
+        matches = sorted(matches)
+        ends: list[tuple[int, int]] = []  # (covered words, first word)
+        for k, (last, end, size) in enumerate(matches):
+            start, at = last - size + 1, end - size + 1
+            found = (size, start)
+            for j in range(k - 1, -1, -1):
+                last_j, end_j, _ = matches[j]
+                if start - last_j > gap:
+                    break
+                if last_j < last and end_j < end:
+                    covered, first = ends[j]
+                    found = max(found, (covered + size - max(0, last_j - start + 1, end_j - at + 1), first))
+            ends.append(found)
+        return sorted(((c, f, m[0]) for (c, f), m in zip(ends, matches)), key=lambda x: (-x[0], x[2] - x[1], x[1]))
+
 
 FIELDS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>"
 
