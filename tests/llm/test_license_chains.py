@@ -44,3 +44,30 @@ def test_best_chain_by_brute_force():
                 if ok:
                     want = max(want, covered)
         assert ls.Scanner._best(matches, gap)[0][0] == want, matches
+
+
+def test_template_inside_a_longer_run_of_another():
+    apache = ls.TEMPLATES["apache-2.0"][1]
+    got = SCANNER.scan("zzz " + " ".join(apache.split()[:16]) + " zzz")
+    assert "apache-2.0" in got[5].split(",") and ("apache-2.0", 1, 8, 1.0) in got[7] and got[6] == 1.0
+    s = ls.Scanner({}, {"whole": ["a b c d e f g h i j k"], "head": ["a b c"], "middle": ["d e f"], "end": ["i j k"]}, 2, 0.8)
+    got = s.scan("z a b c d e f g z")
+    assert got[5] == "head,middle" and got[7] == [("head", 1, 3, 1.0), ("middle", 4, 6, 1.0)]
+    assert s.scan("a b c d e f g h i j k")[5] == "end,head,middle,whole"
+
+    for kind in ("nc", "sa"):
+        text = ls.TEMPLATES[f"cc-by-{kind}-4.0"]
+        assert all(f"cc-by-{kind}-4.0" in (x := SCANNER.scan(notice)[5].split(",")) and "cc-by-4.0" not in x for notice in text)
+
+
+def test_whole_templates_by_brute_force():
+    rng = random.Random(6)
+    for _ in range(600):
+        templates = [[rng.choice("abc") for _ in range(rng.randint(2, 7))] for _ in range(4)]
+        words = [rng.choice("abcz") if rng.random() < 0.4 else None for _ in range(4)]
+        words = [w for x in words for w in ([x] if x else rng.choice(templates))]
+        s = ls.Scanner({"a b": "base"}, {str(t): [" ".join(x)] for t, x in enumerate(templates)}, 2, 1.0)
+        found = s.scan(" ".join(words))[5].split(",")
+        for t, x in enumerate(templates):
+            if any(words[i : i + len(x)] == x for i in range(len(words))):
+                assert str(t) in found, (words, x)

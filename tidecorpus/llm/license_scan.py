@@ -4,7 +4,8 @@ The automaton holds every template (a licence notice or phrase) as a sequence
 of words. A document's words stream through it once; at each word the matching
 statistic is the length of the longest run of words, ending there, that occurs
 in any template. Maximal runs of at least ``min_run`` words are laid on the
-templates that contain them and chained in order (later in the text and later in the
+templates that contain them, and so is each whole template inside a longer run of
+another; they are chained in order (later in the text and later in the
 template, at most two template lengths on) by dynamic programming, so that a stray
 run never hides a chain that covers more; a template is found where a chain covers
 at least ``coverage`` of its words, and its spans don't overlap. Base phrases are short templates that must match whole; their ends
@@ -139,6 +140,7 @@ class Scanner:
         # phrases that end at a state: their words are a suffix of the state's
         self.phrases = [[t for t, i in a.ends[s] if t < n and i == len(a.sequences[t]) - 1] for s in range(len(a.len))]
         self.known = set().union(*a.next) if a.next else set()
+        self.wholes: dict[int, list[tuple[int, int]]] = {}  # whole templates that end at a state or its suffix links, as states are met
 
     def _long(self, s: int, length: int) -> list[int]:
         """Base phrases that end here. A state's phrase is as long as some string of the state or of its suffix links."""
@@ -156,13 +158,13 @@ class Scanner:
         a = self.auto
         edges, link, length_of, phrases = a.next, a.link, a.len, self.phrases
         known = self.known
-        places, runs = [], []
+        places, laid = [], {}
         s = length = 0
         root = edges[0]
         for i, w in enumerate(words):
             if w not in known:
                 if length >= self.min_run:
-                    runs.append((i - length, i, s))
+                    self._lay(i - 1, s, length, True, laid)
                 s = length = 0
                 continue
             if w in edges[s]:
@@ -170,7 +172,7 @@ class Scanner:
                 length += 1
             else:
                 if length >= self.min_run:
-                    runs.append((i - length, i, s))
+                    self._lay(i - 1, s, length, True, laid)
                 while s and w not in edges[s]:
                     s = link[s]
                     length = length_of[s]
@@ -179,26 +181,43 @@ class Scanner:
                     length += 1
                 else:
                     s = length = 0
+            if length >= self.min_run:
+                self._lay(i, s, length, False, laid)
             if length > 1 or root.get(w):
                 for t in self._long(s, length):
                     places.append((i - len(a.sequences[t]) + 1, t))
         if length >= self.min_run:
-            runs.append((len(words) - length, len(words), s))
-        spans, best = self._chains(runs)
+            self._lay(len(words) - 1, s, length, True, laid)
+        spans, best = self._chains(laid)
         base = sorted({self.base[t][1] for _, t in places})
         labels = sorted(set(base) | {x[0] for x in spans})
         starts = [p for p, _ in places]
         return (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(base), ",".join(labels), 1.0 if places else best, spans)
 
-    def _chains(self, runs: list[tuple[int, int, int]]) -> tuple[list[tuple[str, int, int, float]], float]:
+    def _lay(self, last: int, s: int, length: int, ended: bool, laid: dict[int, list[tuple[int, int, int]]]) -> None:
+        """Add to their templates, as (last word, last template word, words): the run at word ``last`` where it
+        has ended, or else the whole templates that end there, though a longer run of another goes on. Parts
+        of a template inside such a run are not its own: CC BY-NC holds all words of CC BY."""
+        a, n = self.auto, len(self.base)
+        if ended:
+            for t, end in a.ends[s]:
+                if t >= n and length < len(a.sequences[t]):
+                    laid.setdefault(t, []).append((last, end, length))
+            return
+        top = s
+        if top not in self.wholes:
+            found = []
+            while s > 0:
+                found += [(t, len(a.sequences[t])) for t, end in a.ends[s] if t >= n and end + 1 == len(a.sequences[t]) and a.len[a.link[s]] < end + 1 <= a.len[s]]
+                s = a.link[s]
+            self.wholes[top] = found
+        for t, size in self.wholes[top]:
+            if self.min_run <= size <= length:
+                laid.setdefault(t, []).append((last, size - 1, size))
+
+    def _chains(self, laid: dict[int, list[tuple[int, int, int]]]) -> tuple[list[tuple[str, int, int, float]], float]:
         """Per template, the chains of runs that cover most; those that cover enough are spans."""
         n = len(self.base)
-        laid: dict[int, list[tuple[int, int, int]]] = {}  # template -> [(last word, last template word, words)]
-        for start, stop, s in runs:
-            # the state's strings of this length end at these places of the templates
-            for t, end in self.auto.ends[s]:
-                if t >= n:
-                    laid.setdefault(t, []).append((stop - 1, end, stop - start))
         spans, best = [], 0.0
         for t, matches in laid.items():
             total = len(self.auto.sequences[t])
