@@ -10,10 +10,10 @@ Training (byte-pair merges over metaspace words):
 * E1c – pair counts: consecutive symbol pairs weighted by ``n``, summed.
 * E1d – merge loop: the best pair (count desc, then left id, right id asc) is
   taken while its count ≥ ``min_frequency`` and the vocabulary is below
-  ``vocab_size``; every word is rewritten with a native ``aggregate`` fold.
-  One small job per merge on the cached word-type table; lineage is cut with a
-  reliable checkpoint every ``checkpoint_every`` merges. Only the single best
-  pair (one row) reaches the driver per round.
+  ``vocab_size``. A round guesses many merges, one pass over the word types
+  gives the exact changes of the pair counts at each, and those that were the
+  best pair are committed. The driver holds pair counts (bounded) and a bounded
+  sample of words, never the word table.
 
 Encoding (E4) applies the learned merges by rank to each word in an Arrow
 batch UDF with a per-worker memo, so each distinct word is encoded about once
@@ -25,16 +25,18 @@ from __future__ import annotations
 import heapq
 import json
 import os
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 
 MARK = K.WORD_MARK
 
@@ -106,15 +108,115 @@ class BpeModel:
     merges: DataFrame  # left STRING, right STRING, rank INT
 
 
-def neighbour_counts(sym: DataFrame, pairs: Sequence[tuple[int, int]]) -> dict[tuple[int, int], int]:
-    """For each pair, how often it stands with its most frequent left or right neighbour (one row a pair)."""
-    t = sym.filter(F.size("sym") > 2).select("n", F.explode(F.arrays_zip(F.col("sym").alias("a"), F.slice("sym", 2, F.size("sym")).alias("b"), F.slice("sym", 3, F.size("sym")).alias("c"))).alias("t"))
-    t = t.select("n", "t.a", "t.b", "t.c").filter(F.col("c").isNotNull())
-    wanted = F.broadcast(sym.sparkSession.createDataFrame(list(pairs), "l int, r int"))  # one round's pairs
-    right = t.join(wanted, (F.col("a") == F.col("l")) & (F.col("b") == F.col("r"))).select("l", "r", F.lit(1).alias("side"), F.col("c").alias("x"), "n")
-    left = t.join(wanted, (F.col("b") == F.col("l")) & (F.col("c") == F.col("r"))).select("l", "r", F.lit(0).alias("side"), F.col("a").alias("x"), "n")
-    each = right.unionByName(left).groupBy("l", "r", "side", "x").agg(F.sum("n").alias("n"))
-    return {(row["l"], row["r"]): row["n"] for row in each.groupBy("l", "r").agg(F.max("n").alias("n")).collect()}
+class _Words:
+    """Words as symbol lists with their weights; merges rewrite only the words that hold the pair."""
+
+    def __init__(self, syms: list[list[int]], weights: list[int]):
+        self.syms, self.weights = syms, weights
+        self.holds: dict[tuple[int, int], set[int]] = {}
+        for i, s in enumerate(syms):
+            for pair in zip(s, s[1:]):
+                self.holds.setdefault(pair, set()).add(i)
+
+    def counts(self) -> Counter:
+        out: Counter = Counter()
+        for s, n in zip(self.syms, self.weights):
+            for pair in zip(s, s[1:]):
+                out[pair] += n
+        return out
+
+    def merge(self, pair: tuple[int, int], new: int) -> Counter:
+        """Replace the pair left to right, non-overlapping; returns how the pair counts change."""
+        out: Counter = Counter()
+        a, b = pair
+        for i in self.holds.pop(pair, ()):
+            s, n = self.syms[i], self.weights[i]
+            t, k = [], 0
+            while k < len(s):
+                if s[k] == a and k + 1 < len(s) and s[k + 1] == b:
+                    t.append(new)
+                    k += 2
+                else:
+                    t.append(s[k])
+                    k += 1
+            if len(t) == len(s):
+                continue  # the pair went with an earlier merge
+            for q in zip(s, s[1:]):
+                out[q] -= n
+            for q in zip(t, t[1:]):
+                out[q] += n
+                if new in q:
+                    self.holds.setdefault(q, set()).add(i)
+            self.syms[i] = t
+        return out
+
+
+class _Ranked:
+    """Pair counts with the best pair (count desc, left id, right id asc) at hand."""
+
+    def __init__(self, counts: dict[tuple[int, int], int]):
+        self.counts = dict(counts)
+        self.heap = [(-n, *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.heap)
+
+    def best(self) -> tuple[tuple[int, int] | None, int]:
+        while self.heap:
+            n, l, r = self.heap[0]
+            now = self.counts.get((l, r), 0)
+            if now == -n and now > 0:
+                return (l, r), now
+            heapq.heappop(self.heap)
+            if 0 < now < -n:
+                heapq.heappush(self.heap, (-now, l, r))
+        return None, 0
+
+    def add(self, changes: dict[tuple[int, int], int], known) -> None:
+        for pair, d in changes.items():
+            if d and known(pair):
+                n = self.counts.get(pair, 0)
+                self.counts[pair] = n + d
+                if d > 0:
+                    heapq.heappush(self.heap, (-(n + d), *pair))
+
+
+def _merge_changes(words: DataFrame, ids: dict[str, int], done: Sequence[tuple[int, int]], ahead: Sequence[tuple[int, int]], first_id: int) -> DataFrame:
+    """(step, left, right, n): how each merge of ``ahead`` changes the pair counts after the merges
+    ``done``; step -1 has the counts themselves, where ``ahead`` is empty."""
+    spark = words.sparkSession
+    bc = spark.sparkContext.broadcast((ids, list(done), list(ahead), first_id))  # bounded by the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_, done_, ahead_, first = bc.value
+        total: dict[tuple[int, int, int], int] = {}
+        for b in batches:  # one batch of words in memory at a time
+            held = _Words([[ids_[c] for c in w if c in ids_] for w in b.column("word").to_pylist()], b.column("n").to_pylist())
+            for k, pair in enumerate(done_):
+                held.merge(pair, first + k)
+            steps = [(k, held.merge(pair, first + len(done_) + k)) for k, pair in enumerate(ahead_)] or [(-1, held.counts())]
+            for k, changes in steps:
+                for (l, r), n in changes.items():
+                    if n:
+                        total[k, l, r] = total.get((k, l, r), 0) + n
+        keys = list(total)
+        for i in range(0, len(keys), 50_000):
+            part = keys[i : i + 50_000]
+            columns = [pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([total[x] for x in part], pa.int64())], ["step", "left", "right", "n"])
+
+    changes = words.mapInArrow(run, "step int, left int, right int, n long")
+    return changes.groupBy("step", "left", "right").agg(F.sum("n").alias("n"))
+
+
+def _word_sample(words: DataFrame, size: int) -> list[tuple[str, int]]:
+    """Up to about ``size`` words for guesses: the most frequent half, and a weighted hash sample of the others."""
+    total = words.count()
+    if total <= size:
+        return [(r["word"], r["n"]) for r in words.collect()]
+    top = words.orderBy(F.desc("n"), F.asc("word")).limit(size // 2).collect()
+    floor = top[-1]["n"]
+    step = -(-total // (size // 2))
+    rest = words.filter((F.col("n") <= floor) & (F.pmod(F.xxhash64("word"), F.lit(step)) == 0)).collect()
+    return [(r["word"], r["n"]) for r in top if r["n"] > floor] + [(r["word"], r["n"] * step) for r in rest]
 
 
 def train_bpe(
@@ -125,72 +227,80 @@ def train_bpe(
     limit_alphabet: int = K.LIMIT_ALPHABET,
     specials: Sequence[str] = K.SEQUENCE_SPECIALS,
     checkpoint_every: int = 20,
-    merges_per_round: int = 32,
+    merges_per_round: int = 1024,
+    sample_words: int = 120_000,
+    most_pairs: int = 200_000,
 ) -> BpeModel:
     """E1 end to end; returns the vocabulary and the ranked merge list.
 
-    A round takes the ranked pairs up to ``merges_per_round`` or to the first that
-    shares a symbol with one before it, and commits those that a new pair cannot
-    outrank: a pair made by a merge is at most as frequent as the merged pair with
-    that neighbour, which one more aggregate counts. The result equals one merge
-    at a time, for every ``merges_per_round``.
+    A round guesses up to ``merges_per_round`` merges from the exact pair counts
+    and a sample of words, and one pass over all words gives the exact change
+    of the pair counts at each of them. The driver replays them and commits those
+    that are the best pair by exact counts, up to the first wrong guess. The result
+    equals one merge at a time, for every ``merges_per_round`` and sample.
+    The driver holds the ``most_pairs`` best pairs and counts anew when the best
+    is no better than those left out. ``checkpoint_every`` has no effect: rounds
+    start from the checkpointed word table, so no lineage grows.
     """
     spark = df.sparkSession
-    words = word_counts(df, text).persist()
-    alpha = alphabet(words, limit_alphabet, specials).persist()
-    # word → symbol ids; characters outside the alphabet are dropped
-    chars = words.select("word", "n", F.posexplode(F.split("word", "", -1)).alias("pos", "ch"))
-    a = F.broadcast(alpha.select(F.col("token").alias("ch"), "id"))  # ≤ limit_alphabet rows
-    sym = chars.join(a, "ch", "inner").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s"))
-    sym = sym.select("n", F.transform("s", lambda e: e["id"]).alias("sym")).filter(F.size("sym") > 0)
-    # identical symbol sequences are merged so the loop works on distinct sequences
-    sym = cut_lineage(sym.groupBy("sym").agg(F.sum("n").alias("n")))
+    words = cut_lineage(word_counts(df, text).repartition(shuffle_partitions(spark)))
+    alpha = {r["token"]: r["id"] for r in alphabet(words, limit_alphabet, specials).collect()}  # ≤ limit_alphabet rows
 
     # id → token text: specials + alphabet (≤ limit_alphabet rows), grown by one per merge
     token_of = {i: t for i, t in enumerate(specials)}
-    token_of.update({r["id"]: r["token"] for r in alpha.collect()})
-    next_id = len(token_of)
-    merges: list[tuple[str, str, int]] = []
-    rounds = 0
-    prev = None
-    while next_id < vocab_size:
-        room = min(merges_per_round, vocab_size - next_id)
-        best = pair_counts(sym).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), F.asc("left"), F.asc("right")).limit(room).collect()
-        if prev is not None:  # the current table is materialised now
-            prev.unpersist()
-        if not best:
-            break
-        chosen, used = [], set()
-        for row in best:
-            l, r = int(row["left"]), int(row["right"])
-            if l in used or r in used:
+    token_of.update({i: t for t, i in alpha.items()})
+    first_id = len(token_of)
+    sample = _word_sample(words, sample_words)
+    guessed = _Words([[alpha[c] for c in w if c in alpha] for w, _ in sample], [n for _, n in sample])
+    done: list[tuple[int, int]] = []
+    exact, floor, fresh, ahead_max = None, 0, 0, merges_per_round
+    while first_id + len(done) < vocab_size:
+        if exact is None or exact.best()[1] <= floor:
+            if exact is not None and floor < min_frequency:
                 break
-            chosen.append((l, r))
-            used.update((l, r))
-        if len(chosen) > 1:
-            near = neighbour_counts(sym, chosen)
-            bound = 0
-            for k in range(1, len(chosen)):
-                bound = max(bound, near.get(chosen[k - 1], 0))
-                if bound >= best[k]["n"]:  # a new pair might come first
-                    del chosen[k:]
-                    break
-        col = F.col("sym")
-        for l, r in chosen:
-            token_of[next_id] = token_of[l] + token_of[r]
-            merges.append((token_of[l], token_of[r], len(merges)))
-            col = apply_merge(col, l, r, next_id)
-            next_id += 1
-        nxt = sym.select(col.alias("sym"), "n")
-        rounds += 1
-        prev = sym
-        sym = cut_lineage(nxt) if rounds % checkpoint_every == 0 else nxt.persist()
-
+            top = _merge_changes(words, alpha, done, [], first_id).filter(F.col("n") >= min_frequency)
+            top = top.orderBy(F.desc("n"), "left", "right").limit(most_pairs + 1).collect()
+            floor = max(r["n"] for r in top[most_pairs:]) if len(top) > most_pairs else min_frequency - 1
+            exact, fresh = _Ranked({(r["left"], r["right"]): r["n"] for r in top if r["n"] > floor}), first_id + len(done)
+            if exact.best()[0] is None:
+                if floor >= min_frequency:
+                    most_pairs *= 2  # more pairs tie than are held
+                    exact = None
+                    continue
+                break
+        # pairs held, and all pairs with symbols made since the count, are known exactly
+        known = lambda q: q in exact.counts or q[0] >= fresh or q[1] >= fresh  # noqa: B023,E731
+        # guess ahead
+        guess, ahead = _Ranked(exact.counts), []
+        held = _Words([list(s) for s in guessed.syms], guessed.weights)
+        while len(ahead) < min(ahead_max, vocab_size - first_id - len(done)):
+            pair, n = guess.best()
+            if pair is None or n <= floor:
+                break
+            guess.add(held.merge(pair, first_id + len(done) + len(ahead)), known)
+            guess.counts[pair] = 0
+            ahead.append(pair)
+        changes: list[dict] = [{} for _ in ahead]
+        for r in _merge_changes(words, alpha, done, ahead, first_id).collect():
+            changes[r["step"]][r["left"], r["right"]] = r["n"]
+        committed = 0
+        for pair, change in zip(ahead, changes):
+            best, n = exact.best()
+            if best != pair or n <= floor:
+                break
+            exact.add(change, known)
+            guessed.merge(pair, first_id + len(done))
+            done.append(pair)
+            committed += 1
+        ahead_max = min(merges_per_round, max(64, 3 * committed))
+
+    merges = []
+    for k, (l, r) in enumerate(done):
+        token_of[first_id + k] = token_of[l] + token_of[r]
+        merges.append((token_of[l], token_of[r], k))
     # both tables are bounded by vocab_size rows
     vocab = spark.createDataFrame(sorted(((t, i) for i, t in token_of.items()), key=lambda x: x[1]), "token string, id int")
     merge_table = spark.createDataFrame(merges, "left string, right string, rank int")
-    for frame in (words, alpha, sym):
-        frame.unpersist()
     return BpeModel(vocab, merge_table)
 
 

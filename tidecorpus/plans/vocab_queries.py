@@ -1,5 +1,5 @@
-"""Vocabulary queries (E1a–E1d, E4, S12, P13, P14, L7, T18) on ``part.p_name``
-(subword training) and the word vocabulary of ``documents``."""
+"""Vocabulary queries (E1a–E1d, E4, S12, P13, P14, L7, T18): subword training on
+``documents`` and, small, on ``part.p_name``, and the word vocabulary of ``documents``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from .. import constants as K
 from ..operators import encode as en
 from ..operators import vocab as vb
 from ..session import table
-from ..sources.tables import social_documents
+from ..sources.tables import documents, social_documents
 from ..functions import text as tx
 from . import sqltext as S
 from .array_queries import _TOK_CTE, _VOC_CTE, VOCAB, word_vocab
@@ -17,6 +17,7 @@ from .registry import query
 
 ALPHA_LIMIT = 20
 BPE_MERGES = 30
+DOCUMENT_MERGES = 1000
 
 _WC_SQL = "wc AS (SELECT '▁' || w AS word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS w FROM part WHERE length(p_name) > 0) GROUP BY 1)"
 
@@ -55,13 +56,71 @@ def e1c_pair_counts(spark, sf_dir):
     return vb.initial_pair_counts(words, vb.alphabet(words, ALPHA_LIMIT))
 
 
-def _model(spark, sf_dir):
+def _part_model(spark, sf_dir):
     return vb.train_bpe(_names(spark, sf_dir), "p_name", vocab_size=5 + ALPHA_LIMIT + BPE_MERGES, min_frequency=2, limit_alphabet=ALPHA_LIMIT)
 
 
+@query("e1d_part_bpe_merges")
+def e1d_part_bpe_merges(spark, sf_dir):
+    """Merges of the 16 words of part names: rows-only; tie rules tested in tests/test_batching_vocab.py."""
+    return _part_model(spark, sf_dir).merges
+
+
+@query("e1_e2_part_bpe_vocabulary")
+def e1_e2_part_bpe_vocabulary(spark, sf_dir):
+    """Specials, alphabet (code-point order), then merged tokens in merge order, of part names."""
+    return _part_model(spark, sf_dir).vocab
+
+
+@query("e4_part_bpe_encode")
+def e4_part_bpe_encode(spark, sf_dir):
+    """Subword pieces of every part name with the merges of part names (Arrow UDF, rows-only)."""
+    model = _part_model(spark, sf_dir)
+    enc = vb.bpe_encoder(spark, model)
+    pieces = _names(spark, sf_dir).select("p_partkey", enc("p_name").alias("pieces"))
+    ids = en.lookup_ids(pieces, "p_partkey", "pieces", model.vocab, "ids").join(pieces, "p_partkey")
+    return ids.select("p_partkey", F.array_join("pieces", " ").alias("pieces"), F.array_join("ids", ",").alias("ids"))
+
+
+_DOC_WC_SQL = "wc AS (SELECT '▁' || w AS word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents WHERE length(text) > 0) GROUP BY 1)"
+_DOC_ALPHA_SQL = f"""{_DOC_WC_SQL},
+cc AS (SELECT ch, sum(n) AS n FROM (SELECT unnest(string_split(word, '')) AS ch, n FROM wc) GROUP BY ch),
+al AS (SELECT ch FROM cc ORDER BY n DESC, ch ASC LIMIT {K.LIMIT_ALPHABET})"""
+
+
+@query("e1a_document_word_counts", sql=f"WITH {_DOC_WC_SQL} SELECT word, n FROM wc")
+def e1a_document_word_counts(spark, sf_dir):
+    return vb.word_counts(documents(spark, sf_dir, "text"), "text")
+
+
+@query(
+    "e1b_document_alphabet",
+    sql=f"WITH {_DOC_ALPHA_SQL} SELECT ch AS token, (row_number() OVER (ORDER BY ch) - 1 + 5)::INTEGER AS id FROM al",
+)
+def e1b_document_alphabet(spark, sf_dir):
+    return vb.alphabet(vb.word_counts(documents(spark, sf_dir, "text"), "text"), K.LIMIT_ALPHABET)
+
+
+@query(
+    "e1c_document_pair_counts",
+    sql=f"""WITH {_DOC_ALPHA_SQL},
+    kc AS (SELECT list_filter(string_split(word, ''), lambda c: list_contains(a.l, c)) AS c, n FROM wc, (SELECT list(ch) AS l FROM al) a),
+    pr AS (SELECT unnest(list_transform(range(1, len(c)), lambda i: struct_pack(l := c[i], r := c[i + 1]))) AS p, n FROM kc WHERE len(c) > 1)
+    SELECT p.l AS left, p.r AS right, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY 1, 2""",
+)
+def e1c_document_pair_counts(spark, sf_dir):
+    words = vb.word_counts(documents(spark, sf_dir, "text"), "text")
+    return vb.initial_pair_counts(words, vb.alphabet(words, K.LIMIT_ALPHABET))
+
+
+def _model(spark, sf_dir):
+    return vb.train_bpe(documents(spark, sf_dir, "text"), "text", vocab_size=len(K.SEQUENCE_SPECIALS) + K.LIMIT_ALPHABET + DOCUMENT_MERGES)
+
+
 @query("e1d_bpe_merges")
 def e1d_bpe_merges(spark, sf_dir):
-    """Exact merge loop (one aggregate per merge): rows-only; tie rules tested in tests/test_vocab.py."""
+    """At least 1,000 merges of the documents' whole texts (more where the alphabet is below its limit): rows-only,
+    tested against a trainer that merges one pair at a time."""
     return _model(spark, sf_dir).merges
 
 
@@ -73,12 +132,13 @@ def e1_e2_bpe_vocabulary(spark, sf_dir):
 
 @query("e4_bpe_encode")
 def e4_bpe_encode(spark, sf_dir):
-    """Subword pieces of every part name with the trained merges (Arrow UDF, rows-only)."""
+    """Subword pieces and ids of every document with the trained merges (Arrow UDF without a shuffle, rows-only)."""
     model = _model(spark, sf_dir)
-    enc = vb.bpe_encoder(spark, model)
-    pieces = _names(spark, sf_dir).select("p_partkey", enc("p_name").alias("pieces"))
-    ids = en.lookup_ids(pieces, "p_partkey", "pieces", model.vocab, "ids").join(pieces, "p_partkey")
-    return ids.select("p_partkey", F.array_join("pieces", " ").alias("pieces"), F.array_join("ids", ",").alias("ids"))
+    enc = vb.bpe_id_encoder(spark, model)
+    tokens = F.array(*[F.lit(r["token"]) for r in model.vocab.orderBy("id").collect()])  # ≤ vocab_size rows
+    ids = documents(spark, sf_dir, "doc_id", "text").select("doc_id", enc("text").alias("ids"))
+    pieces = F.transform("ids", lambda i: F.element_at(tokens, i + 1))
+    return ids.select("doc_id", F.array_join(pieces, " ").alias("pieces"), F.array_join("ids", ",").alias("ids"))
 
 
 @query(
