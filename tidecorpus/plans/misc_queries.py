@@ -14,7 +14,6 @@ from ..operators import encode as en
 from ..operators import splits as sp
 from ..session import ensure_checkpoint_dir, table
 from ..sources.tables import documents, social_documents
-from ..sources.text import read_splits
 from . import sqltext as S
 from .array_queries import _TOK_CTE, _VOC_CTE, encoded, tokens, word_vocab
 from .registry import query
@@ -152,11 +151,11 @@ def d5_presplit_sets(spark, sf_dir):
 )
 def s4_named_splits(spark, sf_dir):
     """documents written as one text folder per source; the last source in sorted
-    order is read as the test split, the others as train (list-of-paths scan)."""
+    order is read as the test split, the others as train (one scan of the partitioned folder)."""
     d = documents(spark, sf_dir, "source", "text")
     base = os.path.join(ensure_checkpoint_dir(spark), "sinks", f"lines-{uuid.uuid4().hex}")
     d.write.mode("overwrite").partitionBy("source").text(base)
-    srcs = sorted(r["source"] for r in d.select("source").distinct().collect())  # one row per source file
-    paths = {s: os.path.join(base, f"source={s}") for s in srcs}
-    splits = read_splits(spark, {"train": [paths[s] for s in srcs[:-1]], "test": [paths[srcs[-1]]]})
+    last = F.broadcast(d.agg(F.max("source").alias("last")))  # one row
+    lines = spark.read.schema("value string, source string").text(base).filter(F.col("source").isNotNull())
+    splits = lines.crossJoin(last).select(F.when(F.col("source") == F.col("last"), "test").otherwise("train").alias("split"))
     return splits.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"))

@@ -239,6 +239,9 @@ def d7_pooled_tasks(spark, sf_dir):
     return pooled.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.md5("text")).alias("n_distinct"))
 
 
+ARTICLE_ROWS = 1000
+
+
 @query(
     "j2_unnest_comments",
     sql="SELECT conv_id, turn, role, md5(text) AS h, 'conv ' || CAST(conv_id AS VARCHAR) AS title FROM conversations",
@@ -246,11 +249,14 @@ def d7_pooled_tasks(spark, sf_dir):
 def j2_unnest_comments(spark, sf_dir):
     """``conversations`` folded into articles (title + array of comments, each with
     its own ``title`` field) and unnested again: the article title wins."""
+    from ..operators.indexing import group_index
     from ..sources.text import unnest_comments
 
     c = table(spark, sf_dir, "conversations")
-    # one article per conversation: its turns are bounded by the conversation length
-    articles = c.groupBy("conv_id").agg(
+    # a conversation may hold a third of all rows: an article is at most ARTICLE_ROWS of its turns
+    c = c.withColumn("_conv", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))  # rows without an id are kept
+    c = group_index(c, ["turn", F.xxhash64("role", "text")], ["_conv"], "_i")
+    articles = c.groupBy("conv_id", F.expr(f"_i div {ARTICLE_ROWS}")).agg(
         F.concat(F.lit("conv "), F.col("conv_id").cast("string")).alias("title"),
         F.collect_list(F.struct("conv_id", "turn", "role", "text", F.col("role").alias("title"))).alias("comments"),
     )
