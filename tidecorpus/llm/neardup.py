@@ -251,13 +251,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, cell_r
 
     ``component_id`` is the smallest doc_id reachable; ``links`` counts the other rows of the component.
     """
+    return _rooted(docs, shingle, max_bits, cell_rows, groups, **cols).drop("root")
+
+
+def _rooted(docs: DataFrame, shingle: int, max_bits: int, cell_rows: int = CELL_ROWS, groups: int | None = None, **cols: str) -> DataFrame:
+    """``near_duplicates`` with each component's root fingerprint, which is its own where ids repeat or lack."""
     prints = stored(fingerprints(docs, shingle, **cols))
     nodes = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
     roots = components(stored(links(nodes, max_bits, cell_rows, groups)))
     named = nodes.join(roots, nodes["fp"] == roots["id"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("rows"))
-    of = named.join(ids, "root").select(F.col("fp").alias("fingerprint"), "component_id", (F.col("rows") - 1).alias("links"))
-    return prints.join(of, "fingerprint").select("doc_id", "content", "fingerprint", "component_id", "links")
+    of = named.join(ids, "root").select(F.col("fp").alias("fingerprint"), "component_id", (F.col("rows") - 1).alias("links"), "root")
+    return prints.join(of, "fingerprint").select("doc_id", "content", "fingerprint", "component_id", "links", "root")
 
 
 def hex64(c: Column) -> Column:
@@ -268,8 +273,8 @@ def hex64(c: Column) -> Column:
 def deduplicated(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """All columns of one row of each component: the row of its smallest doc_id (a component without
     ids keeps one row); of repeated rows, one stays."""
-    found = near_duplicates(docs, shingle, max_bits)
-    best = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("_f")).agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("content"))).alias("c"))
+    found = _rooted(docs, shingle, max_bits)
+    best = found.groupBy("root", "component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("content"))).alias("c"))
     keep = best.select(F.col("component_id").alias("_tide_keep_id"), F.col("c.content").alias("_tide_keep_content"))
     content = F.xxhash64(null_safe_text("text"), F.lit(7))
     rows = docs.withColumn("_tide_content", content)
