@@ -7,18 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tidecorpus.session import local_session  # noqa: E402
 
-SF001 = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, shuffle_partitions=8, app="tidecorpus-tests")
     yield s
     s.stop()
-
-
-def one(spark, expr_col, value, schema="x string"):
-    """Evaluate a Column function on one literal row."""
-    df = spark.createDataFrame([(value,)], schema)
-    return df.select(expr_col.alias("y")).collect()[0]["y"]

@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF01
+from helpers import SF01
 from tidecorpus import constants as K
 from tidecorpus.operators import evaluate as ev
 from tidecorpus.operators import results as rs

@@ -7,7 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF001
+from helpers import SF001
 from tidecorpus.operators import vocab as vb
 from tidecorpus.sources import sinks
 from tidecorpus.sources import text as src

@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from conftest import one
+from helpers import one
 from tidecorpus.functions import text as tx
 from tidecorpus.functions import udfs
 
