@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from tests_paths import SF001, SF01
+from helpers import SF001, SF01
 from tidecorpus.llm import ann, fingerprint, license_scan, mixing, queries, token_count, toolcalls
 
 TABLES = "documents embeddings conversations labels".split()
