@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprint, license_scan, mixing, neardup, packing, quality, token_count, toolcalls, toxicity
+from . import ann, centroids, fingerprint, license_scan, mixing, neardup, packing, quality, token_count, toolcalls, toxicity
 from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -75,6 +75,11 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id", "links")
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after ten rounds of eight centroids."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)[0]
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op7_chat_formatting": toolcalls.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op7_chat_formatting": toolcalls.oracle_sql(), "op13_centroid_clustering": centroids.oracle_sql()}
