@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, centroids, fingerprint, license_scan, mixing, neardup, packing, quality, token_count, toolcalls, toxicity
+from . import ann, centroids, collocations, fingerprint, license_scan, mixing, neardup, packing, quality, secret_scan, token_count, toolcalls, toxicity
 from .common import held_out, table
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -75,6 +75,17 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", neardup.hex64(F.col("fingerprint")).alias("fingerprint"), "component_id", "links")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules' findings of every document and the spans that the network adds, learnt outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.fit(docs.where(~held_out()))))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best collocations of every language."""
+    return collocations.top(collocations.mine(table(spark, sf_dir, "documents"), min_count=30, max_words=4), 2000)
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster, distance and inertia of every vector after ten rounds of eight centroids."""
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, seed=3)[0]
@@ -91,7 +102,9 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_license_scan": op9_license_scan,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_phrase_collocations": op12_phrase_collocations,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op7_chat_formatting": toolcalls.oracle_sql(), "op13_centroid_clustering": centroids.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_mix_sources": mixing.oracle_sql(), "op7_chat_formatting": toolcalls.oracle_sql(), "op12_phrase_collocations": collocations.oracle_sql(), "op13_centroid_clustering": centroids.oracle_sql()}
