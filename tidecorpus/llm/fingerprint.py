@@ -36,8 +36,8 @@ from .neardup import WS, bit_or, lane_bit, lane_sums, shingles
 RADIUS = 3
 FREE = 5
 CHUNK = 4_095  # terms of weight 8 at most: 4095 * 8 < 2 ** 15
-RANGE_ROWS = 4_000
-MAX_RANGES = 8_192
+RANGE_ROWS = 1_000
+MAX_RANGES = 32_768
 
 
 def votes(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -76,7 +76,7 @@ def within(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def neighbour_texts(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """(doc_id, content, text, next_id, next_content, next_text) of every row."""
+    """(_range, doc_id, content, text, next_id, next_content, next_text) of every row, dealt by ``_range``."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), null_safe_text("text").alias("text")).withColumn("content", F.xxhash64("text", F.lit(7)))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     n = ids.count()
@@ -108,7 +108,7 @@ def neighbour_texts(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     dealt = placed.select("doc_id", "content", "text", F.explode(both).alias("_p")).select("doc_id", "content", "text", F.col("_p.r").alias("_range"), F.col("_p.halo").alias("_halo"))
     w = Window.partitionBy("_range").orderBy("_halo", F.col("doc_id").desc_nulls_last(), "content")
     out = dealt.withColumn("_n", F.lead(F.struct("doc_id", "content", "text")).over(w)).where(F.col("_halo") == 0)
-    return out.select("doc_id", "content", "text", F.col("_n.doc_id").alias("next_id"), F.col("_n.content").alias("next_content"), F.col("_n.text").alias("next_text"))
+    return out.select("_range", "doc_id", "content", "text", F.col("_n.doc_id").alias("next_id"), F.col("_n.content").alias("next_content"), F.col("_n.text").alias("next_text"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -123,13 +123,14 @@ def edited_fingerprints(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     near = neighbour_texts(docs)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    rows = near.select("doc_id", "content", "next_id", "next_content", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    rows = rows.select("doc_id", "content", "next_id", "next_content", "n_chars", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.array("text", "edited").alias("both")).withColumn("uid", F.monotonically_increasing_id())
-    keys = ["uid", "doc_id", "content", "next_id", "next_content", "n_chars", "sha"]
+    rows = near.select("_range", "doc_id", "content", "next_id", "next_content", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    rows = rows.select("_range", "doc_id", "content", "next_id", "next_content", "n_chars", F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("sha"), F.array("text", "edited").alias("both")).withColumn("uid", F.monotonically_increasing_id())
+    # rows lie dealt by _range: with it among the keys, votes and sides are added up where they are
+    keys = ["_range", "uid", "doc_id", "content", "next_id", "next_content", "n_chars", "sha"]
     sides = rows.select(*keys, F.posexplode("both").alias("side", "t"))
     prints = votes(sides, [*keys, "side"], "t")
     wide = prints.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}{s}") for s in (0, 1) for c in ("hi", "lo")])
-    wide = stored(wide)
+    wide = stored(wide.drop("_range"))
     of = wide.select(F.col("doc_id").alias("_id"), F.col("content").alias("_c"), F.col("hi0").alias("_hi"), F.col("lo0").alias("_lo")).groupBy("_id", "_c").agg(F.first("_hi").alias("_hi"), F.first("_lo").alias("_lo"))
     out = wide.join(of, wide["next_id"].eqNullSafe(of["_id"]) & (wide["next_content"] == of["_c"]))
     nodes = wide.groupBy(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")).agg(F.count(F.lit(1)).alias("n"))
