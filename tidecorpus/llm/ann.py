@@ -19,7 +19,9 @@ visits the other lists under that bound.
 
 The number of lists to probe is measured, not assumed: the exact neighbours of
 ``probe_queries`` sampled queries, found by brute force over all rows, give the
-smallest number that holds ``recall`` of them.
+smallest number that holds ``recall`` of them. A query whose lists hold fewer
+than k other rows goes on to its next lists until they do, so it returns k rows,
+or all candidates if there are fewer.
 
 Vectors that are null, zero, or hold a null or non-finite component take no
 part, nor do null ids and vectors of another dimension than the most frequent
@@ -201,14 +203,18 @@ def search(index: Index, queries: DataFrame, k: int = 20, recall: float = 0.96,
     dim = len(index.rotation)
     n = min(len(index.centroids), probes(index, queries, k, recall, probe_queries))
     centroids = index.centroids
+    rows_of = np.array([index.counts.get(i, 0) for i in range(len(centroids))])
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         half = 0.5 * (centroids * centroids).sum(1)
         for b in batches:
             if len(b):
-                order = np.argsort(-(_stack(b["vec"], dim) @ centroids.T - half), axis=1, kind="stable")[:, :n]
-                at = np.repeat(np.arange(len(b)), n)
-                yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at], "list": order.ravel(), "visit": np.tile(np.arange(n), len(b))})
+                order = np.argsort(-(_stack(b["vec"], dim) @ centroids.T - half), axis=1, kind="stable")
+                held = np.cumsum(rows_of[order], axis=1)  # further lists until k others are there
+                most = np.maximum(n, np.minimum((held < k + 1).sum(axis=1) + 1, len(centroids)))
+                at = np.repeat(np.arange(len(b)), most)
+                visit = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most)
+                yield pd.DataFrame({"vec_id": b["vec_id"].to_numpy()[at], "vec": b["vec"].to_numpy()[at], "list": order[at, visit], "visit": visit})
 
     visits = queries.select("vec_id", "vec").mapInPandas(visit, "vec_id long, vec binary, list int, visit int")
     lists = len(centroids)
