@@ -10,10 +10,10 @@ Training (byte-pair merges over metaspace words):
 * E1c – pair counts: consecutive symbol pairs weighted by ``n``, summed.
 * E1d – merge loop: the best pair (count desc, then left id, right id asc) is
   taken while its count ≥ ``min_frequency`` and the vocabulary is below
-  ``vocab_size``. A round guesses many merges, one pass over the word types
-  gives the exact changes of the pair counts at each, and those that were the
-  best pair are committed. The driver holds pair counts (bounded) and a bounded
-  sample of words, never the word table.
+  ``vocab_size``. A round guesses many merges, one pass over the stored symbol
+  arrays gives the exact changes of the pair counts at each, and those that were
+  the best pair are committed. The driver holds pair counts (bounded) and a
+  bounded sample of words, never the word table.
 
 Encoding (E4) applies the learned merges by rank to each word in an Arrow
 batch UDF with a per-worker memo, so each distinct word is encoded about once
@@ -25,18 +25,18 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
-from ..session import cut_lineage, shuffle_partitions
+from ..session import discard, shuffle_partitions, stored
+from . import merges as mg
 
 MARK = K.WORD_MARK
 
@@ -108,49 +108,6 @@ class BpeModel:
     merges: DataFrame  # left STRING, right STRING, rank INT
 
 
-class _Words:
-    """Words as symbol lists with their weights; merges rewrite only the words that hold the pair."""
-
-    def __init__(self, syms: list[list[int]], weights: list[int]):
-        self.syms, self.weights = syms, weights
-        self.holds: dict[tuple[int, int], set[int]] = {}
-        for i, s in enumerate(syms):
-            for pair in zip(s, s[1:]):
-                self.holds.setdefault(pair, set()).add(i)
-
-    def counts(self) -> Counter:
-        out: Counter = Counter()
-        for s, n in zip(self.syms, self.weights):
-            for pair in zip(s, s[1:]):
-                out[pair] += n
-        return out
-
-    def merge(self, pair: tuple[int, int], new: int) -> Counter:
-        """Replace the pair left to right, non-overlapping; returns how the pair counts change."""
-        out: Counter = Counter()
-        a, b = pair
-        for i in self.holds.pop(pair, ()):
-            s, n = self.syms[i], self.weights[i]
-            t, k = [], 0
-            while k < len(s):
-                if s[k] == a and k + 1 < len(s) and s[k + 1] == b:
-                    t.append(new)
-                    k += 2
-                else:
-                    t.append(s[k])
-                    k += 1
-            if len(t) == len(s):
-                continue  # the pair went with an earlier merge
-            for q in zip(s, s[1:]):
-                out[q] -= n
-            for q in zip(t, t[1:]):
-                out[q] += n
-                if new in q:
-                    self.holds.setdefault(q, set()).add(i)
-            self.syms[i] = t
-        return out
-
-
 class _Ranked:
     """Pair counts with the best pair (count desc, left id, right id asc) at hand."""
 
@@ -179,44 +136,18 @@ class _Ranked:
                     heapq.heappush(self.heap, (-(n + d), *pair))
 
 
-def _merge_changes(words: DataFrame, ids: dict[str, int], done: Sequence[tuple[int, int]], ahead: Sequence[tuple[int, int]], first_id: int) -> DataFrame:
-    """(step, left, right, n): how each merge of ``ahead`` changes the pair counts after the merges
-    ``done``; step -1 has the counts themselves, where ``ahead`` is empty."""
-    spark = words.sparkSession
-    bc = spark.sparkContext.broadcast((ids, list(done), list(ahead), first_id))  # bounded by the vocabulary
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_, done_, ahead_, first = bc.value
-        total: dict[tuple[int, int, int], int] = {}
-        for b in batches:  # one batch of words in memory at a time
-            held = _Words([[ids_[c] for c in w if c in ids_] for w in b.column("word").to_pylist()], b.column("n").to_pylist())
-            for k, pair in enumerate(done_):
-                held.merge(pair, first + k)
-            steps = [(k, held.merge(pair, first + len(done_) + k)) for k, pair in enumerate(ahead_)] or [(-1, held.counts())]
-            for k, changes in steps:
-                for (l, r), n in changes.items():
-                    if n:
-                        total[k, l, r] = total.get((k, l, r), 0) + n
-        keys = list(total)
-        for i in range(0, len(keys), 50_000):
-            part = keys[i : i + 50_000]
-            columns = [pa.array([x[0] for x in part], pa.int32()), pa.array([x[1] for x in part], pa.int32()), pa.array([x[2] for x in part], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([total[x] for x in part], pa.int64())], ["step", "left", "right", "n"])
-
-    changes = words.mapInArrow(run, "step int, left int, right int, n long")
-    return changes.groupBy("step", "left", "right").agg(F.sum("n").alias("n"))
-
-
-def _word_sample(words: DataFrame, size: int) -> list[tuple[str, int]]:
+def _word_sample(words: DataFrame, size: int) -> tuple[list[str], np.ndarray]:
     """Up to about ``size`` words for guesses: the most frequent half, and a weighted hash sample of the others."""
     total = words.count()
     if total <= size:
-        return [(r["word"], r["n"]) for r in words.collect()]
-    top = words.orderBy(F.desc("n"), F.asc("word")).limit(size // 2).collect()
-    floor = top[-1]["n"]
+        all_words = words.toArrow()
+        return all_words.column("word").to_pylist(), all_words.column("n").to_numpy()
+    top = words.orderBy(F.desc("n"), F.asc("word")).limit(size // 2).toArrow()
+    floor = top.column("n")[-1].as_py()
     step = -(-total // (size // 2))
-    rest = words.filter((F.col("n") <= floor) & (F.pmod(F.xxhash64("word"), F.lit(step)) == 0)).collect()
-    return [(r["word"], r["n"]) for r in top if r["n"] > floor] + [(r["word"], r["n"] * step) for r in rest]
+    rest = words.filter((F.col("n") <= floor) & (F.pmod(F.xxhash64("word"), F.lit(step)) == 0)).toArrow()
+    n = top.column("n").to_numpy()
+    return [w for w, k in zip(top.column("word").to_pylist(), n) if k > floor] + rest.column("word").to_pylist(), np.r_[n[n > floor], rest.column("n").to_numpy() * step]
 
 
 def train_bpe(
@@ -228,37 +159,47 @@ def train_bpe(
     specials: Sequence[str] = K.SEQUENCE_SPECIALS,
     checkpoint_every: int = 20,
     merges_per_round: int = 1024,
-    sample_words: int = 120_000,
+    sample_words: int = 200_000,
     most_pairs: int = 200_000,
+    rewrite_every: int = 256,
 ) -> BpeModel:
     """E1 end to end; returns the vocabulary and the ranked merge list.
 
-    A round guesses up to ``merges_per_round`` merges from the exact pair counts
-    and a sample of words, and one pass over all words gives the exact change
-    of the pair counts at each of them. The driver replays them and commits those
-    that are the best pair by exact counts, up to the first wrong guess. The result
-    equals one merge at a time, for every ``merges_per_round`` and sample.
+    Words are stored once as blocks of symbol arrays (``operators.merges``). A
+    round guesses up to ``merges_per_round`` merges from the exact pair counts
+    and a sample of words, and one pass over the blocks gives the exact change
+    of the pair counts at each of them, going only to the places where a pair
+    stands. The driver replays the changes and commits the merges that are the
+    best pair by exact counts, up to the first wrong guess. The result equals one
+    merge at a time, for every ``merges_per_round`` and sample. After
+    ``rewrite_every`` commits the blocks are written anew with the merges done.
     The driver holds the ``most_pairs`` best pairs and counts anew when the best
     is no better than those left out. ``checkpoint_every`` has no effect: rounds
-    start from the checkpointed word table, so no lineage grows.
+    start from stored blocks, so no lineage grows.
     """
     spark = df.sparkSession
-    words = cut_lineage(word_counts(df, text).repartition(shuffle_partitions(spark)))
-    alpha = {r["token"]: r["id"] for r in alphabet(words, limit_alphabet, specials).collect()}  # ≤ limit_alphabet rows
+    words = stored(word_counts(df, text).repartition(shuffle_partitions(spark)))
+    top = mg.character_totals(words).orderBy(F.desc("n"), F.asc("ch")).limit(limit_alphabet)  # ≤ limit_alphabet rows
+    alpha = {c: len(specials) + i for i, c in enumerate(sorted(r["ch"] for r in top.collect()))}
 
     # id → token text: specials + alphabet (≤ limit_alphabet rows), grown by one per merge
     token_of = {i: t for i, t in enumerate(specials)}
     token_of.update({i: t for t, i in alpha.items()})
     first_id = len(token_of)
-    sample = _word_sample(words, sample_words)
-    guessed = _Words([[alpha[c] for c in w if c in alpha] for w, _ in sample], [n for _, n in sample])
+    guessed = mg.WordTable(*mg.encode_words(*_word_sample(words, sample_words), alpha))
+    base, based = stored(mg.blocks(words, alpha)), 0  # blocks, and how many merges they hold
+    discard(words)
     done: list[tuple[int, int]] = []
     exact, floor, fresh, ahead_max = None, 0, 0, merges_per_round
     while first_id + len(done) < vocab_size:
+        if len(done) - based >= rewrite_every:
+            newer = stored(mg.rewritten(base, done[based:], first_id + based))
+            discard(base)
+            base, based = newer, len(done)
         if exact is None or exact.best()[1] <= floor:
             if exact is not None and floor < min_frequency:
                 break
-            top = _merge_changes(words, alpha, done, [], first_id).filter(F.col("n") >= min_frequency)
+            top = mg.pair_totals(base, done[based:], first_id + based).filter(F.col("n") >= min_frequency)
             top = top.orderBy(F.desc("n"), "left", "right").limit(most_pairs + 1).collect()
             floor = max(r["n"] for r in top[most_pairs:]) if len(top) > most_pairs else min_frequency - 1
             exact, fresh = _Ranked({(r["left"], r["right"]): r["n"] for r in top if r["n"] > floor}), first_id + len(done)
@@ -272,7 +213,7 @@ def train_bpe(
         known = lambda q: q in exact.counts or q[0] >= fresh or q[1] >= fresh  # noqa: B023,E731
         # guess ahead
         guess, ahead = _Ranked(exact.counts), []
-        held = _Words([list(s) for s in guessed.syms], guessed.weights)
+        held = guessed.copy()
         while len(ahead) < min(ahead_max, vocab_size - first_id - len(done)):
             pair, n = guess.best()
             if pair is None or n <= floor:
@@ -280,19 +221,22 @@ def train_bpe(
             guess.add(held.merge(pair, first_id + len(done) + len(ahead)), known)
             guess.counts[pair] = 0
             ahead.append(pair)
-        changes: list[dict] = [{} for _ in ahead]
-        for r in _merge_changes(words, alpha, done, ahead, first_id).collect():
-            changes[r["step"]][r["left"], r["right"]] = r["n"]
+        # at most merges_per_round × twice the symbols rows, as four arrays
+        found = mg.changes(base, done[based:], ahead, first_id + based).toArrow().sort_by("step")
+        step, left, right, n_change = (found.column(c).to_numpy() for c in ("step", "left", "right", "n"))
+        cut = np.searchsorted(step, np.arange(len(ahead) + 1))
         committed = 0
-        for pair, change in zip(ahead, changes):
+        for k, pair in enumerate(ahead):
             best, n = exact.best()
             if best != pair or n <= floor:
                 break
-            exact.add(change, known)
-            guessed.merge(pair, first_id + len(done))
+            mine = slice(cut[k], cut[k + 1])
+            exact.add(dict(zip(zip(left[mine].tolist(), right[mine].tolist()), n_change[mine].tolist())), known)
+            guessed.merge(pair, first_id + len(done), report=False)
             done.append(pair)
             committed += 1
         ahead_max = min(merges_per_round, max(64, 3 * committed))
+    discard(base)
 
     merges = []
     for k, (l, r) in enumerate(done):

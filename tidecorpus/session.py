@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,6 +68,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the checkpoint folder and read back: lineage ends there, and the
+    work before is done once (a checkpoint does its last stage twice). ``discard`` deletes the table."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_path = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete a table of :func:`stored` that no later step reads."""
+    path = getattr(df, "_stored_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame (parquet scan; pruning and pushdown apply)."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
