@@ -12,8 +12,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .indexing import group_index, portable_hash
+from .selection import INTEGRAL, first_rows
 
 
 def stratified_quotas(counts: DataFrame, label: str, size: float) -> DataFrame:
@@ -75,19 +77,28 @@ def file_holdout(df: DataFrame, file_col: str, k: int = 6, seed: int = 0) -> Dat
 
 
 def exact_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly min(n, rows) rows without replacement (a bounded top-n)."""
-    return df.withColumn("_h", portable_hash(id_col, seed)).orderBy("_h", id_col).limit(n).drop("_h")
+    """Exactly min(n, rows) rows without replacement: those of the n smallest hashes, found by counting
+    (``operators.selection``) and kept by a filter, so n may be any share of the table."""
+    keyed = df.withColumn("_h", portable_hash(id_col, seed))
+    return first_rows(keyed, ["_h", id_col] if _orderable(df, id_col) else ["_h"], n).drop("_h")
+
+
+def _orderable(df: DataFrame, col: str) -> bool:
+    return isinstance(df.schema[col].dataType, (*INTEGRAL, T.StringType))
 
 
 def first_n(df: DataFrame, order: Sequence[str], limit: int | None, strict: bool = False) -> DataFrame:
     """First ``limit`` rows in ``order``; falsy limit = all rows.
 
-    Rows are numbered with ``group_index`` and filtered, so a large limit never
-    funnels through a single top-n task. ``strict`` (L4) raises when fewer than
-    ``limit`` rows exist. ``order`` must be a total order (end with a unique key).
+    The bound of the ``limit``-th row is found by counting and the rows are one
+    filter: no row is sorted, moved or stored. ``strict`` (L4) raises when fewer
+    than ``limit`` rows exist. ``order`` must be a total order (end with a unique
+    key) of integers and strings; other types are numbered by ``group_index``.
     """
     if not limit:
         return df
+    if all(_orderable(df, c) for c in order):
+        return first_rows(df, order, limit, strict)
     if strict:
         n = df.count()
         if n < limit:
