@@ -25,25 +25,28 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from .functions import text as tx
-from .operators import batching as bt
 from .operators import encode as en
 from .operators import results as rs
 from .operators import vocab as vb
-from .operators.indexing import group_index
+from .operators import wordpiece
+from .operators.scan_order import number_lines, with_batches
 from .operators.splits import file_holdout, text_hash
 from .plans.corpus import filter_corpus
 from .sources import sinks
 from .sources.text import list_files, non_blank, read_ledgers, read_lines
 
 
-def _ordered_lines(spark: SparkSession, path: str | Sequence[str], glob: str) -> DataFrame:
-    """Lines with a stable order key: (file, split offset, position in the scan)."""
-    return read_lines(spark, path, glob).withColumn("line_id", F.monotonically_increasing_id())
-
-
-def filter_tweets(spark: SparkSession, in_dir: str, out_dir: str, num_workers: int | None = None, min_tokens: int = K.MIN_TOKENS) -> DataFrame:
-    """§3.1: one pass without a shuffle (``num_workers`` files only if asked for); the original text is kept."""
-    kept = filter_corpus(read_lines(spark, in_dir, "*.txt"), "value", min_tokens)
+def filter_tweets(
+    spark: SparkSession, in_dir: str, out_dir: str, num_workers: int | None = None, min_tokens: int = K.MIN_TOKENS, vocab_file: str | None = None
+) -> DataFrame:
+    """§3.1: one pass without a shuffle (``num_workers`` files only if asked for); the original text is kept.
+    With ``vocab_file`` (a published WordPiece vocabulary) lengths count its pieces, the four added tokens
+    being one each; without, words."""
+    lines = read_lines(spark, in_dir, "*.txt")
+    if vocab_file:
+        kept = wordpiece.filter_corpus(lines, wordpiece.read_vocabulary(spark, vocab_file), "value", min_tokens)
+    else:
+        kept = filter_corpus(lines, "value", min_tokens)
     sinks.write_shards(kept, out_dir, num_workers)
     return spark.read.text(out_dir)
 
@@ -56,10 +59,10 @@ def generate_dataset(
     lines is an error (L4); saved with ``split`` as partition column (S8)."""
     files = list_files(spark, input_path, "*.txt")
     chosen = [r["file_path"] for r in files.orderBy(text_hash("file_path", seed), "file_path").limit(num_files).collect()]  # num_files names
-    lines = _ordered_lines(spark, chosen, "*.txt")  # only the chosen files are read
+    lines = read_lines(spark, chosen, "*.txt")  # only the chosen files are read
     held = file_holdout(lines, "file_path", num_files, seed)
     if limit:
-        held = group_index(held, ["file_path", "block_start", "line_id"], ["split"], "_pos")
+        held = number_lines(held, ["split"], "_pos")
         short = held.groupBy("split").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < limit).count()
         if short:
             raise ValueError(f"a split has fewer than {limit} lines")
@@ -93,6 +96,7 @@ def train_tokenizer(
     if "://" not in output_path:
         os.makedirs(output_path, exist_ok=True)  # the job creates its folder; save_vocabulary (S13) requires one
     vb.save_vocabulary(model, output_path, prefix)
+    vb.save_vocabulary_files(model, output_path, prefix)
     return model
 
 
@@ -114,11 +118,11 @@ def prepare_mlm(
     a line's index in that order, so a rerun gives the same masks however the
     files are split over tasks.
     """
-    lines = non_blank(_ordered_lines(spark, files, "*"))
+    lines = non_blank(read_lines(spark, files, "*"))
     text = tx.tokenizer_normalise("value", lowercase=lowercase, strip_accents=strip_accents)
     enc = vb.bpe_id_encoder(spark, model)  # pieces → ids inside the task: no shuffle before batching
-    # lines are numbered before they are encoded: the sort and its checkpoint carry a line, not four padded arrays
-    seq = bt.batches_across_files(lines, ["file_path", "block_start", "line_id"], batch_size)
+    # numbers in scan order: only line counts by block are shuffled, no line and no array
+    seq = with_batches(number_lines(lines), batch_size)
     seq = seq.select("row_index", "batch_id", "pos_in_batch", en.truncate(enc(text), max_length).alias("body"))
     seq = seq.select(
         "row_index", "batch_id", "pos_in_batch",
@@ -158,8 +162,8 @@ def evaluate_run(
     spark: SparkSession, task: str, predictions: DataFrame, model: str, run: int, ledger_path: str | None = None
 ) -> DataFrame:
     """§3.3 stages 7–8: the metric set of one run from a predictions table,
-    named like the ledger (``eval_<metric>``), optionally appended to the ledger
-    store (S10, partitioned by model).
+    named like the ledger (``eval_<metric>``), optionally put into the ledger
+    store (S10, by model, task and run).
 
     ``predictions``: single-label tasks ``label, logits``; context hate
     ``HATEFUL, labels, logits`` (9 wide, CALLS first).
@@ -179,7 +183,7 @@ def evaluate_run(
         F.concat(F.lit("eval_"), F.col("metric")).alias("metric"), F.col("value").cast("double").alias("value"),
     )
     if ledger_path:
-        rs.append_ledger(out, ledger_path)
+        rs.upsert_ledger(out, ledger_path)  # a run written twice stands once
     return out
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..session import discard, stored
 
 LEDGER_RUNS = T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))
 
@@ -46,6 +47,64 @@ def append_ledger(long: DataFrame, path: str) -> None:
     long.write.mode("append").partitionBy("model").parquet(path)
 
 
+def upsert_ledger(long: DataFrame, path: str) -> None:
+    """S10 / R4, repeatable: the runs in ``long`` replace those of the same (model, task, run) in the store and
+    leave all others alone, so a job that is run again leaves one copy. The store has a folder a (model, task);
+    only the folders that ``long`` touches are written anew."""
+    spark = long.sparkSession
+    new = stored(long.select("model", "task", "run", "metric", "value"))
+    rows, old = new, None
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        touched = new.select("model", "task").distinct()
+        old = stored(read_ledger_store(spark, path).join(touched, ["model", "task"], "left_semi").join(new.select("model", "task", "run").distinct(), ["model", "task", "run"], "left_anti"))
+        rows = new.unionByName(old)
+    out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy("model", "task").parquet(path)
+    discard(new)
+    discard(old)
+
+
+def read_ledger_store(spark: SparkSession, path: str) -> DataFrame:
+    """The store of ``upsert_ledger`` as long rows."""
+    schema = "run int, metric string, value double, model string, task string"
+    return spark.read.schema(schema).parquet(path).select("model", "task", "run", "metric", "value")
+
+
+def ledger_lines(long: DataFrame) -> DataFrame:
+    """S10 export without folding a model's runs into one row: one JSON object a run, with model, task, run and
+    its metrics. A run's metrics are a handful; runs may be any number."""
+    m = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value"))))
+    per_run = long.groupBy("model", "task", "run").agg(m.alias("metrics"))
+    return per_run.select(F.to_json(F.struct("model", "task", "run", "metrics")).alias("value"))
+
+
+def parse_ledger_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+    """The long rows of ``ledger_lines``."""
+    r = lines.select(F.from_json(col, "model string, task string, run int, metrics map<string,double>").alias("r"))
+    return r.select("r.model", "r.task", "r.run", F.explode("r.metrics").alias("metric", "value"))
+
+
+def repeated_seeds(runs: DataFrame) -> DataFrame:
+    """(model, task, seed, times) of seeds that more than one run of a (model, task) used."""
+    return runs.groupBy("model", "task", "seed").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > 1)
+
+
+def results_table(long: DataFrame, task_metrics: Mapping[str, Sequence[str]] = K.TASK_METRICS_TABLE, scale: float = 100.0, digits: int = 3) -> DataFrame:
+    """A2 over several metrics a task, in their order: mean, population std and text per (model, task, metric).
+    A metric that any run of the task lacks ends the task's list: it and the later ones are left out. The
+    listed metrics are a small dimension; only aggregates per (model, task, metric) are joined."""
+    spark = long.sparkSession
+    dim = spark.createDataFrame([(t, m, i) for t, ms in task_metrics.items() for i, m in enumerate(ms)], "task string, metric string, pos int")
+    runs = long.groupBy("model", "task").agg(F.count_distinct("run").alias("runs"))
+    held = mean_std(headline(long, dim.select("task", "metric")), scale=scale, digits=digits).withColumnRenamed("runs", "held")
+    wanted = runs.join(F.broadcast(dim), "task")
+    have = wanted.join(held, ["model", "task", "metric"], "left")
+    stop = have.groupBy("model", "task").agg(F.min(F.when(F.coalesce(F.col("held"), F.lit(0)) < F.col("runs"), F.col("pos"))).alias("stop"))
+    kept = have.join(stop, ["model", "task"]).filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop")))
+    return kept.select("model", "task", rename_metric("metric").alias("metric"), "pos", "runs", "mean", "std", "text")
+
+
 def case_flag(model: str | Column = "model") -> Column:
     """``cased`` when the model name contains ``-cased``, else ``uncased``."""
     m = F.col(model) if isinstance(model, str) else model

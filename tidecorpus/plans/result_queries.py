@@ -203,6 +203,55 @@ def r5_run_plan(spark, sf_dir):
     return rs.run_plan(_deficit(spark, sf_dir), TASK_BANDS, existing)
 
 
+_SEED_SQL = f"({K.RUN_SEED_BASE} + run % 50)"
+
+
+@query(
+    "r5_repeated_seeds",
+    sql=f"""WITH {_LED}
+    SELECT model, task, CAST({_SEED_SQL} AS INTEGER) AS seed, count(*) AS times FROM (SELECT DISTINCT model, task, run FROM long)
+    GROUP BY ALL HAVING count(*) > 1""",
+)
+def r5_repeated_seeds(spark, sf_dir):
+    """Seeds that several runs of one (model, task) share; the stand-in plan starts anew after 50 runs."""
+    runs = ledger(spark, sf_dir).select("model", "task", "run").distinct()
+    return rs.repeated_seeds(runs.withColumn("seed", (F.lit(K.RUN_SEED_BASE) + F.col("run") % 50).cast("int")))
+
+
+# two metrics a task, of which some (model, task) lack the first or the second in a part of their runs
+_TWO = [(t, m, i) for t, ms in K.TASK_METRICS_TABLE.items() for i, m in enumerate(ms)]
+_TWO_SQL = "(VALUES " + ", ".join(f"('{t}', '{m}', {i})" for t, m, i in _TWO) + ") d(task, metric, pos)"
+_GAPS_SQL = """NOT (l.model = 'lm-b-deacc' AND l.task = 'emotion' AND d.pos = 1 AND l.event_id % 3 = 0)
+      AND NOT (l.model = 'lm-b-uncased' AND l.task = 'irony' AND d.pos = 0 AND l.event_id % 2 = 0)"""
+
+
+def two_metric_ledger(spark, sf_dir) -> DataFrame:
+    """Long rows with both metrics of each task's table; some runs lack one."""
+    led = ledger(spark, sf_dir).where(F.col("metric") == "eval_loss").select("model", "task", "event_id", (F.col("value") * 10).alias("v"))
+    dim = spark.createDataFrame(_TWO, "task string, metric string, pos int")
+    rows = led.join(F.broadcast(dim), "task")  # ten rows
+    m, t, p, e = F.col("model"), F.col("task"), F.col("pos"), F.col("event_id")
+    gap = ((m == "lm-b-deacc") & (t == "emotion") & (p == 1) & (e % 3 == 0)) | ((m == "lm-b-uncased") & (t == "irony") & (p == 0) & (e % 2 == 0))
+    return rows.where(~gap).select("model", "task", e.alias("run"), "metric", (F.col("v") / (F.lit(100.0) + p)).alias("value"))
+
+
+@query(
+    "a2_stop_rule",
+    sql=f"""WITH {_LED},
+    l AS (SELECT model, task, event_id, value * 10 AS v FROM long WHERE metric = 'eval_loss'),
+    x AS (SELECT l.model, l.task, l.event_id, d.metric, d.pos, l.v / (100.0 + d.pos) AS value FROM l JOIN {_TWO_SQL} USING (task) WHERE {_GAPS_SQL}),
+    n AS (SELECT model, task, count(DISTINCT event_id) AS runs FROM x GROUP BY model, task),
+    c AS (SELECT n.model, n.task, d.metric, d.pos, n.runs, count(x.event_id) AS held FROM n JOIN {_TWO_SQL} ON d.task = n.task
+          LEFT JOIN x ON x.model = n.model AND x.task = n.task AND x.metric = d.metric GROUP BY ALL),
+    s AS (SELECT model, task, coalesce(min(pos) FILTER (WHERE held < runs), 99) AS stop FROM c GROUP BY model, task)
+    SELECT x.model, x.task, replace(x.metric, 'eval_', '') AS metric, round(avg(100 * value), 6) AS mean, round(stddev_pop(100 * value), 6) AS std
+    FROM x JOIN s ON s.model = x.model AND s.task = x.task WHERE x.pos < s.stop GROUP BY x.model, x.task, x.metric""",
+)
+def a2_stop_rule(spark, sf_dir):
+    """The two-metric results table: a metric missing from any run ends its task's list."""
+    return _r6(rs.results_table(two_metric_ledger(spark, sf_dir)).drop("runs", "pos", "text"), "mean", "std")
+
+
 @query(
     "a15_bootstrap_ci",
     sql=f"""WITH b AS (SELECT e.event_type, e.value,
@@ -254,9 +303,24 @@ def a17_dunn_z(spark, sf_dir):
     return _r6(st.dunn_test(e, ["task"], "event_type", "value", "event_id").select("task", "group_a", "group_b", "z"), "z")
 
 
-@query("a17_dunn_bh")
+_DUNN_P_SQL = f"""WITH r AS (SELECT event_type, value, rank() OVER (ORDER BY value) AS rk, count(*) OVER (PARTITION BY value) AS t FROM events),
+a AS (SELECT event_type, value, rk + (t - 1) / 2.0 AS ar, t FROM r),
+g AS (SELECT event_type, avg(ar) AS mr, count(*) AS n FROM a GROUP BY event_type),
+tt AS (SELECT sum(t * t * t - t) AS T FROM (SELECT DISTINCT value, t FROM a)),
+nn AS (SELECT count(*) AS total FROM events),
+z AS (SELECT x.event_type AS group_a, y.event_type AS group_b,
+       (x.mr - y.mr) / sqrt((total * (total + 1) / 12.0 - T / (12.0 * (total - 1))) * (1.0 / x.n + 1.0 / y.n)) AS z
+  FROM g x JOIN g y ON x.event_type < y.event_type, tt, nn),
+h AS (SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS h FROM z),
+p AS (SELECT group_a, group_b, z, {st.erfc_sql("h")} AS p_value FROM h),
+q AS (SELECT *, row_number() OVER (ORDER BY p_value, group_a, group_b) AS i, count(*) OVER () AS m FROM p)
+SELECT 'all' AS task, group_a, group_b, round(z, 6) AS z, round(p_value, 6) AS p_value,
+       round(least(min(p_value * m / i) OVER (ORDER BY i DESC), 1.0), 6) AS p_adj FROM q"""
+
+
+@query("a17_dunn_bh", sql=_DUNN_P_SQL)
 def a17_dunn_bh(spark, sf_dir):
-    """Dunn p (erfc, absent from DuckDB) with Benjamini–Hochberg adjustment: rows-only."""
+    """Dunn z, two-sided p and Benjamini–Hochberg adjustment."""
     e = table(spark, sf_dir, "events").withColumn("task", F.lit("all"))
     return _r6(st.dunn_test(e, ["task"], "event_type", "value", "event_id"), "z", "p_value", "p_adj")
 

@@ -129,6 +129,33 @@ def s10_r4_ledger_append(spark, sf_dir):
     return back.groupBy(F.col("model").cast("string").alias("model"), "task", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+@query(
+    "s10_ledger_upsert",
+    sql=f"WITH {_LED} SELECT model, task, CAST(run AS INTEGER) AS run, metric, round(max(value), 6) AS value FROM long WHERE run % 10 < 5 GROUP BY ALL",
+)
+def s10_ledger_upsert(spark, sf_dir):
+    """Two overlapping writes of the ledger store, the second one twice: every run stands once."""
+    long = ledger(spark, sf_dir).where(F.col("run") % 10 < 5).groupBy("model", "task", F.col("run").cast("int").alias("run"), "metric").agg(F.max("value").alias("value"))
+    path = _out(spark, "store")
+    rs.upsert_ledger(long.withColumn("value", F.when(F.col("run") % 2 == 0, F.lit(-1.0)).otherwise(F.col("value"))), path)
+    for _ in range(2):
+        rs.upsert_ledger(long.where(F.col("run") % 2 == 0), path)
+    return rs.read_ledger_store(spark, path).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "s10_ledger_export",
+    sql=f"WITH {_LED} SELECT model, task, metric, count(*) AS n, round(sum(value), 6) AS total FROM (SELECT model, task, run, metric, max(value) AS value FROM long GROUP BY ALL) GROUP BY ALL",
+)
+def s10_ledger_export(spark, sf_dir):
+    """The ledger exported as JSON lines, one a run, and read back."""
+    long = ledger(spark, sf_dir).groupBy("model", "task", F.col("run").cast("int").alias("run"), "metric").agg(F.max("value").alias("value"))
+    path = _out(spark, "export")
+    rs.ledger_lines(long).write.text(path)
+    back = rs.parse_ledger_lines(spark.read.text(path))
+    return back.groupBy("model", "task", "metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
+
+
 @query("s13_vocabulary_files", sql=f"WITH {_TOK_CTE},\n{_VOC_CTE}\nSELECT token, id FROM voc")
 def s13_vocabulary_files(spark, sf_dir):
     """The vocabulary saved as the published JSON and merge files and loaded back."""
