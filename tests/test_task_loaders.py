@@ -75,3 +75,24 @@ def test_context_hate(spark):
     assert _counts(df) == {"train": 16, "dev": 4, "test": 3}
     r = df.filter(F.col("split") == "test").orderBy("id").first()
     assert r["title"] == "Nota hashtag Titulo9" and len(r["labels"]) == 9 and r["labels"][0] == 1
+
+
+def test_splits_do_not_follow_the_scan(spark):
+    """One file or several, small blocks or one: the same rows fall into dev, and the first rows are the same."""
+    d = tempfile.mkdtemp(prefix="tc-stable-", dir="/tmp")
+    rows = [(i, f"texto {i}\n" + "y" * (i % 90), K.EMOTION_LABELS[i % 7]) for i in range(140)]
+    _csv(os.path.join(d, "test.csv"), ["id", "text", "label"], rows[:3])
+    os.makedirs(os.path.join(d, "one")), os.makedirs(os.path.join(d, "many"))
+    _csv(os.path.join(d, "one", "a.csv"), ["id", "text", "label"], rows)
+    for k in range(4):  # of very different sizes, so that they are packed into tasks in another order
+        _csv(os.path.join(d, "many", f"{k}.csv"), ["id", "text", "label"], rows[[0, 5, 100, 110][k] : [5, 100, 110, 140][k]])
+    keys = {"spark.sql.files.maxPartitionBytes": "1200", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "20"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    got = []
+    for conf in (keys, {}):
+        for folder in ("one", "many"):
+            for k in keys:
+                spark.conf.set(k, conf[k]) if conf else (spark.conf.unset(k) if old[k] is None else spark.conf.set(k, old[k]))
+            load = lambda **kw: tl.load_emotion(spark, os.path.join(d, folder), os.path.join(d, "test.csv"), preprocess=False, **kw)  # noqa: B023,E731
+            got.append((sorted((r["text"], r["split"]) for r in load().collect()), sorted((r["text"], r["split"]) for r in load(limit=9).collect())))
+    assert all(g == got[0] for g in got) and sum(s == "dev" for _, s in got[0][0]) == 35 and len(got[0][1]) == 9 + 9 + 3

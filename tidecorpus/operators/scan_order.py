@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import stored
 
@@ -62,6 +63,15 @@ def number_lines(lines: DataFrame, within: Sequence[str] = (), name: str = "row_
     return out.drop("_mid", "_first", "_n", "_off")
 
 
+def number_records(records: DataFrame, name: str = "row_index") -> DataFrame:
+    """Records of ``sources.chunked`` with their number from 0 in file order. Blocks come from the scan, but a
+    record's number does not: it counts the records before it."""
+    keys = ["file_path", "block_start"]
+    counts = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("record").alias("_first"))
+    out = _placed(records, _offsets(counts, keys, ()), keys, lambda d: F.col("record") - F.col("_first"), name)
+    return out.drop("_n", "_first", "_off", "record", *keys)
+
+
 def read_numbered(spark: SparkSession, path: str, *cols: str, name: str = "row_index") -> DataFrame:
     """A parquet table's columns with every row's number from 0 in (file, position) order."""
     rows = spark.read.parquet(path).select(*cols, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
@@ -148,5 +158,4 @@ def pad_runs(df: DataFrame, ids: str, batch: str, size: int, pad_id: int, multip
         if held:
             yield padded(held, True)[0]
 
-    schema = rows.schema.add(out, "array<int>")
-    return rows.mapInArrow(task, schema)
+    return rows.mapInArrow(task, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import batching as bt
 from ..operators import encode as en
+from ..operators import scan_order as so
 from ..operators.indexing import hash_bound, portable_hash_sql
+from ..session import table_path
 from ..sources.tables import documents
 from . import sqltext as S
 from .registry import query
@@ -299,6 +301,35 @@ def e13_dynamic_padding(spark, sf_dir):
     return p.select("doc_id", "batch_id", F.size("padded").alias("padded_len"))
 
 
+@query(
+    "e15_scan_order_batches",
+    sql=f"""SELECT doc_id, (rn // {BATCH})::BIGINT AS batch_id, (rn % {BATCH})::INTEGER AS pos_in_batch
+            FROM (SELECT doc_id, row_number() OVER () - 1 AS rn FROM documents)""",
+)
+def e15_scan_order_batches(spark, sf_dir):
+    """Batches over the rows as the scan gives them, files in turn: nothing is sorted or moved."""
+    rows = so.read_numbered(spark, table_path(sf_dir, "documents"), "doc_id")
+    return so.with_batches(rows, BATCH).select("doc_id", "batch_id", "pos_in_batch")
+
+
+@query(
+    "e13_scan_order_padding",
+    sql=_ENC
+    + f"""SELECT doc_id, batch_id, n AS padded_len, md5(array_to_string(input_ids || list_transform(range(len(input_ids), n), lambda x: {K.PAD_ID}), ',')) AS padded
+       FROM (SELECT *, (ceil(max(len(input_ids)) OVER (PARTITION BY batch_id) / 8) * 8)::INTEGER AS n
+             FROM (SELECT inp.*, o.batch_id FROM inp JOIN (SELECT doc_id, (row_number() OVER () - 1) // 32 AS batch_id FROM documents) o USING (doc_id)))""",
+    bench=True,
+)
+def e13_scan_order_padding(spark, sf_dir):
+    """Batches of 32 in scan order, encoded, written once and padded in place: neither texts nor arrays are shuffled."""
+    rows = so.with_batches(so.read_numbered(spark, table_path(sf_dir, "documents"), "doc_id", "text"), 32)
+    body = en.truncate(en.word_tokens("text"), MAXLEN)
+    ids = en.array_lookup(small_vocab(spark, sf_dir), "token", "id", K.UNK_ID, "int")(body)
+    coded = rows.select("doc_id", "batch_id", en.build_inputs(ids).alias("input_ids"))
+    p = so.pad_runs(coded, "input_ids", "batch_id", 32, K.PAD_ID, 8)
+    return p.select("doc_id", "batch_id", F.size("padded").alias("padded_len"), F.md5(F.array_join("padded", ",")).alias("padded"))
+
+
 @query(
     "e17_length_grouped_batches",
     sql=_ENC
@@ -309,7 +340,7 @@ def e13_dynamic_padding(spark, sf_dir):
 )
 def e17_length_grouped_batches(spark, sf_dir):
     """Seeded shuffle, megabatches of 50×8 rows, length-sorted inside, batches of 8."""
-    e = encoded(spark, sf_dir).withColumn("n", F.size("input_ids"))
+    e = encoded(spark, sf_dir).select("doc_id", F.size("input_ids").alias("n"))  # the sort carries lengths, not arrays
     return bt.length_grouped_batches(e, "doc_id", "n", 8, seed=3, mega=50).select("doc_id", "batch_id")
 
 

@@ -90,7 +90,11 @@ def discard(df: DataFrame | None) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table as a DataFrame (parquet scan; pruning and pushdown apply)."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return os.path.join(sf_dir, f"{name}.parquet")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

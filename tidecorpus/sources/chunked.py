@@ -17,7 +17,8 @@ therefore gives such a file to one task. Here the file is scanned in pieces
 
 Records are parsed by Spark's own ``from_csv`` and ``from_json``. Each has
 ``file_path``, ``block_start`` and ``record`` (its position among the records that
-start in the block), an order that does not depend on how files are packed into tasks.
+start in the block): the order of the file, from which ``scan_order.number_records``
+makes numbers that depend neither on splits nor on how files are packed into tasks.
 
 Required of a file: UTF-8, ``\\n`` or ``\\r\\n`` line ends; CSV by the usual rules (a
 quote opens a field only at its start, a quote inside is doubled); JSON: one array.
@@ -140,6 +141,8 @@ class _CsvCutter:
 
     def add(self, values: list[str]) -> Iterator[str]:
         for v in values:
+            if not self.inside and v in ("", "\r"):
+                continue  # an empty line between records is none, and takes no number
             self.lines.append(v)
             if v.count('"') % 2:
                 self.inside = not self.inside
@@ -148,7 +151,7 @@ class _CsvCutter:
                 self.lines = []
 
     def rest(self) -> str | None:
-        return "\n".join(self.lines) + "\n" if self.lines else None
+        return "\n".join(self.lines) + "\n" if self.lines else None  # an open record goes on with the next block's first line
 
 
 class _JsonCutter:

@@ -97,6 +97,14 @@ def unnest_comments(articles: DataFrame) -> DataFrame:
     return c.select(*[F.col(f"c.{f}").alias(f) for f in fields], F.col("_article_title").alias("title"))
 
 
+def unnest_comments_at(articles: DataFrame, row: str, name: str = "_row") -> DataFrame:
+    """J2 keeping the order: ``name`` is a text that sorts by (article number ``row``, place of the comment)."""
+    c = articles.select(row, F.col("title").alias("_article_title"), F.posexplode("comments").alias("_pos", "c"))
+    fields = [f for f in c.schema["c"].dataType.fieldNames() if f != "title"]
+    key = F.format_string("%019d:%010d", F.col(row).cast("long"), "_pos")
+    return c.select(*[F.col(f"c.{f}").alias(f) for f in fields], F.col("_article_title").alias("title"), key.alias(name))
+
+
 def read_ledgers(spark: SparkSession, glob_path: str) -> DataFrame:
     """S7 + R2: benchmark ledgers → long rows ``model, task, run, metric, value``.
 
