@@ -8,11 +8,15 @@ templates that contain them, and so is each whole template inside a longer run o
 another; they are chained in order (later in the text and later in the
 template, at most two template lengths on) by dynamic programming, so that a stray
 run never hides a chain that covers more; a template is found where a chain covers
-at least ``coverage`` of its words, and its spans don't overlap. Base phrases are short templates that must match whole; their ends
+at least ``coverage`` of its words, and its spans don't overlap. Text words between two
+runs of a chain count against it (twice for short notices), and a chain must hold the
+template's numbers and variant words (NC, SA, Lesser, ...) and step over no other variant
+word, so a licence earns no label of its sisters. Of overlapping spans of several labels
+whole notices stay, else the best covered. Base phrases are short templates that must match whole; their ends
 are marked on the automaton's states, so all places are found in the same pass.
 
-``score`` is the largest share of a template's words that one chain covers (1
-where a base phrase stands).
+``score`` is the largest share of a template's words that one such chain covers, less
+its stray words (1 where a base phrase stands).
 
 Words are runs of digits, a to z and characters beyond ASCII after lower-casing
 A to Z only. Null text is the empty text: no words, no labels, score 0.
@@ -25,6 +29,7 @@ from __future__ import annotations
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -58,6 +63,18 @@ TEMPLATES = {
         "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ],
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 "
+        "of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ],
+    "lgpl-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3"],
+    "lgpl-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1"],
+    "agpl-3.0": ["This work is licensed under the GNU Affero General Public License, version 3"],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa-4.0": ["Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nc-nd-4.0": ["Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
     "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
     "bsd": [
@@ -68,8 +85,11 @@ TEMPLATES = {
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain"],
 }
+# Words that tell one licence of a family from another, beside numbers.
+VARIANTS = frozenset("nc nd sa noncommercial noderivatives noderivs sharealike lesser library affero".split())
 MIN_RUN = 2
 COVERAGE = 0.8
+SHORT = 20  # of a notice with fewer words a stray word counts twice
 
 
 def words_of(text: str | None) -> list[str]:
@@ -188,7 +208,7 @@ class Scanner:
                     places.append((i - len(a.sequences[t]) + 1, t))
         if length >= self.min_run:
             self._lay(len(words) - 1, s, length, True, laid)
-        spans, best = self._chains(laid)
+        spans, best = self._chains(laid, words)
         base = sorted({self.base[t][1] for _, t in places})
         labels = sorted(set(base) | {x[0] for x in spans})
         starts = [p for p, _ in places]
@@ -215,8 +235,9 @@ class Scanner:
             if self.min_run <= size <= length:
                 laid.setdefault(t, []).append((last, size - 1, size))
 
-    def _chains(self, laid: dict[int, list[tuple[int, int, int]]]) -> tuple[list[tuple[str, int, int, float]], float]:
-        """Per template, the chains of runs that cover most; those that cover enough are spans."""
+    def _chains(self, laid: dict[int, list[tuple[int, int, int]]], words: list[str]) -> tuple[list[tuple[str, int, int, float]], float]:
+        """Per template, the chains of runs that cover most; those that cover enough are spans. Of spans of
+        several labels that overlap, the whole notices stay, and of the others the one that covers most."""
         n = len(self.base)
         spans, best = [], 0.0
         for t, matches in laid.items():
@@ -224,17 +245,21 @@ class Scanner:
             todo = [matches]
             while todo:
                 chains = self._best(matches := todo.pop(), 2 * total)
-                best = max(best, chains[0][0] / total)
                 taken, lost = [], False
-                for covered, first, last in chains:
+                for covered, first, last, runs in chains:
                     if covered / total < self.coverage:
+                        best = max(best, covered / total * self._own(t, runs(), words)[0])
                         break
+                    fits, stray = self._own(t, runs(), words)
+                    best = max(best, max(0.0, covered - stray) / total * fits)
+                    if not fits or (covered - stray * (2 if total < SHORT else 1)) / total < self.coverage:
+                        continue
                     k = bisect(taken, (first, last))
                     if (k and taken[k - 1][1] >= first) or (k < len(taken) and taken[k][0] <= last):
                         lost = True
                         continue
                     taken.insert(k, (first, last))
-                    spans.append((self.names[t - n], first, last, round(covered / total, 6)))
+                    spans.append((self.names[t - n], first, last, round(covered / total, 6), covered == total and not stray, covered))
                 if lost:  # what lies between the chains taken may hold chains of its own
                     rest: dict[int, list] = {}
                     for m in matches:
@@ -242,27 +267,54 @@ class Scanner:
                         if not (k and taken[k - 1][1] > m[0] - m[2]) and not (k < len(taken) and taken[k][0] <= m[0]):
                             rest.setdefault(k, []).append(m)
                     todo += rest.values()
-        return sorted(spans, key=lambda x: (x[1], x[2], x[0])), best
+        kept: list[tuple] = [x for x in spans if x[4]]
+        for x in sorted((x for x in spans if not x[4]), key=lambda x: (-x[3], -x[5], x[1], x[0])):
+            if not any(y[0] != x[0] and y[1] <= x[2] and x[1] <= y[2] for y in kept):
+                kept.append(x)
+        return sorted((x[:4] for x in kept), key=lambda x: (x[1], x[2], x[0])), best
+
+    def _own(self, t: int, runs: list[tuple[int, int, int]], words: list[str]) -> tuple[int, int]:
+        """(1 if the chain holds the template's numbers and variant words and no other variant word, else 0;
+        text words between the chain's runs)."""
+        seq = self.auto.sequences[t]
+        held, stray, reach, fits = set(), 0, None, 1
+        for last, end, size in runs:
+            held.update(range(end - size + 1, end + 1))
+            if reach is not None:
+                between = words[reach + 1 : last - size + 1]
+                stray += len(between)
+                fits &= not any(w in VARIANTS for w in between)
+            reach = last
+        return int(fits and all(i in held for i, w in enumerate(seq) if w in VARIANTS or w.isdigit())), stray
 
     @staticmethod
     def _best(matches: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, int]]:
-        """(covered words, first word, last word) of the best chain that ends at each match, best and then
+        """(covered words, first word, last word, its runs when called) of the best chain that ends at each match, best and then
         shortest first. A chain goes on to a match that ends later in text and template and starts at most
         ``gap`` words on; words that both hold count once."""
         matches = sorted(matches)
-        ends: list[tuple[int, int]] = []  # (covered words, first word)
+        ends: list[tuple[int, int, int]] = []  # (covered words, first word, match before)
         for k, (last, end, size) in enumerate(matches):
             start, at = last - size + 1, end - size + 1
-            found = (size, start)
+            found = (size, start, -1)
             for j in range(k - 1, -1, -1):
                 last_j, end_j, _ = matches[j]
                 if start - last_j > gap:
                     break
                 if last_j < last and end_j < end:
-                    covered, first = ends[j]
-                    found = max(found, (covered + size - max(0, last_j - start + 1, end_j - at + 1), first))
+                    covered, first, _b = ends[j]
+                    found = max(found, (covered + size - max(0, last_j - start + 1, end_j - at + 1), first, j))
             ends.append(found)
-        return sorted(((c, f, m[0]) for (c, f), m in zip(ends, matches)), key=lambda x: (-x[0], x[2] - x[1], x[1]))
+
+        def runs(k: int) -> list:
+            out = []
+            while k >= 0:
+                out.append(matches[k])
+                k = ends[k][2]
+            return out[::-1]
+
+        order = sorted(range(len(matches)), key=lambda k: (-ends[k][0], matches[k][0] - ends[k][1], ends[k][1]))
+        return [(ends[k][0], ends[k][1], matches[k][0], partial(runs, k)) for k in order]
 
 
 FIELDS = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first:long,last:long,covered:double>>"
