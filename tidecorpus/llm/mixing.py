@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import range_tagged
-from .common import null_safe_text
+from .common import null_safe_text, stored
 
 WS = " \t\n\x0b\x0c\r"
 LEVELS = ("domain", "lang", "source")
@@ -90,7 +90,8 @@ def draw(docs: DataFrame, weights: dict[str, float], budget_share: float = 1.0,
     units = rows.groupBy(*levels, "doc_id", "content").agg(F.sum("n_tokens").alias("n_tokens"))
     leaves = units.groupBy(*levels).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, weights, budget_share, max_epochs, levels).select(*levels, F.coalesce(F.expr("try_divide(budget - budget % tokens, tokens)").cast("long"), F.lit(0)).alias("full"), F.when(F.col("tokens") > 0, F.col("budget") % F.col("tokens")).otherwise(F.lit(-1)).alias("part"))
-    keyed = units.join(plan, levels).withColumn("_o", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    # written first, so that the join knows its size: one row a leaf, broadcast while that is small, and a hot leaf stays spread
+    keyed = units.join(stored(plan), levels).withColumn("_o", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
     tagged = range_tagged(keyed, ["_o", "doc_id", "content"], levels)
     sums = tagged.groupBy("_pid", *levels).agg(F.sum("n_tokens").alias("_s"))
     w = Window.partitionBy(*levels).orderBy("_pid")
@@ -105,13 +106,15 @@ def mixed(docs: DataFrame, weights: dict[str, float], budget_share: float = 1.0,
     used if there is one, else the domain follows from the source."""
     src = docs if "domain" in docs.columns else docs.withColumn("domain", domain_of())
     got = draw(src, weights, budget_share, max_epochs, seed).where(F.col("copies") > 0)
-    got = got.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*LEVELS, "doc_id", "content"])], F.col("copies").alias("_copies"))
-    keys = [*[F.coalesce(src[c].cast("string"), F.lit("")) for c in LEVELS], src["doc_id"].cast("long"), F.xxhash64(null_safe_text(src["text"]), F.lit(7))]
-    on = [got[f"_k{i}"].eqNullSafe(k) if i == 3 else got[f"_k{i}"] == k for i, k in enumerate(keys)]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    return src.join(got, cond).withColumn("_e", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    names = [*LEVELS, "doc_id", "content"]
+    got = got.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(names)], F.col("copies").alias("times"))
+    # the caller's columns travel inside one struct, so none of their names can clash
+    keys = [*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in LEVELS], F.col("doc_id").cast("long"), F.xxhash64(null_safe_text("text"), F.lit(7))]
+    rows = src.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(f"of{i}") for i, k in enumerate(keys)])
+    cond = rows["of0"] == got["k0"]
+    for i in range(1, len(names)):
+        cond = cond & (rows[f"of{i}"].eqNullSafe(got[f"k{i}"]) if names[i] == "doc_id" else rows[f"of{i}"] == got[f"k{i}"])
+    return rows.join(got, cond).select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time")).select("row.*")
 
 
 def oracle_sql(weights: dict[str, float] = WEIGHTS, budget_share: float = 1.0, max_epochs: int = 2, seed: int = 11) -> str:

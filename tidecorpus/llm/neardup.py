@@ -275,8 +275,8 @@ def deduplicated(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFr
     ids keeps one row); of repeated rows, one stays."""
     found = _rooted(docs, shingle, max_bits)
     best = found.groupBy("root", "component_id").agg(F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.struct("content"))).alias("c"))
-    keep = best.select(F.col("component_id").alias("_tide_keep_id"), F.col("c.content").alias("_tide_keep_content"))
-    content = F.xxhash64(null_safe_text("text"), F.lit(7))
-    rows = docs.withColumn("_tide_content", content)
-    kept = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_tide_keep_id")) & (F.col("_tide_content") == F.col("_tide_keep_content")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_tide_content"]).drop("_tide_content")
+    keep = best.select(F.col("component_id").alias("keep_id"), F.col("c.content").alias("keep_content"))
+    # the caller's columns travel inside one struct, so none of their names can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(null_safe_text("text"), F.lit(7)).alias("content"))
+    kept = rows.join(keep, F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("content") == F.col("keep_content")), "left_semi")
+    return kept.dropDuplicates(["id", "content"]).select("row.*")

@@ -23,6 +23,7 @@ equal counts. Extra columns pass through; ``n_tokens`` is replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,6 +35,8 @@ from .common import null_safe_text, worker_cached
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMO = 300_000
+MEMO_WORD = 64
+SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")  # a run of marks with the word that follows
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -59,6 +62,9 @@ class Counter:
             self.auto.make_automaton()
         self.empty = not pieces
         self.memo: dict[str, int] = {}
+        # a cut before a run of marks crosses no piece, unless some piece holds a mark after another character
+        crossing = any(MARK in p.lstrip(MARK) for p, _ in pieces)
+        self.parts = (lambda text: [text]) if crossing else SEGMENT.findall
 
     def count_word(self, word: str) -> int:
         """Pieces of the best path through one marked word."""
@@ -91,13 +97,17 @@ class Counter:
         if not text:
             return 0
         memo, total = self.memo, 0
-        words = text.replace(" ", MARK).split(MARK)
-        for w in words if words[0] else words[1:]:  # a text that begins with a space has its mark already
+        marked = text.replace(" ", MARK)
+        if marked[0] != MARK:  # a text that begins with a space has its mark already
+            marked = MARK + marked
+        for w in self.parts(marked):
             n = memo.get(w)
             if n is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                n = memo[w] = self.count_word(MARK + w)
+                n = self.count_word(w)
+                if len(w) <= MEMO_WORD:
+                    if len(memo) >= MEMO:
+                        memo.clear()
+                    memo[w] = n
             total += n
         return total
 
