@@ -23,8 +23,8 @@ PY_WS = (
 NOT_WS = PY_WS.replace("[", "[^", 1)
 WORD = K.WORD_CHAR
 NON_WORD = K.NON_WORD_CHAR
-# control / format characters except tab, newline, carriage return; U+FFFD
-CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\p{Cf}\\x{FFFD}]"
+# control / format / private characters except tab, newline, carriage return; U+FFFD
+CONTROL = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}\\p{Cf}\\p{Co}\\x{FFFD}]"
 BERT_WS = "[\\t\\n\\r\\p{Zs}]"
 
 
@@ -89,12 +89,22 @@ def replace_hashtags(c, token: str = K.HASHTAG_TOKEN) -> Column:
     return F.regexp_replace(_c(c), "#(" + WORD + "+)", f" {literal(token)} $1 ")
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+REGIONAL_LETTERS = "".join(chr(0x1F1E6 + i) for i in range(26))
+
+
 def replace_emoji(c, wrapper: str = K.EMOJI_WRAPPER, names: dict | None = None) -> Column:
-    """T1d: emoji → `` emoji <name> emoji``; emoji without a shipped name → `` emoji  emoji ``."""
-    out = _c(c)
-    for sym, name in (names or K.EMOJI_NAMES).items():
-        out = F.replace(out, F.lit(sym), F.lit(f" {wrapper} {name} {wrapper} "))
-    return F.regexp_replace(out, K.EMOJI_RANGES, f" {literal(wrapper)}  {literal(wrapper)} ")
+    """T1d: emoji → `` emoji <name> emoji``; emoji without a name → `` emoji  emoji ``.
+
+    An emoji is read as it is written: flags (two letters), keycaps, and symbols with variation selector, skin
+    tone, tag letters and joiners are one each, so no joiner or selector is left over. A sequence is named by
+    the table, else by its form without skin tones plus the tone; a flag the table lacks is ``bandera`` and its
+    letters, a keycap ``tecla`` and its sign. The lookup is an Arrow UDF: SQL functions name a match only by one
+    pass over the text for each name, or by lambdas, which no other UDF accepts in its arguments.
+    """
+    from .udfs import emoji_namer
+
+    return emoji_namer(wrapper, K.EMOJI_NAMES if names is None else names)(_c(c))
 
 
 def cap_char_runs(c, n: int = 3) -> Column:
@@ -133,8 +143,8 @@ def social_normalise(
 
 # ---------------------------------------------------------------- tokenizer normaliser T6–T15
 def clean_text(c) -> Column:
-    """Drop control / format characters, U+0000 and U+FFFD; whitespace → space."""
-    return F.regexp_replace(F.regexp_replace(_c(c), CONTROL, ""), BERT_WS, " ")
+    """Drop control, format, private and unassigned characters, U+0000 and U+FFFD; whitespace → space."""
+    return F.regexp_replace(F.regexp_replace(_c(c), CONTROL + "|\\p{Cn}", ""), BERT_WS, " ")
 
 
 def space_cjk(c) -> Column:

@@ -1,17 +1,21 @@
-"""The few steps Spark has no native function for: Unicode normal forms.
+"""The few steps Spark has no native function for: Unicode normal forms and names of written emoji.
 
-Arrow-batched pandas UDFs (never row-at-a-time); each is a one-line helper
-over Python's ``unicodedata``.
+Arrow-batched pandas UDFs (never row-at-a-time); each is a small helper over
+Python's ``unicodedata`` and ``re``.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import constants as K
+
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
@@ -27,3 +31,46 @@ def _strip(x: str) -> str:
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFD, then drop non-spacing marks (``ñ`` → ``n``)."""
     return s.map(lambda x: None if x is None else _strip(x))
+
+
+def _chars(pattern: str) -> str:
+    """``\\x{...}`` spelt as the character, for Python's ``re``."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: chr(int(m.group(1), 16)), pattern)
+
+
+def emoji_name(seq: str, names: dict[str, str]) -> str:
+    """Name of one written emoji: by the table, by its form without skin tone plus the tone, else by its kind."""
+    plain = seq.replace("\ufe0f", "")
+    if plain in names:
+        return names[plain]
+    tones = [c for c in plain if c in K.SKIN_TONES]
+    bare = "".join(c for c in plain if c not in K.SKIN_TONES)
+    if bare in names:
+        return f"{names[bare]}: {K.SKIN_TONES[tones[0]]}"
+    if "\u20e3" in plain:
+        return f"tecla {plain[0]}"
+    if 0x1F1E6 <= ord(plain[0]) <= 0x1F1FF:
+        return "bandera " + "".join(chr(ord(c) - 0x1F1E6 + ord("A")) for c in plain)
+    return ""
+
+
+def emoji_namer(wrapper: str, names: dict[str, str]):
+    """T1d: a UDF that puts `` <wrapper> <name> <wrapper> `` in the place of every written emoji."""
+    written = _chars(K.EMOJI_SEQUENCE)
+
+    @F.pandas_udf(T.StringType())
+    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        find, memo = re.compile(written), {}
+
+        def one(m):
+            seq = m.group()
+            if seq not in memo:
+                if len(memo) > 100_000:
+                    memo.clear()
+                memo[seq] = f" {wrapper} {emoji_name(seq, names)} {wrapper} "
+            return memo[seq]
+
+        for texts in batches:
+            yield pd.Series([None if t is None else t if t.isascii() and "\u20e3" not in t else find.sub(one, t) for t in texts], dtype=object)
+
+    return named

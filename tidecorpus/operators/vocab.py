@@ -275,7 +275,7 @@ def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> list[str]:
         if h >= 0 and (parts[h], parts[i]) in ranks:
             heapq.heappush(heap, (ranks[parts[h], parts[i]], h, parts[h], parts[i]))
     out = [p for p in parts if p is not None]
-    if len(memo) < 200_000:
+    if len(memo) < 200_000 and len(word) <= 64:  # a text without spaces is one word: not kept
         memo[word] = out
     return out
 
@@ -337,6 +337,24 @@ def bpe_id_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID)
     return encode_ids
 
 
+def bpe_pair_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID):
+    """E4 + E5: a pandas UDF ``text → struct<pieces: array<string>, ids: array<int>>``; broadcast as in ``bpe_id_encoder``."""
+    merges = model.merges.orderBy("rank").collect()  # ≤ vocab_size rows
+    ranks = {(r["left"], r["right"]): r["rank"] for r in merges}
+    vocab = {r["token"]: r["id"] for r in model.vocab.collect()}  # ≤ vocab_size rows
+    bc = spark.sparkContext.broadcast((ranks, {t for t in vocab if len(t) == 1}, vocab))
+
+    @F.pandas_udf("struct<pieces: array<string>, ids: array<int>>")
+    def encode_pairs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        ranks_, alpha_, vocab_ = bc.value
+        memo: dict = {}  # lives as long as the task
+        for texts in batches:
+            pieces = [[p for w in t.split(" ") for p in _bpe_word(MARK + w, ranks_, alpha_, memo)] if t else [] for t in texts]
+            yield pd.DataFrame({"pieces": pieces, "ids": [[vocab_.get(p, unk_id) for p in row] for row in pieces]})
+
+    return encode_pairs
+
+
 # ------------------------------------------------------------------ dumps, filters
 def vocab_lines(vocab: DataFrame) -> DataFrame:
     """``f"{id:<6} --- {token}"`` lines ordered by id."""

@@ -147,7 +147,7 @@ def d5_presplit_sets(spark, sf_dir):
     "s4_named_splits",
     sql=f"""WITH f AS (SELECT source, row_number() OVER (ORDER BY source DESC) AS r FROM (SELECT DISTINCT source FROM documents))
     SELECT CASE WHEN f.r = 1 THEN 'test' ELSE 'train' END AS split, CAST(sum(len(string_split(d.text, chr(10)))) AS BIGINT) AS n_lines
-    FROM documents d JOIN f USING (source) GROUP BY 1""",
+    FROM documents d LEFT JOIN f USING (source) GROUP BY 1""",
 )
 def s4_named_splits(spark, sf_dir):
     """documents written as one text folder per source; the last source in sorted
@@ -156,6 +156,6 @@ def s4_named_splits(spark, sf_dir):
     base = os.path.join(ensure_checkpoint_dir(spark), "sinks", f"lines-{uuid.uuid4().hex}")
     d.write.mode("overwrite").partitionBy("source").text(base)
     last = F.broadcast(d.agg(F.max("source").alias("last")))  # one row
-    lines = spark.read.schema("value string, source string").text(base).filter(F.col("source").isNotNull())
+    lines = spark.read.schema("value string, source string").text(base)  # lines without a source are in the train split
     splits = lines.crossJoin(last).select(F.when(F.col("source") == F.col("last"), "test").otherwise("train").alias("split"))
     return splits.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"))

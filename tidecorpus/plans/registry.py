@@ -35,6 +35,6 @@ def query(name: str, sql: str | None = None, bench: bool = False):
 
 def load_all() -> dict[str, Query]:
     """Import every plan module so their queries register."""
-    from . import corpus, text_queries, task_queries, eval_queries, array_queries, vocab_queries, result_queries, stream_queries, sink_queries, misc_queries, wordpiece_queries  # noqa: F401
+    from . import corpus, text_queries, task_queries, eval_queries, array_queries, vocab_queries, result_queries, stream_queries, sink_queries, misc_queries, wordpiece_queries, noisy_queries  # noqa: F401
 
     return REGISTRY

@@ -10,6 +10,10 @@ from .. import constants as K
 from ..functions import text as tx
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+REGIONAL_LETTERS = "".join(chr(0x1F1E6 + i) for i in range(26))
+
+
 def q(s: str) -> str:
     """SQL string literal."""
     return "'" + s.replace("'", "''") + "'"
@@ -59,10 +63,19 @@ def hashtags(x):
 
 
 def emoji(x):
-    out = x
-    for sym, name in K.EMOJI_NAMES.items():
-        out = rep(out, sym, f" {K.EMOJI_WRAPPER} {name} {K.EMOJI_WRAPPER} ")
-    return rr(out, K.EMOJI_RANGES, f" {K.EMOJI_WRAPPER}  {K.EMOJI_WRAPPER} ")
+    """T1d as a split, a lookup and a join; ``x`` is written out three times."""
+    table = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in K.EMOJI_NAMES.items()) + "}"
+    tones = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in K.SKIN_TONES.items()) + "}"
+    tone = "[" + "".join(K.SKIN_TONES) + "]"
+    plain = "replace(s, chr(65039), '')"
+    bare = f"regexp_replace({plain}, '{tone}', '', 'g')"
+    flag = f"'bandera ' || translate({plain}, {q(REGIONAL_LETTERS)}, {q(LETTERS)})"
+    rest = f"CASE WHEN contains({plain}, chr(8419)) THEN 'tecla ' || substr({plain}, 1, 1) WHEN regexp_full_match({plain}, '[\\x{{1F1E6}}-\\x{{1F1FF}}]{{2}}') THEN {flag} ELSE '' END"
+    toned = f"CASE WHEN {table}[{bare}] IS NOT NULL THEN concat_ws(': ', {table}[{bare}], {tones}[regexp_extract({plain}, '{tone}')]) END"
+    name = f"coalesce({table}[{plain}], {toned}, {rest})"
+    seqs = f"list_transform(regexp_extract_all({x}, {q(K.EMOJI_SEQUENCE)}), lambda s: ' {K.EMOJI_WRAPPER} ' || {name} || ' {K.EMOJI_WRAPPER} ')"
+    around = f"string_split_regex({x}, {q(K.EMOJI_SEQUENCE)})"
+    return f"array_to_string(list_transform(list_zip({around}, {seqs}), lambda p: p[1] || coalesce(p[2], '')), '')"
 
 
 def social_plain(x):

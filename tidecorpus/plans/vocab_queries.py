@@ -133,12 +133,9 @@ def e1_e2_bpe_vocabulary(spark, sf_dir):
 @query("e4_bpe_encode")
 def e4_bpe_encode(spark, sf_dir):
     """Subword pieces and ids of every document with the trained merges (Arrow UDF without a shuffle, rows-only)."""
-    model = _model(spark, sf_dir)
-    enc = vb.bpe_id_encoder(spark, model)
-    tokens = F.array(*[F.lit(r["token"]) for r in model.vocab.orderBy("id").collect()])  # ≤ vocab_size rows
-    ids = documents(spark, sf_dir, "doc_id", "text").select("doc_id", enc("text").alias("ids"))
-    pieces = F.transform("ids", lambda i: F.element_at(tokens, i + 1))
-    return ids.select("doc_id", F.array_join(pieces, " ").alias("pieces"), F.array_join("ids", ",").alias("ids"))
+    enc = vb.bpe_pair_encoder(spark, _model(spark, sf_dir))
+    coded = documents(spark, sf_dir, "doc_id", "text").select("doc_id", enc("text").alias("e"))
+    return coded.select("doc_id", F.array_join("e.pieces", " ").alias("pieces"), F.array_join(F.col("e.ids").cast("array<string>"), ",").alias("ids"))
 
 
 @query(
