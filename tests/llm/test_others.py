@@ -197,7 +197,7 @@ def test_linking_order_validation_and_canonical_json(spark):
     assert by[1, "a", 0].json == '{"arguments":{"n_words":1,"text":"hiA"},"id":"a","name":"search","occurrence":0,"result":"say \\"x\\""}'
     assert by[2, "r", 0].errors == "bounds of n_words,type of text,unknown field,unknown after"
     assert by[2, "r", 1].errors == "no object,unknown tool,unknown after" and '"result":"second"' in by[2, "r", 1].json and by[2, "r", 2].status == "orphan"
-    assert by[2, "q", 0].errors == "no object" and by[-1, "", 0].errors == "no object,unknown tool"
+    assert by[2, "q", 0].errors == "no object" and by[None, "", 0].errors == "no object,unknown tool"
 
 
 def test_deep_chain_takes_few_rounds(spark):

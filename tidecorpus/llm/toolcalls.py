@@ -8,34 +8,39 @@ content) and gives one row per call or unanswered-for result:
    in a conversation, its n-th call meets its n-th result, so repeated ids never
    multiply; the number comes from a range-split row index, not from a window
    over one id. ``status`` is linked, unanswered (no result) or orphan (no call);
-2. a topological order by depth in the dependency forest. Depths come from
-   pointer doubling, in rounds that grow with the logarithm of the depth. All
-   calls of an id share the smallest ``after`` given for it. A call whose
-   ``after`` is unknown counts as a root and is marked; calls on a cycle, or
-   behind one, come last and are marked. ``position`` numbers a conversation by
-   depth, turn, id and occurrence (range-split: a conversation may hold a third
-   of all rows);
+2. a topological order: ``after`` names one call or several (a text, or an array),
+   and all occurrences of an id share what is given for any of them. Depth is the
+   longest way from a call without a known one before it. Chains of calls with one
+   parent are folded by pointer doubling, in rounds that grow with the logarithm of
+   their length; calls with several parents are settled in rounds, once all parents
+   are. Names of no call are left out and marked; calls on a cycle, or behind one,
+   come last and are marked. ``position`` numbers a conversation by depth, turn, id
+   and occurrence (range-split: a conversation may hold a third of all rows);
 3. arguments are checked against the tool's schema: JSON object, required
    fields, types, bounds, allowed values, no unknown fields;
 4. canonical JSON: keys sorted at every level, no white space, one spelling of
-   each number and escape.
+   each number (1, 1.0 and 1e0 are 1; no digit is lost) and escape.
 
-Null conversation or call ids are the value '' ; a null turn sorts first; null
-arguments are no JSON object and null content stays null. Repeated rows are
-repeated occurrences. Empty tables give an empty result. Extra columns are
-ignored.
+A null conversation is one of its own and stays null. A null call id is the value
+'' ; a null turn sorts first; null arguments are no JSON object and null content
+stays null. Repeated rows are repeated occurrences. Very long texts are kept whole.
+Empty tables give an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.indexing import group_index
 from .common import discard, null_safe_text, stored
 
+PLAIN = 40  # numbers up to 40 places from the point are written without an exponent
 WS = " \t\n\x0b\x0c\r"
 #: Tools of the query: field -> (type, required, least, most); lengths for strings, values for numbers.
 TOOLS = {
@@ -45,9 +50,57 @@ TOOLS = {
 }
 
 
-def canonical(json: Column) -> Column:
-    """JSON with sorted keys and no white space; null where it is no JSON."""
-    return F.to_json(F.try_parse_json(json))
+def _number(text: str) -> str:
+    """One spelling of each number: digits without needless zeros, with an exponent only far from 1."""
+    sign, digits, exponent = Decimal(text).as_tuple()
+    body = "".join(map(str, digits)).lstrip("0")
+    kept = body.rstrip("0")
+    exponent += len(body) - len(kept)
+    if not kept:
+        return "0"
+    minus, point = "-" if sign else "", len(kept) + exponent  # digits before the point
+    if exponent >= 0 and point <= PLAIN:
+        return minus + kept + "0" * exponent
+    if exponent < 0 and point > 0:
+        return f"{minus}{kept[:point]}.{kept[point:]}"
+    if exponent < 0 and point > -PLAIN:
+        return f"{minus}0.{'0' * -point}{kept}"
+    return f"{minus}{kept[0]}{'.' if len(kept) > 1 else ''}{kept[1:]}e{point - 1}"
+
+
+class _Number(str):
+    """A JSON number in its one spelling."""
+
+
+def _no_constant(_: str):
+    raise ValueError("no JSON")
+
+
+def _write(v) -> str:
+    if isinstance(v, _Number):
+        return v
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_write(v[k])}" for k in sorted(v)) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(_write, v)) + "]"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def canonical_text(text: str | None) -> str | None:
+    """JSON with sorted keys (of repeated ones the last), no white space and one spelling of each number and
+    escape; None where it is no JSON."""
+    if text is None:
+        return None
+    try:
+        spelt = lambda t: _Number(_number(t))
+        return _write(json.loads(text, parse_int=spelt, parse_float=spelt, parse_constant=_no_constant)).encode("utf-8", "replace").decode()
+    except (ValueError, RecursionError, ArithmeticError):
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def canonical(texts: pd.Series) -> pd.Series:
+    return pd.Series([canonical_text(t) for t in texts], dtype=object)
 
 
 def errors(name: Column, arguments: Column, tools: dict) -> Column:
@@ -74,50 +127,81 @@ def errors(name: Column, arguments: Column, tools: dict) -> Column:
 
 
 def depths(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, depth, note) of each distinct call id; ``calls`` has conv_id, call_id, after."""
-    own = calls.groupBy("conv_id", "call_id").agg(F.min("after").alias("after"))
-    names = own.select("conv_id", F.col("call_id").alias("after"), F.lit(True).alias("known"))
-    now = own.join(names, ["conv_id", "after"], "left").select(
-        "conv_id", "call_id", F.when(F.col("known"), F.col("after")).alias("up"), F.when(F.col("known"), F.lit(1)).otherwise(0).cast("long").alias("depth"), F.when(F.col("after").isNotNull() & F.col("known").isNull(), F.lit("unknown after")).alias("note"))
-    now = stored(now)
-    n, open_ = now.agg(F.count(F.lit(1)), F.count_if(F.col("up").isNotNull())).first()
+    """(keys, call_id, depth, note) of each distinct call id; ``calls`` has conv_id, call_id, after and, if null
+    conversations are told apart, no_conv. ``depth`` is the longest way from a root."""
+    keys = [c for c in ("no_conv", "conv_id") if c in calls.columns]
+    is_list = isinstance(calls.schema["after"].dataType, T.ArrayType)
+    after = F.col("after").cast("array<string>") if is_list else F.array(F.col("after").cast("string"))
+    ids = calls.select(*keys, "call_id").distinct()
+    asked = calls.select(*keys, "call_id", F.explode(after).alias("parent")).where(F.col("parent").isNotNull()).distinct()
+    names = ids.withColumnRenamed("call_id", "parent").withColumn("known", F.lit(True))
+    edges = asked.join(names, [*keys, "parent"], "left")
+    per = edges.groupBy(*keys, "call_id").agg(F.count("known").alias("n"), F.min(F.when(F.col("known"), F.col("parent"))).alias("parent"), F.count_if(F.col("known").isNull()).alias("lost"))
+    own = stored(ids.join(per, [*keys, "call_id"], "left").select(*keys, "call_id", F.coalesce("n", F.lit(0)).alias("n"), "parent", (F.coalesce("lost", F.lit(0)) > 0).alias("lost")))
+    # chains of calls with one parent each, by pointer doubling up to a head: a call with none or with several
+    single = F.col("n") == 1
+    now = stored(own.select(*keys, "call_id", F.when(single, F.col("parent")).otherwise(F.col("call_id")).alias("head"), F.when(single, 1).otherwise(0).cast("long").alias("dist"), (~single).alias("done")))
+    n, open_ = now.agg(F.count(F.lit(1)), F.count_if(~F.col("done"))).first()
     steps = 0
     while open_ and 2**steps <= n:
-        up = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        after = stored(now.join(up, ["conv_id", "up"], "left").select("conv_id", "call_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "note"))
+        up = now.select(*keys, F.col("call_id").alias("head"), F.col("head").alias("head2"), F.col("dist").alias("more"), F.col("done").alias("done2"))
+        after_ = stored(now.join(up, [*keys, "head"]).select(*keys, "call_id", F.col("head2").alias("head"), (F.col("dist") + F.col("more")).alias("dist"), "done2").withColumnRenamed("done2", "done"))
         discard(now)
-        now, steps = after, steps + 1
-        open_ = now.where(F.col("up").isNotNull()).count()
-    cyclic = F.col("up").isNotNull()
-    return now.select("conv_id", "call_id", F.when(cyclic, F.lit(2**62)).otherwise(F.col("depth")).alias("depth"), F.when(cyclic, F.lit("cycle")).otherwise(F.col("note")).alias("note"))
+        now, steps = after_, steps + 1
+        open_ = now.where(~F.col("done")).count()
+    chains = now.where("done").drop("done")  # the others lie on a cycle or behind one
+    heads = own.where(F.col("n") == 0).select(*keys, F.col("call_id").alias("head"), F.lit(0).cast("long").alias("depth"))
+    if own.where(F.col("n") > 1).limit(1).count():
+        heads = _joined_heads(stored(heads), own, edges, chains, keys)
+    found = chains.join(heads, [*keys, "head"]).select(*keys, "call_id", (F.col("depth") + F.col("dist")).alias("depth"))
+    out = own.join(found, [*keys, "call_id"], "left")
+    note = F.when(F.col("depth").isNull(), "cycle").when(F.col("lost"), "unknown after")
+    return out.select(*keys, "call_id", F.coalesce("depth", F.lit(2**62)).alias("depth"), note.alias("note"))
+
+
+def _joined_heads(heads: DataFrame, own: DataFrame, edges: DataFrame, chains: DataFrame, keys: list[str]) -> DataFrame:
+    """Depths of calls with several parents too, in rounds: a call is ready when the heads of all its parents
+    are. There are as many rounds as such calls lie behind one another."""
+    many = own.where(F.col("n") > 1).select(*keys, "call_id", "n")
+    of = edges.where("known").join(many, [*keys, "call_id"]).select(*keys, "call_id", "n", "parent")
+    ways = of.join(chains.select(*keys, F.col("call_id").alias("parent"), "head", "dist"), [*keys, "parent"])
+    ways = stored(ways.select(*keys, "call_id", "n", "head", (F.col("dist") + 1).alias("dist")))
+    while True:
+        ready = ways.join(heads, [*keys, "head"]).groupBy(*keys, "call_id", "n").agg(F.count(F.lit(1)).alias("got"), F.max(F.col("depth") + F.col("dist")).alias("depth"))
+        ready = ready.where(F.col("got") == F.col("n")).select(*keys, F.col("call_id").alias("head"), "depth")
+        new = stored(ready.join(heads, [*keys, "head"], "left_anti"))
+        if not new.limit(1).count():
+            return heads
+        heads = stored(heads.unionByName(new))
 
 
 def link(calls: DataFrame, results: DataFrame, tools: dict) -> DataFrame:
     """(conv_id, call_id, occurrence, status, position, depth, name, valid, errors, json)."""
-    key = [F.coalesce(F.col(c).cast("string") if c == "call_id" else F.col(c), F.lit("") if c == "call_id" else F.lit(-1)).alias(c) for c in ("conv_id", "call_id")]
+    key = [F.col("conv_id").isNull().alias("no_conv"), F.coalesce("conv_id", F.lit(-1)).alias("conv_id"), F.coalesce(F.col("call_id").cast("string"), F.lit("")).alias("call_id")]
     c = calls.select(*key, "turn", F.coalesce("name", F.lit("")).alias("name"), F.col("arguments"), "after")
     r = results.select(*key, F.col("turn").alias("result_turn"), "content")
-    c = group_index(c, ["turn", "name", F.xxhash64("arguments", "after")], ["conv_id", "call_id"], "occurrence")
-    r = group_index(r, ["result_turn", F.xxhash64("content")], ["conv_id", "call_id"], "occurrence")
+    c = group_index(c, ["turn", "name", F.xxhash64("arguments", "after")], ["no_conv", "conv_id", "call_id"], "occurrence")
+    r = group_index(r, ["result_turn", F.xxhash64("content")], ["no_conv", "conv_id", "call_id"], "occurrence")
     c = c.withColumn("_c", F.lit(True))
     r = r.withColumn("_r", F.lit(True))
-    both = c.join(r, ["conv_id", "call_id", "occurrence"], "full").join(depths(c), ["conv_id", "call_id"], "left")
+    both = c.join(r, ["no_conv", "conv_id", "call_id", "occurrence"], "full").join(depths(c), ["no_conv", "conv_id", "call_id"], "left")
     status = F.when(F.col("_c").isNull(), "orphan").when(F.col("_r").isNull(), "unanswered").otherwise("linked")
     wrong = F.when(F.col("_c"), F.array_compact(F.array_append(errors(F.col("name"), F.col("arguments"), tools), F.col("note")))).otherwise(F.array(F.lit("no call")))
     rows = both.select(
-        "conv_id", "call_id", F.col("occurrence").cast("long").alias("occurrence"), status.alias("status"), F.coalesce("depth", F.lit(2**62)).alias("_depth"), F.coalesce("turn", "result_turn").alias("_turn"), "name", wrong.alias("errors"),
-        canonical(F.to_json(F.struct(F.col("name"), F.col("call_id").alias("id"), "occurrence", F.col("content").alias("result")))).alias("_head"), canonical(F.col("arguments")).alias("_args"))
+        "no_conv", "conv_id", "call_id", F.col("occurrence").cast("long").alias("occurrence"), status.alias("status"), F.coalesce("depth", F.lit(2**62)).alias("_depth"), F.coalesce("turn", "result_turn").alias("_turn"), "name", wrong.alias("errors"),
+        F.to_json(F.struct(F.col("call_id").alias("id"), "name", "occurrence", F.col("content").alias("result"))).alias("_head"), canonical("arguments").alias("_args"))
     # "arguments" sorts before the other keys
     text = F.concat(F.lit('{"arguments":'), F.coalesce("_args", F.lit("null")), F.lit(","), F.substr("_head", F.lit(2)))
-    rows = rows.select("conv_id", "call_id", "occurrence", "status", "_depth", "_turn", "name", (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), text.alias("json"))
-    out = group_index(rows, ["_depth", "_turn", "call_id", "occurrence"], ["conv_id"], "position")
-    return out.select("conv_id", "call_id", "occurrence", "status", F.col("position").cast("long").alias("position"), "name", "valid", "errors", "json")
+    rows = rows.select("no_conv", "conv_id", "call_id", "occurrence", "status", "_depth", "_turn", "name", (F.size("errors") == 0).alias("valid"), F.array_join("errors", ",").alias("errors"), text.alias("json"))
+    out = group_index(rows, ["_depth", "_turn", "call_id", "occurrence"], ["no_conv", "conv_id"], "position")
+    return out.select(F.when(~F.col("no_conv"), F.col("conv_id")).alias("conv_id"), "call_id", "occurrence", "status", F.col("position").cast("long").alias("position"), "name", "valid", "errors", "json")
 
 
 def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of plain conversations: a user's turn calls a tool chosen by its number of
     words, and the assistant's next turn is the result. Every fourth call starts anew; the others
-    come after the call two turns before, if there was one."""
+    come after the call two turns before, if there was one. Turns of other roles (system) neither call
+    nor answer and make no row."""
     t = turns.select("conv_id", "turn", "role", F.col("text"))
     ident = lambda turn: F.md5(F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string")))
     trimmed = F.btrim(null_safe_text("text"), F.lit(WS))
