@@ -35,22 +35,24 @@ class WordTable:
         self.word = np.cumsum(np.r_[0, sym[:-1] == END]) if len(sym) else np.empty(0, np.int64)
         self.weight = weight
         n = len(sym)
-        self.after = np.arange(1, n + 1, dtype=np.int64)
-        self.before = np.arange(-1, n - 1, dtype=np.int64)
+        self.after = np.arange(1, n + 1, dtype=np.int32)
+        self.before = np.arange(-1, n - 1, dtype=np.int32)
         self.at: dict[Pair, list[np.ndarray]] = {}
         if n > 1:
             self._index(pairs)
 
     def _index(self, pairs) -> None:
         l, r = self.sym[:-1], self.sym[1:]
-        start = np.flatnonzero((l >= 0) & (r >= 0))
-        if pairs is not None:
-            size = int(self.sym.max()) + 2
-            left, right = np.zeros(size, bool), np.zeros(size, bool)
+        if pairs is None:
+            start = np.flatnonzero((l >= 0) & (r >= 0))
+        else:
+            size = int(self.sym.max()) + 1
             wanted = [(a, b) for a, b in pairs if a < size and b < size]
+            # the last place answers for -1: no symbol
+            left, right = np.zeros(size + 1, bool), np.zeros(size + 1, bool)
             left[[a for a, _ in wanted]] = True
             right[[b for _, b in wanted]] = True
-            start = start[left[l[start]] & right[r[start]]]
+            start = np.flatnonzero(left[l] & right[r])
             codes = np.array(sorted(a * (1 << 32) + b for a, b in wanted), np.int64)
             code = l[start].astype(np.int64) * (1 << 32) + r[start]
             if len(codes):

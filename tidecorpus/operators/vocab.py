@@ -161,7 +161,7 @@ def train_bpe(
     merges_per_round: int = 1024,
     sample_words: int = 200_000,
     most_pairs: int = 200_000,
-    rewrite_every: int = 256,
+    rewrite_every: int = 64,
 ) -> BpeModel:
     """E1 end to end; returns the vocabulary and the ranked merge list.
 
@@ -190,7 +190,7 @@ def train_bpe(
     base, based = stored(mg.blocks(words, alpha)), 0  # blocks, and how many merges they hold
     discard(words)
     done: list[tuple[int, int]] = []
-    exact, floor, fresh, ahead_max = None, 0, 0, merges_per_round
+    exact, floor, fresh, ahead_max = None, 0, 0, min(merges_per_round, 128)
     while first_id + len(done) < vocab_size:
         if len(done) - based >= rewrite_every:
             newer = stored(mg.rewritten(base, done[based:], first_id + based))
