@@ -18,8 +18,8 @@ One level, in two passes over the numbered texts:
    bin-counts the accepting states; Spark sums the shards. The same walk marks
    the positions that may start a phrase of the next level.
 
-What is broadcast is one block, at most ``block`` candidates or words, however
-large the input; more blocks are more passes, never a larger one. No window, no
+What is broadcast is one block, at most ``block`` candidates or ``vocab_block``
+words, however large the input; more blocks are more passes, never a larger one. No window, no
 text and no count is dropped: a level with no candidate ends the loop. Tables in
 the checkpoint folder hold the numbered texts, so a lost executor repeats one
 task of one pass. A frequent word or language is no hot key: words, windows and
@@ -48,8 +48,10 @@ from .common import LOWER, UPPER, ascii_lower, discard, null_safe_text, pick, st
 
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
 BETWEEN = "[\\x20\\x09]+"
-SLICE_BYTES = 4 << 20
-BUFFER = 1 << 20
+SLICE_BYTES = 1 << 20
+BUFFER = 1 << 18
+PAIRS = 1 << 22
+ROW_GROUP = 16 << 20
 
 
 def _bytes_table() -> bytes:
@@ -105,17 +107,23 @@ def runs_of(ids: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _rows(arrays: list[np.ndarray], name: str = "ids") -> pa.RecordBatch:
-    flat = pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64), pa.int64())
-    ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
-    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=[name])
+def _bytes_of(arrays: list[np.ndarray], kind: str = "<i4") -> pa.Array:
+    return pa.array([a.astype(kind).tobytes() for a in arrays], pa.binary())
+
+
+def _rows(arrays: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_bytes_of(arrays)], names=["ids"])
+
+
+def _each(col: pa.Array, kind: str = "<i4") -> Iterator[np.ndarray]:
+    for v in col:
+        yield np.frombuffer(v.as_buffer(), kind).astype(np.int64)
 
 
 def _arrays(col: pa.Array) -> Iterator[np.ndarray]:
-    """Long arrays of the rows, short rows joined (they end in -1, so nothing runs over)."""
+    """Arrays of the rows, short rows joined (they end in -1, so nothing runs over)."""
     held, size = [], 0
-    for v in col:
-        a = v.values.to_numpy(zero_copy_only=False)
+    for a in _each(col):
         held.append(a)
         size += len(a)
         if size >= BUFFER:
@@ -125,33 +133,38 @@ def _arrays(col: pa.Array) -> Iterator[np.ndarray]:
         yield np.concatenate(held)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Stored with small row groups (a row here is long, and a scan holds a row group) and packed well."""
+    return stored(df, **{"parquet.block.size": ROW_GROUP, "compression": "zstd"})
+
+
 def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int) -> DataFrame:
-    """Table (ids): runs of two or more frequent words. One pass a block of the vocabulary; the texts
-    are carried along only while further blocks follow."""
+    """Table (ids): runs of two or more frequent words as 32-bit numbers. One pass a block of the
+    vocabulary; the texts are carried along only while further blocks follow."""
+    if n_frequent >= 1 << 31:
+        raise ValueError("word numbers have 32 bits")
     sc = texts.sparkSession.sparkContext
     blocks = range(0, max(n_frequent, 1), block)
     table, state = _bytes_table(), texts
     for at in blocks:
-        mine = frequent.where((F.col("id") >= at) & (F.col("id") < at + block)).select("lang", "word", "id").toArrow()
-        vocab = sc.broadcast([mine.column(c).to_pylist() for c in ("lang", "word", "id")])
+        vocab = sc.broadcast(frequent.where((F.col("id") >= at) & (F.col("id") < at + block)).select("lang", F.col("word").cast("binary").alias("word"), "id").toArrow())
         done, carried = at + block >= n_frequent, at > 0
 
         def task(batches: Iterator[pa.RecordBatch], vocab=vocab, done=done, carried=carried):
             by_lang: dict[str, dict[bytes, int]] = {}
-            for lang, word, i in zip(*vocab.value):
-                by_lang.setdefault(lang, {})[word.encode()] = i
+            for b in vocab.value.to_batches(max_chunksize=10_000):
+                for lang, word, i in zip(*(c.to_pylist() for c in b.columns)):
+                    by_lang.setdefault(lang, {})[word] = i
             for b in batches:
                 langs, body = b.column("lang").to_pylist(), b.column("text").to_pylist()
-                before = [v.values.to_numpy(zero_copy_only=False) for v in b.column("ids")] if carried else None
                 if not done or carried:  # row by row: what earlier blocks found stays beside its text
                     found = [_numbers([t], table, by_lang.get(x, {}).get) for x, t in zip(langs, body)]
                     if carried:
-                        found = [np.maximum(a, o) for a, o in zip(found, before)]
+                        found = [np.maximum(a, o) for a, o in zip(found, _each(b.column("ids")))]
                     if not done:
-                        out = _rows(found).column(0)
-                        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), out], names=["lang", "text", "ids"])
-                        continue
-                    yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in found) if len(r)])
+                        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), _bytes_of(found)], names=["lang", "text", "ids"])
+                    else:
+                        yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in found) if len(r)])
                     continue
                 rows = []
                 for lang in dict.fromkeys(langs):
@@ -168,7 +181,7 @@ def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int)
                         rows.append(_numbers(some, table, get))
                 yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in rows) if len(r)])
 
-        out = stored(state.mapInArrow(task, "ids array<long>" if done else "lang string, text string, ids array<long>"))
+        out = _kept(state.mapInArrow(task, "ids binary" if done else "lang string, text string, ids binary"))
         if carried:
             discard(state)
         vocab.destroy()
@@ -294,7 +307,7 @@ def _windows(ids: np.ndarray, k: int, radix: int) -> tuple[np.ndarray, np.ndarra
         whole &= ids[j : j + m] >= 0
     at = np.flatnonzero(whole)
     hi = ids[at] * radix + ids[at + 1]
-    lo = np.zeros_like(hi)
+    lo = np.zeros(len(hi) if k > 2 else 0, np.int64)
     for j in range(2, k):
         lo = lo * radix + ids[at + j]
     return hi, lo
@@ -302,29 +315,41 @@ def _windows(ids: np.ndarray, k: int, radix: int) -> tuple[np.ndarray, np.ndarra
 
 def sieved(texts: DataFrame, k: int, radix: int, min_count: int) -> DataFrame:
     """Candidates (w: array of k word numbers): windows whose counts, stopped at ``min_count`` in every
-    report, reach ``min_count`` together."""
+    report, reach ``min_count`` together. A task reports after every ``PAIRS`` windows of two words, or
+    ``BUFFER`` longer ones, which is what it holds."""
 
-    def task(batches: Iterator[pa.RecordBatch]):
-        def report(held):
-            hi, lo = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((lo, hi)) if k > 2 else np.argsort(hi)
+    room = PAIRS if k == 2 else BUFFER
+
+    def report(hi, lo):
+        if k == 2:
+            hi.sort()  # in place: one number is the whole window
+            first = np.flatnonzero(np.r_[True, hi[1:] != hi[:-1]])
+        else:
+            order = np.lexsort((lo, hi))
             hi, lo = hi[order], lo[order]
-            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])]) if len(hi) else np.empty(0, np.int64)
-            n = np.minimum(np.diff(np.r_[first, len(hi)]), min_count)
-            for a in range(0, len(first), 1 << 16):
-                f = first[a : a + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(hi[f]), pa.array(lo[f]), pa.array(n[a : a + (1 << 16)].astype(np.int64))], names=["hi", "lo", "n"])
+            first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
+        for a in range(0, len(first), 1 << 16):
+            f = first[a : a + (1 << 16)]
+            n = np.diff(np.r_[f, first[a + (1 << 16)] if a + (1 << 16) < len(first) else len(hi)])
+            second = np.zeros(len(f), np.int64) if k == 2 else lo[f]
+            yield pa.RecordBatch.from_arrays([pa.array(hi[f]), pa.array(second), pa.array(np.minimum(n, min_count))], names=["hi", "lo", "n"])
 
-        held, size = [], 0
+    def task(batches: Iterator[pa.RecordBatch]):
+        his, los, size = np.empty(room, np.int64), np.empty(0 if k == 2 else room, np.int64), 0
         for b in batches:
             for ids in _arrays(b.column("ids")):
-                held.append(_windows(ids, k, radix))
-                size += len(held[-1][0])
-                if size >= 2 * BUFFER:
-                    yield from report(held)
-                    held, size = [], 0
-        if held:
-            yield from report(held)
+                hi, lo = _windows(ids, k, radix)
+                while len(hi):
+                    part = min(len(hi), room - size)
+                    his[size : size + part] = hi[:part]
+                    if k > 2:
+                        los[size : size + part] = lo[:part]
+                    hi, lo, size = hi[part:], lo[part:], size + part
+                    if size == room:
+                        yield from report(his, los)
+                        size = 0
+        if size:
+            yield from report(his[:size], los[:size])
 
     seen = texts.mapInArrow(task, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
     r = F.lit(radix)
@@ -335,7 +360,8 @@ def sieved(texts: DataFrame, k: int, radix: int, min_count: int) -> DataFrame:
 
 
 def counted(texts: DataFrame, candidates: DataFrame, n: int, k: int, block: int, last_level: bool) -> tuple[DataFrame, DataFrame | None]:
-    """((idx, f) of the candidates, texts cut down to the runs of the next level), one pass a block."""
+    """((idx, f) of the candidates, a stored table whose ``ids`` are the texts cut down to the runs of the
+    next level), one pass a block."""
     sc = texts.sparkSession.sparkContext
     state, counts, made = texts, None, []
     for at in range(0, n, block):
@@ -349,41 +375,38 @@ def counted(texts: DataFrame, candidates: DataFrame, n: int, k: int, block: int,
             arrays, idx = shared.value
             trie = DoubleArray.of(arrays)
             total = np.zeros(len(idx), np.int64)
-            names, kinds = ["idx", "n", "ids", "ok"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            names = ["idx", "n", "ids", "ok"]
             for b in batches:
-                marks = [v.values.to_numpy(zero_copy_only=False) for v in b.column("ok")] if not first else []
-                parts = list(_arrays(b.column("ids"))) if first else [v.values.to_numpy(zero_copy_only=False) for v in b.column("ids")]
+                marks = _each(b.column("ok"), "u1") if not first else None
                 out, oks = [], []
-                for i, ids in enumerate(parts):
+                for ids in _arrays(b.column("ids")) if first else _each(b.column("ids")):
+                    mark = np.zeros(len(ids), np.int64) if first else next(marks)
                     pos, row = trie.walk(ids)
                     total += np.bincount(row, minlength=len(total))
                     if last_level:
                         continue
-                    ok = np.zeros(len(ids), np.int64) if first else marks[i].copy()
-                    ok[pos] = 1
-                    kept = runs_of(ids, ok > 0, k + 1) if last else ids
+                    mark[pos] = 1
+                    kept = runs_of(ids, mark > 0, k + 1) if last else ids
                     if len(kept):
                         out.append(kept)
-                        oks.append(ok)
+                        oks.append(mark)
                 if out:
                     none = [pa.nulls(len(out), pa.int64())] * 2
-                    ok = pa.nulls(len(out), pa.list_(pa.int64())) if last else _rows(oks).column(0)
-                    yield pa.RecordBatch.from_arrays([*none, _rows(out).column(0), ok], names=names)
+                    yield pa.RecordBatch.from_arrays([*none, _bytes_of(out), pa.nulls(len(out), pa.binary()) if last else _bytes_of(oks, "u1")], names=names)
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(idx[some]), pa.array(total[some]), pa.nulls(len(some), kinds[2]), pa.nulls(len(some), kinds[3])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(idx[some]), pa.array(total[some]), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], names=names)
 
         source = texts if first else state.where(F.col("ids").isNotNull()).select("ids", "ok")
-        out = stored(source.mapInArrow(task, "idx long, n long, ids array<long>, ok array<long>"))
+        out = _kept(source.mapInArrow(task, "idx long, n long, ids binary, ok binary"))
         shared.destroy()
         made.append(out)
         some = out.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.sum("n").alias("f"))
         counts = some if counts is None else counts.unionByName(some)
         state = out
     found = stored(counts)
-    rest = None if last_level else stored(state.where(F.col("ids").isNotNull()).select("ids"))
-    for df in [texts, *made]:
+    for df in made[:-1] if not last_level else made:
         discard(df)
-    return found, rest
+    return found, None if last_level else made[-1]
 
 
 # --- scores -----------------------------------------------------------------
@@ -412,7 +435,7 @@ def scored(phrases: DataFrame, all_counts: DataFrame, inside: tuple[int, int]) -
     return best.join(cover, "w", "left").where(~covered).drop("cover")
 
 
-def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, inside: tuple[int, int] = (80, 100), block: int = 100_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, inside: tuple[int, int] = (80, 100), block: int = 100_000, vocab_block: int = 400_000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All collocations: (lang, phrase, a, l, r, n, score)."""
     if not 2 <= max_words <= 4:
         raise ValueError("max_words is 2, 3 or 4")
@@ -422,13 +445,16 @@ def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, inside: tuple
     frequent = stored(row_index(words.where(F.col("f") >= min_count), ["lang", "word"], "id"))
     radix = frequent.count()
     levels = [frequent.select(F.array("id").alias("w"), "f")]
-    state = numbered(texts, frequent, radix, block) if radix else None
+    state = numbered(texts, frequent, radix, vocab_block) if radix else None
     for k in range(2, max_words + 1 if radix else 2):
-        candidates = stored(row_index(sieved(state, k, radix, min_count), ["w"], "idx"))
+        candidates = stored(row_index(sieved(state.where(F.col("ids").isNotNull()).select("ids"), k, radix, min_count), ["w"], "idx"))
         n = candidates.count()
         if not n:
             break
-        counts, state = counted(state, candidates, n, k, block, k == max_words)
+        before = state
+        counts, made = counted(state.where(F.col("ids").isNotNull()).select("ids"), candidates, n, k, block, k == max_words)
+        discard(before)
+        state = made
         levels.append(stored(candidates.join(counts, "idx").where(F.col("f") >= min_count).select("w", "f")))
     spark = docs.sparkSession
     if len(levels) == 1:

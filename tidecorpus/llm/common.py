@@ -17,15 +17,15 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 __all__ = ["table", "stored", "discard", "null_safe_text", "ascii_lower", "held_out", "pick", "UPPER", "LOWER"]
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Write ``df`` once as a table in the shared checkpoint folder and read it back.
+def stored(df: DataFrame, **options) -> DataFrame:
+    """Write ``df`` once as a table in the shared checkpoint folder and read it back; ``options`` of the writer.
 
     Cuts lineage with files that every executor can read, so a lost executor
     costs no recomputation of what stands before.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tide-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tide_path = path
     return out

@@ -22,6 +22,10 @@ from ..functions import text as tx
 from .indexing import hash_below, hash_int, portable_hash
 
 
+#: Entries of a vocabulary that a task may hold whole (some hundred MB).
+MAX_VOCABULARY = 2_000_000
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -56,7 +60,9 @@ def build_word_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[s
 def array_lookup(vocab: DataFrame, src: str, dst: str, miss, elem: str):
     """A UDF over arrays: every element goes through the vocabulary, in the task, with no shuffle.
 
-    The vocabulary (at most ``vocab_size`` rows) is collected and broadcast once."""
+    The vocabulary (at most ``MAX_VOCABULARY`` rows, else an error) is collected and broadcast once."""
+    if vocab.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
+        raise ValueError(f"a vocabulary to broadcast has at most {MAX_VOCABULARY} entries")
     bc = vocab.sparkSession.sparkContext.broadcast({r[src]: r[dst] for r in vocab.select(src, dst).collect()})
 
     @F.pandas_udf(f"array<{elem}>")

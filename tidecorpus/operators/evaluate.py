@@ -124,7 +124,7 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, label: str = "labe
     lse = F.log(F.aggregate(F.col(logits), F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
     nll = lse - F.col(logits)[F.col(label)]
     t = df.select(F.col(label).alias("_y"), nll.alias("_nll"))
-    j = t.join(F.broadcast(weights.select(F.col(label).alias("_y"), F.col("weight").alias("_w"))), "_y", "left")
+    j = t.join(weights.select(F.col(label).alias("_y"), F.col("weight").alias("_w")), "_y", "left")
     # a label without a weight must fail, not fall out of the sum
     lost = F.count_if(F.col("_w").isNull())
     out = j.agg((F.sum(F.col("_w") * F.col("_nll")) / F.sum("_w")).alias("loss"), lost.alias("_lost"))
@@ -143,7 +143,7 @@ def bce_with_logits(df: DataFrame, pos_weight: DataFrame | None = None, labels:
     cells = df.select(F.posexplode(F.arrays_zip(labels, logits)).alias("i", "z"))
     cells = cells.select("i", F.col("z." + labels).cast("double").alias("y"), F.col("z." + logits).cast("double").alias("x"))
     if pos_weight is not None:
-        cells = cells.join(F.broadcast(pos_weight.select("i", F.col("weight").alias("pw"))), "i", "left")
+        cells = cells.join(pos_weight.select("i", F.col("weight").alias("pw")), "i", "left")
         pw = F.coalesce(F.col("pw"), F.lit(1.0))
     else:
         pw = F.lit(1.0)

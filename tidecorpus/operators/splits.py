@@ -47,8 +47,8 @@ def stratified_split(
     quotas = stratified_quotas(counts, label, size)
     keyed = df.withColumn("_h", portable_hash(id_col, seed))
     ranked = group_index(keyed, ["_h", id_col], [label], "_rank")
-    # quotas has one row per class: a broadcast join by construction
-    out = ranked.join(F.broadcast(quotas), label, "inner")
+    # one row a label found in the data: the join's kind follows from the size at run time
+    out = ranked.join(quotas, label, "inner")
     split = F.when(F.col("_rank") < F.col("quota"), F.lit(names[1])).otherwise(F.lit(names[0]))
     return out.withColumn("split", split).drop("_h", "_rank", "quota")
 

@@ -86,7 +86,7 @@ def balanced_weights(df: DataFrame, label: str, dim: DataFrame) -> DataFrame:
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
     k = dim.count()
     total = df.agg(F.count(F.lit(1))).scalar()
-    j = dim.select(F.col("label").alias(label)).join(F.broadcast(counts), label, "left")
+    j = dim.select(F.col("label").alias(label)).join(counts, label, "left")
     n_c = F.when(F.col("n_c").isNotNull(), F.col("n_c")).otherwise(F.raise_error(F.lit("class absent from data")))
     return j.select(label, (total / (F.lit(k) * n_c)).alias("weight"))
 
