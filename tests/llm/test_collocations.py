@@ -79,7 +79,7 @@ def test_plain_counting(spark, block):
     rows = [*texts(1, 250), *texts(1, 5), (None, "en"), ("", "fr"), ("new york " * 40, None), ("new york " * 10, "und")]
     df = spark.createDataFrame([(i, *r, "clash", 1) for i, r in enumerate(rows)], "doc_id long, text string, lang string, word string, f int").repartition(4)
     min_count = 12 if block > 7 else 40
-    got = collocations.top(collocations.mine(df, min_count=min_count, block=block))
+    got = collocations.top(collocations.mine(df, min_count=min_count, block=block, vocab_block=4 * block))
     assert sorted(map(tuple, got.collect())) == plain(rows, min_count)
 
 
