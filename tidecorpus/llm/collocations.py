@@ -50,7 +50,7 @@ PIECE_END = "[.,;:!?\\x0A-\\x0D]"
 BETWEEN = "[\\x20\\x09]+"
 SLICE_BYTES = 1 << 20
 BUFFER = 1 << 18
-PAIRS = 1 << 22
+PAIRS = 1 << 21
 ROW_GROUP = 16 << 20
 
 
@@ -166,20 +166,21 @@ def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int)
                     else:
                         yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in found) if len(r)])
                     continue
-                rows = []
                 for lang in dict.fromkeys(langs):
                     get = by_lang.get(lang, {}).get
                     some, size = [], 0
-                    for x, t in zip(langs, body):
-                        if x == lang:
+                    for x, t in [*zip(langs, body), (lang, None)]:
+                        if x != lang:
+                            continue
+                        if t is not None:
                             some.append(t)
                             size += len(t)
-                            if size >= SLICE_BYTES:
-                                rows.append(_numbers(some, table, get))
-                                some, size = [], 0
-                    if some:
-                        rows.append(_numbers(some, table, get))
-                yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in rows) if len(r)])
+                        if some and (t is None or size >= SLICE_BYTES):
+                            a = _numbers(some, table, get)
+                            kept = runs_of(a, a >= 0, 2)
+                            if len(kept):
+                                yield _rows([kept])
+                            some, size = [], 0
 
         out = _kept(state.mapInArrow(task, "ids binary" if done else "lang string, text string, ids binary"))
         if carried:
