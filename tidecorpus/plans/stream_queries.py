@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir, table
+from ..session import ensure_checkpoint_dir, table, table_path
 from ..streaming import stream as stm
 from .corpus import TOKEN_LEN_SQL
 from .registry import query
@@ -19,10 +19,10 @@ from .registry import query
 
 def _run(spark, sf_dir, build):
     base = os.path.join(ensure_checkpoint_dir(spark), "stream-out", uuid.uuid4().hex)
-    src = stm.table_stream(spark, sf_dir, table(spark, sf_dir, "documents").schema, "documents.parquet", 1)
-    q = stm.start_sink(build(src), base, "parquet", os.path.join(base, "_ck"))
+    out = build(stm.path_stream(spark, table_path(sf_dir, "documents"), table(spark, sf_dir, "documents").schema))
+    q = stm.start_sink(out, base, "parquet", os.path.join(base, "_ck"))
     q.awaitTermination()
-    return spark.read.parquet(base)
+    return spark.read.schema(out.schema).parquet(base)
 
 
 @query(

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +42,12 @@ def table_stream(spark: SparkSession, directory: str, schema: T.StructType, glob
     )
 
 
+def path_stream(spark: SparkSession, path: str, schema: T.StructType, max_files_per_trigger: int = 64) -> DataFrame:
+    """ST source over one table, a parquet file or a folder of them. The path is given as a pattern that
+    matches it alone: the source takes a plain path for a folder."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def filter_stream(df: DataFrame, text_col: str = "value", min_tokens: int = K.MIN_TOKENS) -> DataFrame:
     """ST2: keep texts whose token length (after collapsing emoji spans) ≥ 6;
     the original text is kept."""
@@ -53,15 +58,7 @@ def filter_stream(df: DataFrame, text_col: str = "value", min_tokens: int = K.MI
 def ids_encoder(spark: SparkSession, vocab: DataFrame, unk: int = K.UNK_ID):
     """Stateless token → id UDF for streams (a stream cannot regroup without
     state). The vocabulary is bounded by ``vocab_size`` and broadcast once."""
-    table = {r["token"]: r["id"] for r in vocab.collect()}  # ≤ vocab_size rows
-    bc = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def to_ids(tokens: pd.Series) -> pd.Series:
-        m = bc.value
-        return pd.Series([[m.get(t, unk) for t in ts] for ts in tokens])
-
-    return to_ids
+    return en.array_lookup(vocab, "token", "id", unk, "int")
 
 
 def encode_stream(df: DataFrame, vocab: DataFrame | None = None, text_col: str = "value", max_len: int = K.MAX_LENGTH, model=None) -> DataFrame:
