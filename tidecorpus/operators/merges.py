@@ -182,6 +182,22 @@ def character_totals(words: DataFrame) -> DataFrame:
     return words.mapInArrow(task, "ch string, n long").groupBy("ch").agg(F.sum("n").alias("n"))
 
 
+def character_pairs(words: DataFrame, chars: Sequence[str]) -> DataFrame:
+    """(left, right, n): neighbouring characters of the words (word, n) once all but ``chars`` are dropped."""
+    ids = {c: i for i, c in enumerate(chars)}
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[Pair, int] = {}  # at most the square of len(chars)
+        for b in batches:
+            sym, weight = encode_words(b.column("word").to_pylist(), b.column("n").to_numpy(zero_copy_only=False), ids)
+            for pair, n in WordTable(sym, weight, []).counts().items():
+                total[pair] = total.get(pair, 0) + n
+        left, right = ([chars[p[i]] for p in total] for i in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(list(total.values()), pa.int64())], ["left", "right", "n"])
+
+    return words.mapInArrow(task, "left string, right string, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
 def blocks(words: DataFrame, ids: dict[str, int]) -> DataFrame:
     """(sym binary, weight binary): the words (word, n) as blocks of at most ``BLOCK_WORDS``."""
 

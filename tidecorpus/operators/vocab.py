@@ -70,14 +70,9 @@ def alphabet(words: DataFrame, limit: int, specials: Sequence[str] = K.SEQUENCE_
 
 def initial_pair_counts(words: DataFrame, alpha: DataFrame) -> DataFrame:
     """E1c on the first round, as strings: consecutive kept characters of each
-    word, weighted by the word count."""
-    keep = alpha.agg(F.collect_set("token").alias("a"))  # ≤ limit_alphabet values
-    w = words.withColumn("_a", keep.scalar())
-    chars = F.filter(F.split("word", "", -1), lambda c: F.array_contains(F.col("_a"), c))
-    z = w.select(chars.alias("c"), "n")
-    z = z.select(F.arrays_zip(F.slice("c", 1, F.size("c") - 1).alias("l"), F.slice("c", 2, F.size("c") - 1).alias("r")).alias("p"), "n")
-    p = z.select(F.explode("p").alias("p"), "n")
-    return p.groupBy(F.col("p.l").alias("left"), F.col("p.r").alias("right")).agg(F.sum("n").alias("n"))
+    word, weighted by the word count. Pairs are added up in the task."""
+    kept = sorted(r["token"] for r in alpha.select("token").collect())  # ≤ limit_alphabet values
+    return mg.character_pairs(words, kept)
 
 
 def pair_counts(symbols: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..operators import encode as en
 from ..operators import vocab as vb
-from ..session import table
+from ..session import stored, table
 from ..sources.tables import documents, social_documents
 from ..functions import text as tx
 from . import sqltext as S
@@ -109,7 +109,7 @@ def e1b_document_alphabet(spark, sf_dir):
     SELECT p.l AS left, p.r AS right, CAST(sum(n) AS BIGINT) AS n FROM pr GROUP BY 1, 2""",
 )
 def e1c_document_pair_counts(spark, sf_dir):
-    words = vb.word_counts(documents(spark, sf_dir, "text"), "text")
+    words = stored(vb.word_counts(documents(spark, sf_dir, "text"), "text"))  # texts are split and counted once
     return vb.initial_pair_counts(words, vb.alphabet(words, K.LIMIT_ALPHABET))
 
 
