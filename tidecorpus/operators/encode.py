@@ -11,14 +11,17 @@ is ever shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
+from ..functions.slices import LARGE_SLICE, sliced_udf
 from .indexing import hash_below, hash_int, portable_hash
 
 
@@ -60,18 +63,26 @@ def build_word_vocab(df: DataFrame, tokens: str, size: int, specials: Sequence[s
 def array_lookup(vocab: DataFrame, src: str, dst: str, miss, elem: str):
     """A UDF over arrays: every element goes through the vocabulary, in the task, with no shuffle.
 
-    The vocabulary (at most ``MAX_VOCABULARY`` rows, else an error) is collected and broadcast once."""
+    The vocabulary (at most ``MAX_VOCABULARY`` rows, else an error) is collected and broadcast once. Elements are
+    looked up in Arrow, so no element becomes a Python object."""
     if vocab.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
         raise ValueError(f"a vocabulary to broadcast has at most {MAX_VOCABULARY} entries")
     bc = vocab.sparkSession.sparkContext.broadcast({r[src]: r[dst] for r in vocab.select(src, dst).collect()})
 
-    @F.pandas_udf(f"array<{elem}>")
-    def look_up(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = bc.value
-        for arrays in batches:
-            yield pd.Series([None if a is None else [table.get(x, miss) for x in a] for a in arrays])
+    kind = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[elem]
 
-    return look_up
+    def look_up():
+        known, found = pa.array(list(bc.value)), pa.array([*bc.value.values(), miss], kind)  # the last answers for misses
+
+        def mapped(arrays: pa.Array) -> pa.Array:
+            items = arrays.flatten()
+            at = pc.index_in(items, value_set=known.cast(items.type))
+            ends = np.cumsum(pc.list_value_length(arrays).fill_null(0).to_numpy())
+            return pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), found.take(at.fill_null(len(known))), mask=arrays.is_null())
+
+        return mapped
+
+    return sliced_udf(f"array<{elem}>", look_up, LARGE_SLICE)
 
 
 def lookup_ids(df: DataFrame, key: str, tokens: str, vocab: DataFrame, out: str = "ids", unk: int = K.UNK_ID) -> DataFrame:

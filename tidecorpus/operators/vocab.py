@@ -25,20 +25,24 @@ from __future__ import annotations
 import heapq
 import json
 import os
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import constants as K
+from ..functions.slices import pieces_and_ids, sliced_udf
 from ..session import discard, shuffle_partitions, stored
 from . import merges as mg
 
 MARK = K.WORD_MARK
+#: Words whose pieces a task remembers.
+MEMO_WORDS = 50_000
 
 
 def metaspace_words(text) -> Column:
@@ -244,7 +248,7 @@ def train_bpe(
 
 
 # ------------------------------------------------------------------ encoding
-def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> list[str]:
+def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> Sequence[str]:
     """Pieces of one word: the lowest-ranked pair first, leftmost first. A heap of pairs over a linked
     list of parts, so a word of n characters costs n log n. Characters outside the alphabet are ``<unk>``."""
     got = memo.get(word)
@@ -270,13 +274,17 @@ def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> list[str]:
         if h >= 0 and (parts[h], parts[i]) in ranks:
             heapq.heappush(heap, (ranks[parts[h], parts[i]], h, parts[h], parts[i]))
     out = [p for p in parts if p is not None]
-    if len(memo) < 200_000 and len(word) <= 64:  # a text without spaces is one word: not kept
-        memo[word] = out
+    if len(memo) < MEMO_WORDS and len(word) <= 64:  # a text without spaces is one word: not kept
+        out = memo[word] = tuple(map(sys.intern, out))  # a piece is held once, however many words have it
     return out
 
 
+def _bpe_pieces(text: str | None, ranks: dict, alphabet: set, memo: dict) -> list[str]:
+    return [p for w in text.split(" ") for p in _bpe_word(MARK + w, ranks, alphabet, memo)] if text else []
+
+
 def bpe_encoder(spark: SparkSession, model: BpeModel):
-    """A pandas UDF ``text → array<string>`` of subword pieces.
+    """An Arrow UDF ``text → array<string>`` of subword pieces.
 
     The merge table and alphabet are bounded by ``vocab_size`` and shipped once
     as a broadcast variable.
@@ -286,24 +294,16 @@ def bpe_encoder(spark: SparkSession, model: BpeModel):
     alpha = {r["token"] for r in model.vocab.filter(F.length("token") == 1).collect()}
     bc = spark.sparkContext.broadcast((ranks, alpha))
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode():
         ranks_, alpha_ = bc.value
         memo: dict = {}  # lives as long as the task
-        for texts in batches:
-            out = []
-            for t in texts:
-                pieces: list[str] = []
-                for w in t.split(" ") if t else ():
-                    pieces.extend(_bpe_word(MARK + w, ranks_, alpha_, memo))
-                out.append(pieces)
-            yield pd.Series(out)
+        return lambda texts: pa.array([_bpe_pieces(t, ranks_, alpha_, memo) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    return encode
+    return sliced_udf(T.ArrayType(T.StringType()), encode)
 
 
 def bpe_id_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID):
-    """E4 + E5 in one pass: a pandas UDF ``text → array<int>`` of subword ids.
+    """E4 + E5 in one pass: an Arrow UDF ``text → array<int>`` of subword ids.
 
     Merge list and vocabulary are both bounded by ``vocab_size`` and shipped
     once as a broadcast variable, so the corpus is encoded row by row without
@@ -316,38 +316,32 @@ def bpe_id_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID)
     alpha = {t for t in vocab if len(t) == 1}
     bc = spark.sparkContext.broadcast((ranks, alpha, vocab))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode_ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def encode_ids():
         ranks_, alpha_, vocab_ = bc.value
         memo: dict = {}  # lives as long as the task
-        for texts in batches:
-            out = []
-            for t in texts:
-                ids: list[int] = []
-                for w in t.split(" ") if t else ():
-                    ids.extend(vocab_.get(p, unk_id) for p in _bpe_word(MARK + w, ranks_, alpha_, memo))
-                out.append(ids)
-            yield pd.Series(out)
+        return lambda texts: pa.array([[vocab_.get(p, unk_id) for p in _bpe_pieces(t, ranks_, alpha_, memo)] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
-    return encode_ids
+    return sliced_udf(T.ArrayType(T.IntegerType()), encode_ids)
 
 
 def bpe_pair_encoder(spark: SparkSession, model: BpeModel, unk_id: int = K.UNK_ID):
-    """E4 + E5: a pandas UDF ``text → struct<pieces: array<string>, ids: array<int>>``; broadcast as in ``bpe_id_encoder``."""
+    """E4 + E5: an Arrow UDF ``text → struct<pieces: array<string>, ids: array<int>>``; broadcast as in ``bpe_id_encoder``."""
     merges = model.merges.orderBy("rank").collect()  # ≤ vocab_size rows
     ranks = {(r["left"], r["right"]): r["rank"] for r in merges}
     vocab = {r["token"]: r["id"] for r in model.vocab.collect()}  # ≤ vocab_size rows
     bc = spark.sparkContext.broadcast((ranks, {t for t in vocab if len(t) == 1}, vocab))
 
-    @F.pandas_udf("struct<pieces: array<string>, ids: array<int>>")
-    def encode_pairs(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode_pairs():
         ranks_, alpha_, vocab_ = bc.value
         memo: dict = {}  # lives as long as the task
-        for texts in batches:
-            pieces = [[p for w in t.split(" ") for p in _bpe_word(MARK + w, ranks_, alpha_, memo)] if t else [] for t in texts]
-            yield pd.DataFrame({"pieces": pieces, "ids": [[vocab_.get(p, unk_id) for p in row] for row in pieces]})
 
-    return encode_pairs
+        def coded(texts: pa.Array) -> pa.Array:
+            pieces = [_bpe_pieces(t, ranks_, alpha_, memo) for t in texts.to_pylist()]
+            return pieces_and_ids(pieces, [[vocab_.get(p, unk_id) for p in row] for row in pieces])
+
+        return coded
+
+    return sliced_udf("struct<pieces: array<string>, ids: array<int>>", encode_pairs)
 
 
 # ------------------------------------------------------------------ dumps, filters
