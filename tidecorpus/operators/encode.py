@@ -36,8 +36,8 @@ def _c(c) -> Column:
 # ------------------------------------------------------------------ tokens and vocabulary
 def word_tokens(text) -> Column:
     """Whitespace tokens of the tidied, lower-cased text (empty text → [])."""
-    t = tx.tidy(F.lower(_c(text)))
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).otherwise(F.split(t, " ", -1))
+    # a tidied text has an empty token only if it is empty; so written, the text is tidied once
+    return F.array_remove(F.split(tx.tidy(F.lower(_c(text))), " ", -1), "")
 
 
 def specials_table(spark, specials: Sequence[str] = K.SEQUENCE_SPECIALS) -> DataFrame:

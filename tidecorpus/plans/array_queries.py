@@ -15,7 +15,7 @@ from ..operators import batching as bt
 from ..operators import encode as en
 from ..operators import scan_order as so
 from ..operators.indexing import hash_bound, portable_hash_sql
-from ..session import table_path
+from ..session import stored, table_path
 from ..sources.tables import documents
 from . import sqltext as S
 from .registry import query
@@ -178,10 +178,9 @@ def _pair_encoded(spark, sf_dir):
     p = _pair_frame(spark, sf_dir)
     a, b = en.truncate_pair("ta", "tb", MAXLEN)
     p = p.select("doc_id", a.alias("ta"), b.alias("tb"))
-    v = small_vocab(spark, sf_dir)
-    ea = en.lookup_ids(p.select("doc_id", "ta"), "doc_id", "ta", v, "a")
-    eb = en.lookup_ids(p.select("doc_id", "tb"), "doc_id", "tb", v, "b")
-    return ea.join(eb, "doc_id")
+    ids = en.array_lookup(small_vocab(spark, sf_dir), "token", "id", K.UNK_ID, "int")
+    both = stored(p.select("doc_id", ids("ta").alias("a"), ids("tb").alias("b")))  # short arrays; texts are read once
+    return both.select("doc_id", "a").join(both.select("doc_id", "b"), "doc_id")
 
 
 @query(
@@ -418,7 +417,8 @@ SELECT bool_and(input_ids_equal) AS input_ids_equal, bool_and(body_equal) AS bod
 def e24_encoding_equality(spark, sf_dir):
     """Round trip ids → tokens → ids gives the same encoding, field by field, over whole texts."""
     v = small_vocab(spark, sf_dir)
-    e = encoded(spark, sf_dir, None, v)
+    e = stored(encoded(spark, sf_dir, None, v).select("doc_id", "body"))  # texts are cut into tokens once
+    e = e.select("doc_id", "body", en.build_inputs("body").alias("input_ids"))
     back = en.lookup_tokens(e.select("doc_id", "body"), "doc_id", "body", v, "toks")
     again = en.lookup_ids(back.select("doc_id", "toks"), "doc_id", "toks", v, "body")
     again = again.select("doc_id", "body", en.build_inputs("body").alias("input_ids"))
