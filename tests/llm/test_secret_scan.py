@@ -171,3 +171,32 @@ def test_awkward_and_empty(spark, awkward, nothing, net):
     assert ss.scan(nothing, net).count() == 0 and ss.fit(nothing) is None
     got = ss.digest(ss.scan(awkward, None)).collect()
     assert {(r.spans, r.n_neural) for r in got if r.doc_id in (2, 3)} == {("", 0)}
+
+
+def test_every_labelled_window_teaches(spark, monkeypatch):
+    """More windows than one shard holds: all of them reach a shard, none is left out, and the result separates."""
+    monkeypatch.setattr(ss, "SHARD_ROWS", 120)
+    r = np.random.default_rng(5)
+    rows = [(i, f"see ticket {'ZX-' if i % 2 else 'QV-'}{''.join(r.choice(list('0123456789ABCDEF'), 18))} in the log") for i in range(480)]
+    marks = [(i, 11, 32, i % 2) for i in range(480)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "id long, start long, end long, secret int")
+    seen, real = [], ss._fitted
+    monkeypatch.setattr(ss, "_fitted", lambda windows, learn, n, *a: seen.append((n, windows.where(learn).count(), windows.count())) or real(windows, learn, n, *a))
+    net = ss.fit(docs, marks)
+    (n, taught, known), = seen
+    assert known == 480 and taught == n > 3 * ss.SHARD_ROWS * 0.9
+    new = spark.createDataFrame([(1, "see ticket ZX-00FF00FF11AA22BB33 in the log"), (2, "see ticket QV-00FF00FF11AA22BB33 in the log")], "doc_id long, text string")
+    assert {x.doc_id: len(x.found) for x in ss.scan(new, net).collect()} == {1: 1, 2: 0}
+
+
+def test_sums_and_places_in_tasks(spark):
+    """Calibration and threshold over a table equal those over arrays."""
+    r = np.random.default_rng(6)
+    z = r.normal(0, 2, 900).astype(np.float32)
+    y = (r.random(900) < 1 / (1 + np.exp(-z))).astype(int)
+    bits = z.view(np.uint32).astype(np.int64)
+    place = np.where(bits >> 31, bits ^ 0xFFFFFFFF, bits ^ 0x80000000)
+    held = spark.createDataFrame([(float(a), int(b), int(c)) for a, b, c in zip(z, y, place)], "z float, secret int, place long").repartition(3)
+    assert ss._platt_over(held, int(y.sum()), int((1 - y).sum())) == pytest.approx(ss.platt(z, y), rel=1e-6)
+    for n in (0, 45, 450, 899):
+        assert ss._nth_logit(held, n) == float(np.sort(z)[n])
