@@ -248,7 +248,7 @@ def train_bpe(
 
 
 # ------------------------------------------------------------------ encoding
-def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> Sequence[str]:
+def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> list[str]:
     """Pieces of one word: the lowest-ranked pair first, leftmost first. A heap of pairs over a linked
     list of parts, so a word of n characters costs n log n. Characters outside the alphabet are ``<unk>``."""
     got = memo.get(word)
@@ -275,7 +275,7 @@ def _bpe_word(word: str, ranks: dict, alphabet: set, memo: dict) -> Sequence[str
             heapq.heappush(heap, (ranks[parts[h], parts[i]], h, parts[h], parts[i]))
     out = [p for p in parts if p is not None]
     if len(memo) < MEMO_WORDS and len(word) <= 64:  # a text without spaces is one word: not kept
-        out = memo[word] = tuple(map(sys.intern, out))  # a piece is held once, however many words have it
+        out = memo[word] = [sys.intern(p) for p in out]  # a piece is held once, however many words have it
     return out
 
 
