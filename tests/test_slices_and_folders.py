@@ -53,6 +53,22 @@ def test_sliced_udfs_on_awkward_rows(spark, monkeypatch):
     assert {r.k: r.tokens for r in en.lookup_tokens(back, "k", "t", vocab).collect()} == {0: ["b", "<unk>", "<unk>"], 1: None}
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    key, sizes = "spark.sql.execution.arrow.maxBytesPerBatch", {}
+    rows = spark.range(0, 6000, 1, 1).select("id", F.when(F.col("id") % 100 == 7, F.lit(None)).otherwise(F.repeat(F.lit("xy"), F.lit(1500))).alias("t"))
+    own = spark.conf.get(key, None)
+    try:
+        for limit in (None, "64m"):  # a limit that the caller set stays
+            spark.conf.unset(key) if limit is None else spark.conf.set(key, limit)
+            part = sl.sliced_udf("int", lambda: lambda p: pa.array([len(p)] * len(p), pa.int32()), 1 << 40)
+            got = rows.select("id", part("t").alias("n")).agg(F.max("n"), F.count("n"), F.countDistinct("id")).first()
+            sizes[limit] = got[0]
+            assert got[1:] == (6000, 6000) and spark.conf.get(key) == (limit or str(4 << 20))
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+    assert sizes[None] < 2000 and sizes["64m"] == 6000
+
+
 def test_words_are_cut_from_one_tidied_text(spark):
     df = spark.createDataFrame([(0, " A\n\nb  c "), (1, ""), (2, None), (3, " 　\t ")], "k int, t string")
     out = df.select("k", en.word_tokens("t").alias("w"))
