@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import threading
 from collections import Counter
 
 import pyarrow as pa
@@ -69,6 +70,35 @@ def test_batches_are_bounded_in_bytes(spark):
     assert sizes[None] < 2000 and sizes["64m"] == 6000
 
 
+def test_batches_are_bounded_whichever_session_and_thread(spark):
+    from __spark_entry__ import queries
+    from tidecorpus.functions.udfs import nfkc
+
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    names = ("t1_social_normalise", "t1d_emoji_sequences", "t13_rewrap_url", "t1d_replace_emoji", "e4_wordpiece_encode")
+    own, other, found = spark.conf.get(key, None), spark.newSession(), queries()
+
+    def in_thread():  # no session is active in a new thread
+        try:
+            nfkc("t")
+            seen.append(spark.conf.get(key, None))
+            for name in names:
+                other.conf.unset(key)
+                found[name](other, SF001)
+                seen.append(other.conf.get(key, None))
+        except Exception as e:
+            seen.append(e)
+
+    try:
+        spark.conf.unset(key)
+        run = threading.Thread(target=in_thread)
+        run.start()
+        run.join()
+    finally:
+        spark.conf.unset(key) if own is None else spark.conf.set(key, own)
+    assert seen == [str(4 << 20)] * 6
+
+
 def test_words_are_cut_from_one_tidied_text(spark):
     df = spark.createDataFrame([(0, " A\n\nb  c "), (1, ""), (2, None), (3, " 　\t ")], "k int, t string")
     out = df.select("k", en.word_tokens("t").alias("w"))
