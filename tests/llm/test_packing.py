@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -76,6 +77,47 @@ def test_encoder_equals_tokenizer():
         assert np.frombuffer(enc(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_arrays_of_texts_equal_tokenizer():
+    tok, enc = Tokenizer.from_file(BPE), packing.batch_encoder(BPE, P.PATTERN)
+    rng = random.Random(6)
+    pool = ["a", " ", "  ", "\n", "\t", "Hello", "don't", "é", "漢字", "😀", "123", "!?", "<|endoftext|>", "\u00a0", "\u3000", "\r\n", "the", " b", "\x85", "\x1c"]
+    for kind in (pa.string(), pa.large_string()):
+        for _ in range(150):
+            texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(rng.randint(1, 15))]
+            ids, stops = enc(pa.array(texts, kind), (0,))
+            want = [[*tok.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+            assert [x.tolist() for x in np.split(ids, stops)] == [*want, []], texts
+
+
+def test_a_distinct_word_is_encoded_once_an_array(monkeypatch):
+    import tiktoken
+
+    given = []
+
+    class Counted(tiktoken.Encoding):
+        def encode_to_numpy(self, text, **options):
+            given.append(len(text))
+            return super().encode_to_numpy(text, **options)
+
+    monkeypatch.setattr(tiktoken, "Encoding", Counted)
+    enc = packing.batch_encoder(BPE, P.PATTERN)
+    words = [f"w{i:06d}" for i in range(300)]
+    rng = random.Random(7)
+    texts = [" ".join(rng.sample(words, 300)) for _ in range(50)]
+    ids, stops = enc(pa.array(texts))
+    assert sum(given) <= 300 * 8 + 50 * 7 and len(given) <= 51  # the words, and each text's first
+    tok = Tokenizer.from_file(BPE)
+    assert [x.tolist() for x in np.split(ids, stops)[:-1]] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_slices_and_blocks_change_nothing(spark, awkward, monkeypatch):
+    rows = lambda: sorted(map(tuple, packing.token_pieces(awkward, BPE, P.PATTERN, 16).collect()), key=str)
+    whole = rows()
+    monkeypatch.setattr(packing, "SLICE_BYTES", 64)
+    monkeypatch.setattr(packing, "UNITS", 3)
+    assert rows() == whole and any(r[1] for r in whole)
+
+
 def test_pack_round_trip(spark, awkward):
     tok = Tokenizer.from_file(BPE)
     out = packing.pack(awkward, BPE, P.PATTERN, 64, 0).collect()

@@ -26,23 +26,28 @@ packed as often as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.slices import slices
+from ..functions.text import PY_WS
 from .common import discard, null_safe_text, stored, worker_cached
 
 CAPACITY = 2048
 ROWS_PER_RANGE = 200_000
-MEMO = 200_000
+#: Bytes of texts that are encoded at once, and words that are looked up at once.
+SLICE_BYTES = 8 << 20
+UNITS = 1 << 20
 #: Lower bounds of the size bands, as parts of a sequence.
 BANDS = (2, 3, 4, 8)
-_AMBIGUOUS = re.compile(r"\s (?:\s|\Z)")
+_AMBIGUOUS = PY_WS + " (?:" + PY_WS + "|\\z)"
+_ODD = "\\A" + PY_WS + "|" + PY_WS + "\\z|\\A\\z"
 
 
 def _vocabulary(path: str):
@@ -54,13 +59,14 @@ def _vocabulary(path: str):
     return spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens", []) if t.get("special")}
 
 
-def encoder(path: str, pattern: str):
-    """``text -> little-endian uint32 ids`` equal to the file's own tokenizer.
+def batch_encoder(path: str, pattern: str):
+    """``(texts, end) -> (ids, stops)``: the unsigned 32-bit ids of an Arrow array of texts, each followed by the ids
+    ``end``, in one row, and where each text stops in it; equal to the file's own tokenizer.
 
-    A space between a non-space and a non-space always starts a pre-token, so a
-    text splits there and the words' ids are memoised for the worker's life
-    (memory only: the memo is emptied at ``MEMO`` words). Texts with longer
-    white space around a space, or with a special string, are encoded whole.
+    A space between a non-space and a non-space always starts a pre-token, so a text splits there. Of the words behind
+    a space each distinct one is encoded once, all in one call; among the ids, a word starts where a token starts with
+    a space. Nothing is kept from array to array. Words that white space begins or ends, and first words, are encoded
+    one by one; texts with longer white space around a space, or with a special string, whole.
     """
     import tiktoken
 
@@ -70,29 +76,63 @@ def encoder(path: str, pattern: str):
     back = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(keep))}
     ranks = {bytes(back[ch] for ch in piece): i for piece, i in vocab.items() if piece not in special}
     enc = tiktoken.Encoding("bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+    spaced = np.zeros(enc.max_token_value + 1, dtype=bool)
+    spaced[[i for piece, i in ranks.items() if piece.startswith(b" ")]] = True
+
+    def whole(text: str) -> np.ndarray:
+        return enc.encode_to_numpy(text, allowed_special="all")
+
+    def joined(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words, each behind a space, and the number of ids of each."""
+        if not len(words):
+            return np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+        ids = enc.encode_to_numpy(" " + pc.binary_join(row, pa.scalar(" ", words.type))[0].as_py(), disallowed_special=())
+        return ids, np.diff(np.flatnonzero(spaced[ids]), append=len(ids))
+
+    def encode(texts: pa.Array, end: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        hard = pc.match_substring_regex(texts, _AMBIGUOUS)
+        for s in special:
+            hard = pc.or_(hard, pc.match_substring(texts, s))
+        parts = pc.split_pattern(pc.if_else(hard, pa.scalar("", texts.type), texts), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        behind = np.ones(len(parts.values), dtype=bool)
+        behind[at[:-1]] = False
+        words = parts.values.filter(pa.array(behind)).dictionary_encode()
+        odd = pc.match_substring_regex(words.dictionary, _ODD)
+        # units: the plain words, the odd ones, each text's first word (or all of the text), the end
+        bulk, counts = joined(words.dictionary.filter(pc.invert(odd)))
+        single = [whole(" " + w) for w in words.dictionary.filter(odd).to_pylist()]
+        single += [whole(t) for t in pc.if_else(hard, texts, parts.values.take(pa.array(at[:-1]))).to_pylist()]
+        single.append(np.asarray(end, dtype=np.uint32))
+        flat = np.concatenate([bulk, *single])
+        counts = np.concatenate([counts, [len(x) for x in single]])
+        starts = np.cumsum(counts) - counts
+        unit = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        # the units of the texts in a row
+        first = at[:-1] + np.arange(len(texts))
+        last = at[1:] + np.arange(len(texts))
+        units = np.full(at[-1] + len(texts), len(counts) - 1)
+        units[first] = len(unit) + np.arange(len(texts))
+        inner = np.ones(len(units), dtype=bool)
+        inner[first] = inner[last] = False
+        units[inner] = unit[words.indices.to_numpy()]
+        n = counts[units]
+        stops = np.cumsum(n)
+        out = np.empty(stops[-1], dtype="<u4")
+        for a in range(0, len(units), UNITS):  # the places to copy from take several times the ids
+            k, to = n[a : a + UNITS], stops[a : a + UNITS]
+            lo, hi = to[0] - k[0], to[-1]
+            out[lo:hi] = flat[np.repeat(starts[units[a : a + UNITS]] - (to - k), k) + np.arange(lo, hi)]
+        return out, stops[last]
 
-    def whole(text: str) -> bytes:
-        return np.asarray(enc.encode(text, allowed_special="all"), dtype="<u4").tobytes()
-
-    class Memo(dict):
-        def __missing__(self, word):
-            if len(self) >= MEMO:
-                self.clear()
-            out = self[word] = whole(word)
-            return out
-
-    memo = Memo()
+    return encode
 
-    def encode(text: str) -> bytes:
-        if not text:
-            return b""
-        if _AMBIGUOUS.search(text) or any(s in text for s in special):
-            return whole(text)
-        parts = text.split(" ")
-        first = memo[parts[0]] if parts[0] else b""
-        return first + b"".join([memo[" " + w] for w in parts[1:]])
 
-    return encode
+def encoder(path: str, pattern: str):
+    """``text -> little-endian uint32 ids`` equal to the file's own tokenizer."""
+    encode = batch_encoder(path, pattern)
+    return lambda text: encode(pa.array([text], pa.string()))[0].tobytes()
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -105,22 +145,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int =
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = worker_cached(("bpe", tokenizer, pattern), lambda: encoder(tokenizer, pattern))
-        end = np.asarray([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = encode(t.as_py()) + end
-                n = len(raw) // 4
-                cuts = [0, *range(n % capacity or capacity, n, capacity), n] if n > capacity else [0, n]
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    part = raw[4 * a : 4 * b]
-                    row = (d, p, a, b - a, zlib.crc32(part))
-                    rows.append((*row, np.frombuffer(part, dtype="<i4")) if keep_ids else row)
-            cols = list(zip(*rows)) if rows else [()] * (6 if keep_ids else 5)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + ([pa.list_(pa.int32())] if keep_ids else [])
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
+        encode = worker_cached(("bpe", tokenizer, pattern), lambda: batch_encoder(tokenizer, pattern))
+        for part in slices(batches, SLICE_BYTES):
+            if not len(part):
+                continue
+            ids, stops = encode(part.column(1), (end_id,))
+            n = np.diff(stops, prepend=0)
+            pieces = -(-n // capacity)
+            row = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            head = (n - (pieces - 1) * capacity)[row]
+            start = np.where(piece == 0, 0, head + (piece - 1) * capacity)
+            length = np.where(piece == 0, head, capacity)
+            ends = np.cumsum(length)  # pieces follow one another as the ids do
+            crc = [zlib.crc32(ids[b - k : b]) for b, k in zip(ends.tolist(), length.tolist())]
+            cols = [part.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                cols.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.view("<i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), null_safe_text(text).alias("text"))
     return src.mapInArrow(run, fields)
