@@ -101,3 +101,30 @@ def test_awkward(spark, awkward):
     long_text = [(" ".join(f"w{i % 50}" for i in range(40_000)), "en")]
     got = collocations.mine(spark.createDataFrame(long_text, "text string, lang string")).collect()
     assert {r.a for r in got} == {797, 798, 799, 800} - {797, 798} or len(got) == 50
+
+
+def test_disk_holds_two_texts_whatever_the_blocks(spark, monkeypatch):
+    """Tables of texts that stand at once, at each write: what the pass reads and what it has written."""
+    live, most, carried = {}, [0], []
+    stored, discard = collocations.stored, collocations.discard
+
+    def store(df, **options):
+        out = stored(df, **options)
+        if "ids" in df.columns:
+            live[out._tide_path] = True
+            carried.extend(set(df.columns) & {"text"})
+            most[0] = max(most[0], len(live))
+        return out
+
+    def drop(df):
+        live.pop(getattr(df, "_tide_path", None), None)
+        discard(df)
+
+    monkeypatch.setattr(collocations, "stored", store)
+    monkeypatch.setattr(collocations, "discard", drop)
+    monkeypatch.setattr(collocations, "TRIES", 2, raising=False)
+    rows = texts(3, 120)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    got = collocations.top(collocations.mine(df, min_count=10, block=15, vocab_block=9))
+    assert sorted(map(tuple, got.collect())) == plain(rows, 10)
+    assert most[0] == 2 and not live and not carried

@@ -11,18 +11,23 @@ One level, in two passes over the numbered texts:
 1. *Sieve.* Every task sorts its windows and reports each distinct one with a
    count that stops at ``min_count``; Spark sums these. Only windows whose sum
    reaches ``min_count`` can be frequent: the candidates.
-2. *Count.* Candidates in blocks of at most ``block`` entries become a
-   double-array trie over word numbers, which is broadcast. Numpy advances the
-   states of all text positions together, one word level at a time
+2. *Count.* Candidates in blocks of at most ``block`` entries become
+   double-array tries over word numbers, which are broadcast packed, ``TRIES`` a
+   pass. A task unpacks one at a time for every ``PAIRS`` words of its texts.
+   Numpy advances the states of all text positions that start with a first word
+   of the trie together, one word level at a time
    (``next = base[state] + symbol``, kept where ``check[next] == state``), and
    bin-counts the accepting states; Spark sums the shards. The same walk marks
    the positions that may start a phrase of the next level.
 
-What is broadcast is one block, at most ``block`` candidates or ``vocab_block``
-words, however large the input; more blocks are more passes, never a larger one. No window, no
+What is broadcast is at most ``TRIES`` blocks of ``block`` candidates or one of ``vocab_block``
+words, however large the input; more blocks are more passes, never a larger broadcast. No window, no
 text and no count is dropped: a level with no candidate ends the loop. Tables in
 the checkpoint folder hold the numbered texts, so a lost executor repeats one
-task of one pass. A frequent word or language is no hot key: words, windows and
+task of one pass. On disk are at most the texts that a pass reads and those it
+writes: a pass sums its counts and drops what it read before the next one
+begins, and so do passes over the vocabulary, which carry numbers and the words
+that have none yet. A frequent word or language is no hot key: words, windows and
 states are summed in the task first; the joins that turn numbers into counts and
 words have one row a key on one side, so a split of the other side is exact.
 
@@ -36,7 +41,9 @@ frequent phrase: no rows. Further columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +51,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import row_index
-from .common import LOWER, UPPER, ascii_lower, discard, null_safe_text, pick, stored
+from .common import LOWER, UPPER, ascii_lower, discard, freed, null_safe_text, pick, stored
 
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
 BETWEEN = "[\\x20\\x09]+"
 SLICE_BYTES = 1 << 20
 BUFFER = 1 << 18
 PAIRS = 1 << 21
+TRIES = 16
 ROW_GROUP = 16 << 20
+BREAK, UNKNOWN = -1, -2
 
 
 def _bytes_table() -> bytes:
@@ -75,21 +84,26 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f"))
 
 
-def _numbers(texts: list[str], table: bytes, get) -> np.ndarray:
-    """Word numbers of some texts of one language; -1 for a word without one and at piece ends."""
+def _looked_up(words: list[bytes], get) -> np.ndarray:
+    return np.fromiter((get(w, UNKNOWN) for w in words), np.int64, len(words))
+
+
+def _numbers(texts: list[str], table: bytes, get) -> tuple[np.ndarray, list[bytes]]:
+    """Word numbers of some texts of one language, ``UNKNOWN`` for a word without one and ``BREAK`` at piece
+    ends, and the words."""
     blob = "\n".join(texts).encode().translate(table)
     words = blob.split()
     if not words:
-        return np.empty(0, np.int64)
-    ids = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.empty(0, np.int64), words
+    ids = _looked_up(words, get)
     raw = np.frombuffer(blob, np.uint8)
     gap = (raw == 32) | (raw == 10)
     start = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
     ends = np.flatnonzero(raw == 10)
     piece = np.searchsorted(ends, start)
-    out = np.full(len(ids) + int(piece[-1]) + 1, -1, np.int64)
+    out = np.full(len(ids) + int(piece[-1]) + 1, BREAK, np.int64)
     out[np.arange(len(ids)) + piece] = ids
-    return out
+    return out, words
 
 
 def runs_of(ids: np.ndarray, ok: np.ndarray, k: int) -> np.ndarray:
@@ -140,7 +154,7 @@ def _kept(df: DataFrame) -> DataFrame:
 
 def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int) -> DataFrame:
     """Table (ids): runs of two or more frequent words as 32-bit numbers. One pass a block of the
-    vocabulary; the texts are carried along only while further blocks follow."""
+    vocabulary; while further blocks follow, the numbers are carried along with the words that have none yet."""
     if n_frequent >= 1 << 31:
         raise ValueError("word numbers have 32 bits")
     sc = texts.sparkSession.sparkContext
@@ -155,14 +169,24 @@ def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int)
             for b in vocab.value.to_batches(max_chunksize=10_000):
                 for lang, word, i in zip(*(c.to_pylist() for c in b.columns)):
                     by_lang.setdefault(lang, {})[word] = i
+
             for b in batches:
-                langs, body = b.column("lang").to_pylist(), b.column("text").to_pylist()
-                if not done or carried:  # row by row: what earlier blocks found stays beside its text
-                    found = [_numbers([t], table, by_lang.get(x, {}).get) for x, t in zip(langs, body)]
-                    if carried:
-                        found = [np.maximum(a, o) for a, o in zip(found, _each(b.column("ids")))]
+                langs, body = b.column("lang").to_pylist(), b.column("words" if carried else "text").to_pylist()
+                if not done or carried:  # row by row: the words without a number stay beside what earlier blocks found
+                    found, rest = [], []
+                    before = _each(b.column("ids")) if carried else None
+                    for lang, t in zip(langs, body):
+                        get = by_lang.get(lang, {}).get
+                        if carried:
+                            ids, words = next(before), t.split()
+                            new = ids[ids == UNKNOWN] = _looked_up(words, get)
+                        else:
+                            ids, words = _numbers([t], table, get)
+                            new = ids[ids != BREAK]
+                        found.append(ids)
+                        rest.append(b"" if done else b" ".join(compress(words, (new == UNKNOWN).tolist())))
                     if not done:
-                        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("text"), _bytes_of(found)], names=["lang", "text", "ids"])
+                        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(rest, pa.binary()), _bytes_of(found)], names=["lang", "words", "ids"])
                     else:
                         yield _rows([r for r in (runs_of(a, a >= 0, 2) for a in found) if len(r)])
                     continue
@@ -176,13 +200,13 @@ def numbered(texts: DataFrame, frequent: DataFrame, n_frequent: int, block: int)
                             some.append(t)
                             size += len(t)
                         if some and (t is None or size >= SLICE_BYTES):
-                            a = _numbers(some, table, get)
+                            a, _ = _numbers(some, table, get)
                             kept = runs_of(a, a >= 0, 2)
                             if len(kept):
                                 yield _rows([kept])
                             some, size = [], 0
 
-        out = _kept(state.mapInArrow(task, "ids binary" if done else "lang string, text string, ids binary"))
+        out = _kept(state.mapInArrow(task, "ids binary" if done else "lang string, words binary, ids binary"))
         if carried:
             discard(state)
         vocab.destroy()
@@ -266,26 +290,35 @@ class DoubleArray:
         self.base = np.r_[self.base, np.zeros(more, np.int32)]
         self.check = np.r_[self.check, np.full(more, -1, np.int32)]
 
-    def arrays(self) -> tuple:
-        return self.depth, self.digits, self.words, self.base, self.check, self.row
+    def packed(self) -> tuple[int, bytes]:
+        body = pickle.dumps((self.depth, self.digits, self.words, self.base, self.check, self.row))
+        return len(body), pa.compress(body, "zstd", asbytes=True)
 
     @classmethod
-    def of(cls, arrays: tuple) -> "DoubleArray":
+    def of(cls, packed: tuple[int, bytes]) -> "DoubleArray":
+        size, body = packed
         out = cls.__new__(cls)
-        out.depth, out.digits, out.words, out.base, out.check, out.row = arrays
+        out.depth, out.digits, out.words, out.base, out.check, out.row = pickle.loads(pa.decompress(body, size, "zstd", asbytes=True))
         return out
 
+    def _symbols(self, ids: np.ndarray) -> np.ndarray:
+        """Places of the numbers among the trie's words, -1 for another."""
+        at = np.searchsorted(self.words, ids)
+        return np.where(self.words[np.minimum(at, len(self.words) - 1)] == ids, at, -1)
+
     def walk(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, rows) at which a row of the trie starts: all positions advance level by level."""
+        """(positions, rows) at which a row of the trie starts: all positions from its least to its greatest
+        first word advance level by level."""
         k = self.depth
         if len(ids) < k:
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.searchsorted(self.words, ids)
-        sym = np.where(self.words[np.minimum(at, len(self.words) - 1)] == ids, at, -1)
-        pos = np.flatnonzero(sym[: len(ids) - k + 1] >= 0)
-        state = 1 + sym[pos]
+        starts = ids[: len(ids) - k + 1]
+        least, greatest = self.words[np.flatnonzero(self.check[1 : len(self.words) + 1] == 0)[[0, -1]]]
+        pos = np.flatnonzero((starts >= least) & (starts <= greatest))
+        state = 1 + self._symbols(ids[pos])
+        pos, state = pos[state > 0], state[state > 0]
         for level in range(1, k):
-            x = sym[pos + level]
+            x = self._symbols(ids[pos + level])
             live = x >= 0
             pos, state, x = pos[live], state[live], x[live]
             for d in range(self.digits - 1, -1, -1):
@@ -360,54 +393,87 @@ def sieved(texts: DataFrame, k: int, radix: int, min_count: int) -> DataFrame:
     return seen.where(F.col("n") >= min_count).select(F.array(*[w.cast("long") for w in words]).alias("w"))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, marks, where a row of the result ends) of the rows, in parts of ``PAIRS`` words or more."""
+    held, marks, size = [], [], 0
+
+    def joined():
+        part = np.concatenate(held), np.concatenate(marks), np.cumsum([len(x) for x in held])[:-1]
+        held.clear()
+        marks.clear()
+        return part
+
+    for b in batches:
+        if first:
+            found = ((ids, np.zeros(len(ids), np.uint8)) for ids in _arrays(b.column("ids")))
+        else:
+            found = zip(_each(b.column("ids")), (np.frombuffer(v.as_buffer(), np.uint8) for v in b.column("ok")))
+        for ids, mark in found:
+            held.append(ids)
+            marks.append(mark)
+            size += len(ids)
+            if size >= PAIRS:
+                yield joined()
+                size = 0
+    if held:
+        yield joined()
+
+
+def _trie_of(candidates: DataFrame, at: int, block: int) -> tuple[int, int, tuple[int, bytes]]:
+    """(first idx, entries, packed trie) of one block of candidates."""
+    mine = candidates.where((F.col("idx") >= at) & (F.col("idx") < at + block)).select("idx", "w").toArrow()
+    rows = np.array(mine.column("w").to_pylist(), dtype=np.int64)
+    return at, len(rows), DoubleArray(rows[np.argsort(mine.column("idx").to_numpy())]).packed()
+
+
 def counted(texts: DataFrame, candidates: DataFrame, n: int, k: int, block: int, last_level: bool) -> tuple[DataFrame, DataFrame | None]:
     """((idx, f) of the candidates, a stored table whose ``ids`` are the texts cut down to the runs of the
-    next level), one pass a block."""
+    next level), one pass for ``TRIES`` blocks. ``texts``, a stored table, is discarded once it is read."""
     sc = texts.sparkSession.sparkContext
-    state, counts, made = texts, None, []
-    for at in range(0, n, block):
-        mine = candidates.where((F.col("idx") >= at) & (F.col("idx") < at + block)).select("idx", "w").toArrow()
-        rows = np.array(mine.column("w").to_pylist(), dtype=np.int64)
-        trie, idx = DoubleArray(rows), mine.column("idx").to_numpy()
-        shared = sc.broadcast((trie.arrays(), idx))
-        first, last = at == 0 or last_level, at + block >= n
-
-        def task(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=last):
-            arrays, idx = shared.value
-            trie = DoubleArray.of(arrays)
-            total = np.zeros(len(idx), np.int64)
+    state, counts = texts, None
+    for at in range(0, n, TRIES * block):
+        end = min(n, at + TRIES * block)
+        shared = sc.broadcast([_trie_of(candidates, x, block) for x in range(at, end, block)])
+        first, last = at == 0 or last_level, end == n
+
+        def task(batches: Iterator[pa.RecordBatch], shared=shared, at=at, end=end, first=first, last=last):
+            total = np.zeros(end - at, np.int64)
             names = ["idx", "n", "ids", "ok"]
-            for b in batches:
-                marks = _each(b.column("ok"), "u1") if not first else None
-                out, oks = [], []
-                for ids in _arrays(b.column("ids")) if first else _each(b.column("ids")):
-                    mark = np.zeros(len(ids), np.int64) if first else next(marks)
-                    pos, row = trie.walk(ids)
-                    total += np.bincount(row, minlength=len(total))
-                    if last_level:
-                        continue
+            for ids, mark, ends in _parts(batches, first):
+                for begin, size, packed in shared.value:
+                    pos, row = DoubleArray.of(packed).walk(ids)
+                    total[begin - at : begin - at + size] += np.bincount(row, minlength=size)
                     mark[pos] = 1
-                    kept = runs_of(ids, mark > 0, k + 1) if last else ids
+                if last_level:
+                    continue
+                out, oks = [], []
+                for mine, ok in zip(np.split(ids, ends), np.split(mark, ends)):
+                    kept = runs_of(mine, ok > 0, k + 1) if last else mine
                     if len(kept):
                         out.append(kept)
-                        oks.append(mark)
+                        oks.append(ok)
                 if out:
                     none = [pa.nulls(len(out), pa.int64())] * 2
                     yield pa.RecordBatch.from_arrays([*none, _bytes_of(out), pa.nulls(len(out), pa.binary()) if last else _bytes_of(oks, "u1")], names=names)
             some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(idx[some]), pa.array(total[some]), pa.nulls(len(some), pa.binary()), pa.nulls(len(some), pa.binary())], names=names)
+            for a in range(0, len(some), 1 << 16):
+                x = some[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(at + x), pa.array(total[x]), *[pa.nulls(len(x), pa.binary())] * 2], names=names)
 
-        source = texts if first else state.where(F.col("ids").isNotNull()).select("ids", "ok")
+        source = state.where(F.col("ids").isNotNull()).select("ids", *([] if first else ["ok"]))
         out = _kept(source.mapInArrow(task, "idx long, n long, ids binary, ok binary"))
         shared.destroy()
-        made.append(out)
-        some = out.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.sum("n").alias("f"))
+        some = stored(out.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.sum("n").alias("f")))
         counts = some if counts is None else counts.unionByName(some)
-        state = out
-    found = stored(counts)
-    for df in made[:-1] if not last_level else made:
-        discard(df)
-    return found, None if last_level else made[-1]
+        if last_level:
+            discard(out)
+        else:
+            discard(state)
+            state = out
+        freed(sc)
+    if last_level:
+        discard(texts)
+    return counts, None if last_level else state
 
 
 # --- scores -----------------------------------------------------------------
@@ -441,21 +507,22 @@ def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, inside: tuple
     if not 2 <= max_words <= 4:
         raise ValueError("max_words is 2, 3 or 4")
     texts = pick(docs, text=text_col, lang=lang_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), null_safe_text("text").alias("text"))
+    sc = docs.sparkSession.sparkContext
     words = stored(word_counts(texts))
     n_lang = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    frequent = stored(row_index(words.where(F.col("f") >= min_count), ["lang", "word"], "id"))
+    frequent = stored(row_index(words.where(F.col("f") >= min_count), [F.col("f").desc(), "lang", "word"], "id"))
+    freed(sc)
     radix = frequent.count()
     levels = [frequent.select(F.array("id").alias("w"), "f")]
     state = numbered(texts, frequent, radix, vocab_block) if radix else None
     for k in range(2, max_words + 1 if radix else 2):
         candidates = stored(row_index(sieved(state.where(F.col("ids").isNotNull()).select("ids"), k, radix, min_count), ["w"], "idx"))
+        freed(sc)
         n = candidates.count()
         if not n:
+            discard(state)
             break
-        before = state
-        counts, made = counted(state.where(F.col("ids").isNotNull()).select("ids"), candidates, n, k, block, k == max_words)
-        discard(before)
-        state = made
+        counts, state = counted(state, candidates, n, k, block, k == max_words)
         levels.append(stored(candidates.join(counts, "idx").where(F.col("f") >= min_count).select("w", "f")))
     spark = docs.sparkSession
     if len(levels) == 1:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from ..session import ensure_checkpoint_dir, table
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["table", "stored", "discard", "null_safe_text", "ascii_lower", "held_out", "pick", "UPPER", "LOWER"]
+__all__ = ["table", "stored", "discard", "freed", "null_safe_text", "ascii_lower", "held_out", "pick", "UPPER", "LOWER"]
 
 
 def stored(df: DataFrame, **options) -> DataFrame:
@@ -40,6 +42,13 @@ def discard(df: DataFrame | None) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed(sc: SparkContext) -> None:
+    """Collect the driver's garbage, as Spark's cleaner does every half hour: shuffle files and checkpoints of
+    steps that are done go then, else with the driver's next full collection, often after the job."""
+    gc.collect()
+    sc._jvm.System.gc()
+
+
 def worker_cached(key, make):
     """``make()``, kept for the life of the Python worker (tasks reuse workers; the package ships by
     value, so its own globals do not outlive a task)."""
