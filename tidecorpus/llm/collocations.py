@@ -13,12 +13,13 @@ One level, in two passes over the numbered texts:
    reaches ``min_count`` can be frequent: the candidates.
 2. *Count.* Candidates in blocks of at most ``block`` entries become
    double-array tries over word numbers, which are broadcast packed, ``TRIES`` a
-   pass. A task unpacks one at a time for every ``PAIRS`` words of its texts.
+   pass. A task unpacks one at a time for every ``WALKED`` words of its texts.
    Numpy advances the states of all text positions that start with a first word
    of the trie together, one word level at a time
    (``next = base[state] + symbol``, kept where ``check[next] == state``), and
-   bin-counts the accepting states; Spark sums the shards. The same walk marks
-   the positions that may start a phrase of the next level.
+   bin-counts the accepting states; Spark sums the shards, of which there are
+   as many as cores, not as splits of the texts. The same walk marks the
+   positions that may start a phrase of the next level.
 
 What is broadcast is at most ``TRIES`` blocks of ``block`` candidates or one of ``vocab_block``
 words, however large the input; more blocks are more passes, never a larger broadcast. No window, no
@@ -41,7 +42,6 @@ frequent phrase: no rows. Further columns are ignored.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 from itertools import compress
 
@@ -59,6 +59,7 @@ SLICE_BYTES = 1 << 20
 BUFFER = 1 << 18
 PAIRS = 1 << 21
 TRIES = 16
+WALKED = 1 << 20
 ROW_GROUP = 16 << 20
 BREAK, UNKNOWN = -1, -2
 
@@ -290,15 +291,15 @@ class DoubleArray:
         self.base = np.r_[self.base, np.zeros(more, np.int32)]
         self.check = np.r_[self.check, np.full(more, -1, np.int32)]
 
-    def packed(self) -> tuple[int, bytes]:
-        body = pickle.dumps((self.depth, self.digits, self.words, self.base, self.check, self.row))
-        return len(body), pa.compress(body, "zstd", asbytes=True)
+    def packed(self) -> tuple:
+        arrays = [(a.dtype.str, a.nbytes, pa.compress(a, "zstd", asbytes=True)) for a in (self.words, self.base, self.check, self.row)]
+        return self.depth, self.digits, arrays
 
     @classmethod
-    def of(cls, packed: tuple[int, bytes]) -> "DoubleArray":
-        size, body = packed
+    def of(cls, packed: tuple) -> "DoubleArray":
         out = cls.__new__(cls)
-        out.depth, out.digits, out.words, out.base, out.check, out.row = pickle.loads(pa.decompress(body, size, "zstd", asbytes=True))
+        out.depth, out.digits, arrays = packed
+        out.words, out.base, out.check, out.row = (np.frombuffer(pa.decompress(body, size, "zstd"), kind) for kind, size, body in arrays)
         return out
 
     def _symbols(self, ids: np.ndarray) -> np.ndarray:
@@ -394,7 +395,7 @@ def sieved(texts: DataFrame, k: int, radix: int, min_count: int) -> DataFrame:
 
 
 def _parts(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, marks, where a row of the result ends) of the rows, in parts of ``PAIRS`` words or more."""
+    """(ids, marks, where a row of the result ends) of the rows, in parts of ``WALKED`` words or more."""
     held, marks, size = [], [], 0
 
     def joined():
@@ -412,14 +413,14 @@ def _parts(batches: Iterator[pa.RecordBatch], first: bool) -> Iterator[tuple[np.
             held.append(ids)
             marks.append(mark)
             size += len(ids)
-            if size >= PAIRS:
+            if size >= WALKED:
                 yield joined()
                 size = 0
     if held:
         yield joined()
 
 
-def _trie_of(candidates: DataFrame, at: int, block: int) -> tuple[int, int, tuple[int, bytes]]:
+def _trie_of(candidates: DataFrame, at: int, block: int) -> tuple[int, int, tuple]:
     """(first idx, entries, packed trie) of one block of candidates."""
     mine = candidates.where((F.col("idx") >= at) & (F.col("idx") < at + block)).select("idx", "w").toArrow()
     rows = np.array(mine.column("w").to_pylist(), dtype=np.int64)
@@ -460,7 +461,8 @@ def counted(texts: DataFrame, candidates: DataFrame, n: int, k: int, block: int,
                 x = some[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array(at + x), pa.array(total[x]), *[pa.nulls(len(x), pa.binary())] * 2], names=names)
 
-        source = state.where(F.col("ids").isNotNull()).select("ids", *([] if first else ["ok"]))
+        # each task reports every candidate it has met: no more tasks than run at once
+        source = state.where(F.col("ids").isNotNull()).select("ids", *([] if first else ["ok"])).coalesce(sc.defaultParallelism)
         out = _kept(source.mapInArrow(task, "idx long, n long, ids binary, ok binary"))
         shared.destroy()
         some = stored(out.where(F.col("idx").isNotNull()).groupBy("idx").agg(F.sum("n").alias("f")))
