@@ -51,6 +51,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.indexing import row_index
+from ..session import bound_batches
 from .common import LOWER, UPPER, ascii_lower, discard, freed, null_safe_text, pick, stored
 
 PIECE_END = "[.,;:!?\\x0A-\\x0D]"
@@ -510,6 +511,7 @@ def mine(docs: DataFrame, min_count: int = 30, max_words: int = 4, inside: tuple
         raise ValueError("max_words is 2, 3 or 4")
     texts = pick(docs, text=text_col, lang=lang_col).select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), null_safe_text("text").alias("text"))
     sc = docs.sparkSession.sparkContext
+    bound_batches(docs.sparkSession)
     words = stored(word_counts(texts))
     n_lang = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = stored(row_index(words.where(F.col("f") >= min_count), [F.col("f").desc(), "lang", "word"], "id"))
